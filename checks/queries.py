@@ -59,7 +59,7 @@ def narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = joins.group_count(narrow(spark, sf_dir), "identity", "image_id")
-    return counted.where(C.is_frequent())
+    return stage(counted.where(C.is_frequent()))
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +67,9 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assigned = parts(spark, sf_dir)
+    assigned = split.openset_split(eligible(spark, sf_dir))
     vectors = images(spark, sf_dir).select("image_id", "embeddings")
-    return stage(assigned.join(vectors, "image_id"))
+    return stage(assigned.join(vectors, "image_id"), partition_by=["part"])
 
 
 def train_and_val(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

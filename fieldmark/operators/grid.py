@@ -63,9 +63,13 @@ def run_tiles(
     The frames carry their block in ``_lb`` and ``_rb``. Every row is copied
     to each block of the other side and the tiles are hash-distributed, so a
     task holds one tile at a time. The explicit partition number keeps adaptive
-    execution from merging tiles, whose bytes say little about their work.
+    execution from merging tiles, whose bytes say little about their work; while
+    tiles are fewer than the cluster's slots, spare partitions keep two tiles
+    from sharing one.
     """
-    tiles = max(1, left_blocks * right_blocks)
+    tiles = left_blocks * right_blocks
+    slots = 4 * left.sparkSession.sparkContext.defaultParallelism
+    partitions = max(tiles, min(4 * tiles, slots)) if tiles > 1 else 1
 
     def spread(df: DataFrame, other: str, n: int, names: Sequence[str]) -> DataFrame:
         copies = F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
@@ -75,7 +79,7 @@ def run_tiles(
         fresh = [F.col(c).alias(c) for c in [*names, own]]
         return (
             df.select(*fresh, copies.alias(other))
-            .repartition(tiles, "_lb", "_rb")
+            .repartition(partitions, "_lb", "_rb")
             .groupBy("_lb", "_rb")
         )
 

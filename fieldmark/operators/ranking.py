@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from fieldmark.sources.staging import stage
 
-# Three hex digits of the hash: 4,096 slices per group.
-SLICE_DIGITS = 3
+# Four hex digits of the hash: at most 65,536 slices per group.
+SLICE_DIGITS = 4
 
 
 def hash_order(seed: int, key: str | Column) -> Column:
@@ -44,8 +44,8 @@ def rank_by_hash(
     a ``weight``, ranks and sizes are its inclusive running and total sums.
 
     Rows are shuffled by (group, hash slice). A group with a third of all rows
-    is thus spread over 4,096 slices; what its slices have to know about each
-    other is a table of at most 4,096 counts.
+    is thus spread over up to 65,536 slices; what its slices have to know about
+    each other is a table of at most as many counts.
     """
     within = list(within)
     tagged = df.withColumn("_hash", hash_order(seed, key)).withColumn(
@@ -66,7 +66,7 @@ def rank_by_hash(
         extra = [c for c in side.columns if c not in within]
         slices = slices.join(side, within)
     if not within:
-        # At most 4,096 rows, whatever the table holds.
+        # At most 65,536 rows, whatever the table holds.
         slices = F.broadcast(slices)
     on = [*within, "_slice"]
     joined = tagged.join(slices, on).select(
@@ -125,6 +125,12 @@ def encode_labels(df: DataFrame, label: str, out: str = "label_id") -> DataFrame
 SMALL_SAMPLE = 1_000_000
 
 
+def group_sizes(df: DataFrame, value: str, by: str | None = None) -> dict:
+    """Non-NULL values per group of ``by``; one entry under None without it."""
+    counts = df.groupBy(*([by] if by else [])).agg(F.count(value).alias("n"))
+    return {(r[by] if by else None): r["n"] for r in counts.collect()}
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -132,20 +138,19 @@ def exact_quantiles(
     *,
     by: str | None = None,
     small_sample: int = SMALL_SAMPLE,
+    sizes: dict | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one column per name.
 
     ``by`` (few distinct values, such as neighbour counts) gives one row per
-    value. ``df`` is counted first: a small one uses ``percentile``, whose
-    buffer is then bounded; a larger one is sorted by range and the order
-    statistics are read off at their exact positions.
+    value. ``df`` is counted first, unless ``sizes`` says what ``group_sizes``
+    would: a small one uses ``percentile``, whose buffer is then bounded; a
+    larger one is sorted by range and the order statistics are read off at their
+    exact positions.
     """
     df = df.where(F.col(value).isNotNull())
     groups = [by] if by else []
-    sizes = {
-        (row[by] if by else None): row["n"]
-        for row in df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).collect()
-    }
+    sizes = group_sizes(df, value, by) if sizes is None else sizes
     if sum(sizes.values()) <= small_sample:
         return df.groupBy(*groups).agg(
             *[F.percentile(value, F.lit(p)).alias(n) for n, p in probabilities.items()]

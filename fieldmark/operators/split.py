@@ -222,9 +222,10 @@ def split_summary(
     # Three one-row tables, put side by side as scalar subqueries.
     one = rows.select(
         "*",
-        *[images.select(c).scalar().alias(c) for c in images.columns],
-        *[people.select(c).scalar().alias(c) for c in people.columns],
-    )
+        images.select(F.struct(*images.columns)).scalar().alias("_images"),
+        people.select(F.struct(*people.columns)).scalar().alias("_people"),
+    ).select("*", "_images.*", "_people.*")
+
     def line(n: str) -> Column:
         overlaps = [F.col(f"{m}_{n}").alias(f"{m}_image_overlap") for m in names]
         shares = [

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldmark.operators.neighbors import nearest, row_medians
-from fieldmark.operators.ranking import SMALL_SAMPLE, exact_quantiles
+from fieldmark.operators.ranking import SMALL_SAMPLE, exact_quantiles, group_sizes
 from fieldmark.sources.staging import stage
 
 
@@ -35,50 +36,77 @@ def null_distances(
     return stage(row_medians(found, ks, key))
 
 
-def median_and_mad(
+def distance_summaries(
     distances: DataFrame,
     value: str = "distance",
-    by: str | None = "num_neighbors",
+    by: str | None = None,
     small_sample: int = SMALL_SAMPLE,
 ) -> DataFrame:
-    """Median and median absolute deviation (unscaled), one row per ``by``."""
+    """min, max, mean, population deviation, quartiles, IQR and MAD.
+
+    One row, or one per value of ``by`` (few values, such as neighbour counts).
+    Two passes over the values, because the MAD needs the median first; a row
+    of statistics per group is all that passes through the driver.
+    """
     groups = [by] if by else []
-    median = exact_quantiles(
-        distances, value, {"median": 0.5}, by=by, small_sample=small_sample
+    sizes = group_sizes(distances, value, by)
+    quartiles = exact_quantiles(
+        distances, value, {"q1": 0.25, "median": 0.5, "q3": 0.75},
+        by=by, small_sample=small_sample, sizes=sizes,
+    )
+    moments = distances.groupBy(*groups).agg(
+        F.min(value).alias("min_distance"),
+        F.max(value).alias("max_distance"),
+        F.avg(value).alias("mean_distance"),
+        F.stddev_pop(value).alias("std_distance"),
     )
     if by:
-        # One row per neighbour count.
-        gaps = distances.join(F.broadcast(median), by)
+        first = moments.join(F.broadcast(quartiles), by)
     else:
-        gaps = distances.withColumn("median", median.select("median").scalar())
-    gaps = gaps.select(*groups, "median", F.abs(F.col(value) - F.col("median")).alias("_gap"))
-    mad = exact_quantiles(gaps, "_gap", {"mad": 0.5}, by=by, small_sample=small_sample)
+        first = moments.select(
+            "*", quartiles.select(F.struct(*quartiles.columns)).scalar().alias("_q")
+        ).select(*moments.columns, "_q.*")
+    spark = distances.sparkSession
+    first = spark.createDataFrame(first.collect(), first.schema)
+
     if by:
-        return median.join(F.broadcast(mad), by)
-    return median.withColumn("mad", mad.select("mad").scalar())
+        # One row per group.
+        centred = distances.join(F.broadcast(first.select(by, "median")), by)
+    else:
+        centred = distances.withColumn("median", F.lit(first.first()["median"]))
+    gaps = centred.select(*groups, F.abs(F.col(value) - F.col("median")).alias("_gap"))
+    mad = exact_quantiles(
+        gaps, "_gap", {"mad": 0.5}, by=by, small_sample=small_sample, sizes=sizes
+    ).collect()
+    mads = {(r[by] if by else None): r["mad"] for r in mad}
+    columns = [
+        *groups, "min_distance", "max_distance", "mean_distance", "std_distance",
+        "iqr", "q1", "q3", "median", "mad",
+    ]
+    rows = []
+    for r in first.collect():
+        row = r.asDict()
+        spread = None if row["median"] is None else row["q3"] - row["q1"]
+        row |= {"iqr": spread, "mad": mads[row[by] if by else None]}
+        rows.append(tuple(row[c] for c in columns))
+    kinds = [T.StructField(c, distances.schema[c].dataType) for c in groups]
+    kinds += [T.StructField(c, T.DoubleType()) for c in columns[len(groups) :]]
+    return spark.createDataFrame(rows, T.StructType(kinds))
 
 
 def distance_summary(
     distances: DataFrame, value: str = "distance", small_sample: int = SMALL_SAMPLE
 ) -> DataFrame:
-    """One row: min, max, mean, population deviation, quartiles, IQR and MAD."""
-    quartiles = exact_quantiles(
-        distances, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, small_sample=small_sample
-    )
-    center = quartiles.select("median").scalar()
-    gaps = distances.select(F.abs(F.col(value) - center).alias("_gap"))
-    mad = exact_quantiles(gaps, "_gap", {"mad": 0.5}, small_sample=small_sample)
-    moments = distances.agg(
-        F.min(value).alias("min_distance"),
-        F.max(value).alias("max_distance"),
-        F.avg(value).alias("mean_distance"),
-        F.stddev_pop(value).alias("std_distance"),
-    )
-    return moments.select(
-        "*",
-        (quartiles.select("q3").scalar() - quartiles.select("q1").scalar()).alias("iqr"),
-        quartiles.select("q1").scalar().alias("q1"),
-        quartiles.select("q3").scalar().alias("q3"),
-        quartiles.select("median").scalar().alias("median"),
-        mad.select("mad").scalar().alias("mad"),
-    )
+    """One row with the nine statistics of ``distance_summaries``."""
+    return distance_summaries(distances, value, small_sample=small_sample)
+
+
+def median_and_mad(
+    distances: DataFrame,
+    value: str = "distance",
+    by: str | None = "num_neighbors",
+    small_sample: int = SMALL_SAMPLE,
+) -> DataFrame:
+    """Median and median absolute deviation (unscaled), one row per ``by``."""
+    kept = [by, "median", "mad"] if by else ["median", "mad"]
+    return distance_summaries(distances, value, by, small_sample).select(*kept)

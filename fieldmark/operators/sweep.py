@@ -15,43 +15,54 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.columns import crossover, geometric_mean, linspace, within_gate
 from fieldmark.operators.neighbors import nearest
-from fieldmark.operators.stats import median_and_mad, null_distances
+from fieldmark.operators.stats import distance_summaries, null_distances
 
 # The default threshold grid and neighbour counts.
 DEFAULT_GRID = (-8.0, 8.0, 100)
 DEFAULT_KS = (1, 3, 5, 10, 20)
 
 
+def _doubles(values: Sequence[float]) -> Column:
+    """Array literal; one parsed expression is cheaper than a call per element."""
+    return F.expr(f"array({', '.join(f'{v!r}D' for v in values)})")
+
+
 def _first_accepting(grid: Sequence[float], accepts: Callable[[Column], Column]) -> Column:
     """Position of the first threshold of ``grid`` that accepts the row."""
-    return F.size(
-        F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: ~accepts(t))
-    )
+    return F.size(F.filter(_doubles(grid), lambda t: ~accepts(t)))
 
 
 def _correct_intervals(neighbors: DataFrame, n: int, key: str, label: str) -> DataFrame:
     """(num_neighbors, label, side, start, stop): threshold positions where a row is right.
 
     The winner of a prefix is the running maximum of (votes so far of the
-    label, its first rank, the label), for ties the label met first.
+    label, its first place, the label), for ties the label met first. All
+    windows share one partitioning by row, which the join already has when it
+    merged several blocks.
     """
     who = ["num_neighbors", key]
-    by_label = Window.partitionBy(*who, "neighbor_identity").orderBy("rank")
     in_order = Window.partitionBy(*who).orderBy("rank")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mine = F.col("neighbor_identity")
     step = neighbors.select(
         *who, label, "rank", "start", "neighbor_identity",
-        F.row_number().over(by_label).alias("_votes"),
-        F.first("rank").over(by_label).alias("_first"),
+        F.collect_list("neighbor_identity").over(so_far).alias("_seen"),
+        F.lead("start", 1, n).over(in_order).alias("_next"),
+    ).withColumn(
+        "_standing",
+        F.struct(
+            F.size(F.filter("_seen", lambda x: x == mine)).alias("votes"),
+            (-F.array_position("_seen", mine)).alias("first"),
+            mine.alias("label"),
+        ),
     )
-    winner = F.max(F.struct("_votes", -F.col("_first"), "neighbor_identity")).over(in_order)
     step = step.select(
-        *who, label, "rank", "start",
-        winner.getField("neighbor_identity").alias("_winner"),
-        F.lead("start", 1, n).over(in_order).alias("_next"),
+        *who, label, "rank", "start", "_next",
+        F.max("_standing").over(so_far).getField("label").alias("_winner"),
     )
     as_known = F.when(
         F.col("_winner") == F.col(label),
-        F.struct(F.lit("known").alias("side"), F.col("start"), F.col("_next").alias("stop")),
+        F.struct(F.lit("known").alias("side"), "start", F.col("_next").alias("stop")),
     )
     as_new = F.when(
         F.col("rank") == 1,
@@ -104,13 +115,12 @@ def _score_intervals(
         )
     )
     identities = totals.agg(
-        F.count_if(F.col("side") == "known").alias("known"),
-        F.count_if(F.col("side") == "unknown").alias("unknown"),
-    )
+        F.struct(*[F.count_if(F.col("side") == s).alias(s) for s in ("known", "unknown")]).alias("n")
+    ).scalar()
 
     def mean(side: str) -> Column:
         hits = F.coalesce(F.col(f"_{side}"), F.lit(0.0))
-        return F.try_divide(hits, identities.select(side).scalar())
+        return F.try_divide(hits, identities.getField(side))
 
     # As many rows as the grid and the neighbour counts make.
     return (
@@ -153,7 +163,7 @@ def sweep_neighbors(
             "start", _first_accepting(grid, lambda t: within_gate("distance", "median", "mad", t))
         )
     )
-    table = values.select("*", F.posexplode(F.array(*[F.lit(t) for t in grid])).alias("_t", "threshold"))
+    table = values.select("*", F.posexplode(_doubles(grid)).alias("_t", "threshold"))
     return _score_intervals(tagged, others, train, table, len(grid), key, label).select(
         "threshold", "baks", "baus", "crossover_score", "score", "num_neighbors", "median", "mad"
     )
@@ -198,22 +208,21 @@ def experiment(
 ) -> tuple[DataFrame, DataFrame]:
     """Calibrate on ``train`` and sweep ``others``, for each k of ``ks``.
 
-    Returns the sweep and the null distances (key, num_neighbors, distance).
-    One join of ``train`` with itself and one with ``others`` serve every k
-    and every threshold. Only one median and MAD per k reach the driver.
+    Returns the sweep and, per k, the summary of the distances between
+    different identities in ``train``. One join of ``train`` with itself and
+    one with ``others`` serve every k and every threshold.
     """
     grid = linspace(*DEFAULT_GRID) if grid is None else grid
     train_rows = train.count()
     names = {"key": key, "vector": vector, "label": label}
     distances = null_distances(train, ks, row_count=train_rows, **names)
-    statistics = [
-        (r["num_neighbors"], r["median"], r["mad"]) for r in median_and_mad(distances).collect()
-    ]
+    summary = distance_summaries(distances, by="num_neighbors")
+    statistics = [(r["num_neighbors"], r["median"], r["mad"]) for r in summary.collect()]
     found = nearest(
         others, train, max(ks), query_columns=[label], gallery_rows=train_rows, **names
     )
     swept = sweep_neighbors(found, others, train, statistics, grid, key=key, label=label)
-    return swept, distances
+    return swept, summary
 
 
 def best_row(sweep: DataFrame, by: str = "score") -> DataFrame:

@@ -209,20 +209,22 @@ def mine_semi_hard(
     """
     batched = stage(assign_batches(rows.select(key, label, vector), batch_size, seed, key=key))
     drawn = sample_positives(batched, triplets_per_anchor, seed, key=key, label=label)
-    anchors = batched.select(F.col(key).alias("anchor_id"), F.col(vector).alias("_anchor"))
     positives = batched.select(F.col(key).alias("positive_id"), F.col(vector).alias("_positive"))
-    measured = (
+    # triplets_per_anchor rows per group.
+    fetched = (
         drawn.join(positives, "positive_id")
-        .join(anchors, "anchor_id")
-        .select(
-            F.col("anchor_id").alias(key), "draw", "positive_id",
-            l2("_anchor", "_positive", eps).alias("dp"),
-        )
-        # triplets_per_anchor rows per group.
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("draw", "positive_id", "dp"))).alias("_drawn"))
+        .groupBy(F.col("anchor_id").alias(key))
+        .agg(F.sort_array(F.collect_list(F.struct("draw", "positive_id", "_positive"))).alias("_fetched"))
+    )
+    measured = F.transform(
+        "_fetched",
+        lambda x: F.struct(
+            x.getField("draw").alias("draw"),
+            x.getField("positive_id").alias("positive_id"),
+            l2(F.col(vector), x.getField("_positive"), eps).alias("dp"),
+        ),
     )
-    work = batched.join(measured, key, "left")
+    work = batched.join(fetched, key, "left").select("batch", key, label, vector, measured.alias("_drawn"))
     id_type = rows.schema[key].dataType
     schema = T.StructType(
         [
@@ -270,7 +272,7 @@ def mine_semi_hard(
             names=schema.names,
         )
 
-    return work.select("batch", key, label, vector, "_drawn").groupBy("batch").applyInArrow(mine, schema)
+    return work.groupBy("batch").applyInArrow(mine, schema)
 
 
 def with_vectors(

@@ -10,11 +10,14 @@ from fieldmark.operators.joins import group_count
 from fieldmark.operators.neighbors import nearest
 from fieldmark.operators.predict import predict_gated, prediction_counts
 from fieldmark.operators.split import TEST, TRAIN, VAL, openset_split, split_summary
-from fieldmark.operators.stats import distance_summary, median_and_mad, null_distances
+from fieldmark.operators.stats import median_and_mad, null_distances
 from fieldmark.operators.sweep import best_row, experiment
 from fieldmark.sources.staging import stage
 from fieldmark.sources.tables import read_records, write_csv, write_record
 
+# Roles beside the three parts: rows to label, and known rows too rare to split.
+QUERY, RARE = "query", "rare"
+
 
 def analysis_rows(metadata: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Narrow rows (image_id, identity, dataset, identity_count) that have an embedding."""
@@ -54,28 +57,34 @@ def run_prediction(
     parts = stage(openset_split(rows.where(is_frequent()).select("image_id", "identity")))
     write_csv(split_summary(parts), f"{output_path}/reid_split_summary.csv", single_file=True)
 
-    labelled = rows.join(parts.select("image_id", "part"), "image_id", "left")
-    table = stage(labelled.join(embeddings.select("image_id", "embeddings"), "image_id"))
+    role = F.when(~is_known(), QUERY).otherwise(F.coalesce("part", F.lit(RARE)))
+    labelled = rows.join(parts.select("image_id", "part"), "image_id", "left").select(
+        "image_id", "identity", role.alias("role")
+    )
+    # One folder per role: each step below reads the vectors of its roles only.
+    table = stage(
+        labelled.join(embeddings.select("image_id", "embeddings"), "image_id"), partition_by=["role"]
+    )
     chosen = None
     for name, gallery, queries in (("val", [TRAIN], VAL), ("test", [TRAIN, VAL], TEST)):
-        swept, distances = experiment(
-            table.where(F.col("part").isin(gallery)), table.where(F.col("part") == queries), [num_neighbors]
+        swept, summary = experiment(
+            table.where(F.col("role").isin(gallery)), table.where(F.col("role") == queries), [num_neighbors]
         )
         swept = stage(swept)
         write_csv(swept.orderBy("threshold"), f"{output_path}/{name}_thresholds.csv", single_file=True)
-        write_record(distance_summary(distances), f"{output_path}/{name}_distance_summary.json")
+        write_record(summary.drop("num_neighbors"), f"{output_path}/{name}_distance_summary.json")
         chosen = best_row(swept)
         write_record(chosen, f"{output_path}/{name}_best_threshold.json")
     best = chosen.first()
     if best["score"] is None:
         raise ValueError("no threshold has a score: known and unknown test rows are both needed")
 
-    known = table.where(is_known())
+    known = table.where(F.col("role") != QUERY)
     median, mad = best["median"], best["mad"]
     if recalibrate:
         again = median_and_mad(null_distances(known, [num_neighbors])).first()
         median, mad = again["median"], again["mad"]
-    found = nearest(table.where(~is_known()), known, num_neighbors)
+    found = nearest(table.where(F.col("role") == QUERY), known, num_neighbors)
     predictions = stage(
         predict_gated(found, median, mad, best["threshold"]).withColumnRenamed("prediction", "identity")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,14 +32,16 @@ def staging_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Use it where a costly result feeds more than one later step. The columns
     stay prunable, the file sizes give the optimiser real statistics, and a
-    lost executor re-reads files instead of repeating the work above.
+    lost executor re-reads files instead of repeating the work above. With
+    ``partition_by`` (few values each), filters on these columns read only the
+    matching folders.
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/fieldmark-stage/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -10,6 +10,7 @@ from fieldmark.functions.columns import NEW_INDIVIDUAL, linspace
 from fieldmark.operators import grid as tiles
 from fieldmark.operators import predict, sweep
 from fieldmark.operators.neighbors import nearest
+from fieldmark.operators.stats import null_distances
 
 SCALE = 1.4826
 
@@ -131,7 +132,9 @@ def test_experiment_end_to_end(rows, monkeypatch):
     monkeypatch.setattr(tiles, "MAX_BLOCK_ROWS", 64)
     known = rows.where("identity is not null")
     train, others = known.where("image_id % 3 <> 1"), known.where("image_id % 3 = 1")
-    swept, distances = sweep.experiment(train, others, [1, 4], [-2.0, 0.0, 2.0])
+    swept, summary = sweep.experiment(train, others, [1, 4], [-2.0, 0.0, 2.0])
+    distances = null_distances(train, [1, 4])
+    assert summary.count() == 2
     got = swept.orderBy("num_neighbors", "threshold").collect()
     assert len(got) == 6
     found = nearest(others, train, 4).toPandas()
