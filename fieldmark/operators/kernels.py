@@ -50,25 +50,55 @@ def from_row(vectors: np.ndarray, i: int) -> np.ndarray:
     return np.sqrt(exact_squared(vectors, vectors[i][None, :]))
 
 
+def _places(group: np.ndarray) -> np.ndarray:
+    """0-based place of each position among the positions of its group."""
+    order = np.argsort(group, kind="stable")
+    ordered = group[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    sizes = np.diff(np.r_[starts, len(ordered)])
+    places = np.empty(len(group), dtype=np.int64)
+    places[order] = np.arange(len(ordered)) - np.repeat(starts, sizes)
+    return places
+
+
 def _leading_copies(vectors: np.ndarray, codes: np.ndarray | None, k: int) -> np.ndarray:
-    """Row positions to keep: the first ``k`` of each set of equal vectors.
+    """Row positions to keep: of equal vectors only those that can be answers.
 
-    Rows come in id order, and equal vectors are equally far from any query,
-    so the k smallest ids (of each label, if labels matter) beat the others.
+    Rows come in id order, and equal vectors are equally far from any query, so
+    the k smallest ids suffice. If rows of the query's own label do not count,
+    k ids per label suffice, and of these the first 2k: at most k of them share
+    the query's label.
     """
     plain = np.ascontiguousarray(vectors)
     keys = plain.view(np.dtype((np.void, plain.dtype.itemsize * plain.shape[1]))).ravel()
     _, group = np.unique(keys, return_inverse=True)
+    keep = np.arange(len(keys))
     if group.max() + 1 == len(keys):
-        return np.arange(len(keys))
-    if codes is not None:
-        _, label = np.unique(codes, return_inverse=True)
-        group = group * (label.max() + 1) + label
-    order = np.argsort(group, kind="stable")
-    ordered = group[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    place = np.arange(len(ordered)) - np.repeat(starts, np.diff(np.r_[starts, len(ordered)]))
-    return np.sort(order[place < k])
+        return keep
+    if codes is None:
+        return keep[_places(group) < k]
+    _, label = np.unique(codes, return_inverse=True)
+    keep = keep[_places(group * (label.max() + 1) + label) < k]
+    return keep[_places(group[keep]) < 2 * k]
+
+
+# Columns whose minima are compared in place of the columns themselves.
+STRIP = 64
+
+
+def _upper_bound(rough: np.ndarray, k: int) -> np.ndarray:
+    """Per row, a value that at least ``k`` columns do not exceed.
+
+    The k-th smallest minimum over strips of columns is such a value, nearly as
+    low as the k-th smallest column and far cheaper to find.
+    """
+    rows, n = rough.shape
+    if k == 1:
+        return rough.min(axis=1)
+    whole = n // STRIP * STRIP
+    if whole // STRIP >= 4 * k:
+        rough = rough[:, :whole].reshape(rows, -1, STRIP).min(axis=2)
+    return np.partition(rough, k - 1, axis=1)[:, k - 1]
 
 
 def nearest_in_tile(
@@ -87,8 +117,13 @@ def nearest_in_tile(
     codes, rows of equal code are not neighbours.
     """
     keep = _leading_copies(gallery, gallery_codes, k)
+    if gallery_codes is not None:
+        # Equal codes side by side: one slice per query rules them out.
+        keep = keep[np.argsort(gallery_codes[keep], kind="stable")]
+        pool_codes = gallery_codes[keep]
+        own_from = np.searchsorted(pool_codes, query_codes, side="left")
+        own_to = np.searchsorted(pool_codes, query_codes, side="right")
     pool = gallery[keep]
-    pool_codes = gallery_codes[keep] if gallery_codes is not None else None
     peak = max(float(np.abs(pool).max()), float(np.abs(queries).max()))
     if not math.isfinite(peak):
         raise ValueError("vectors hold NaN or infinite elements")
@@ -97,42 +132,44 @@ def nearest_in_tile(
     fast_pool = pool.astype(kind)
     pool_norm = np.einsum("ij,ij->i", fast_pool, fast_pool)
     farthest = float(np.sqrt(pool_norm.max()))
+    doubled = np.ascontiguousarray(-2 * fast_pool.T)
     found = []
     step = max(1, CELLS // len(pool))
     for start in range(0, len(queries), step):
         part = queries[start : start + step]
         fast = part.astype(kind)
-        norm = np.einsum("ij,ij->i", fast, fast)
-        rough = norm[:, None] + pool_norm[None, :] - 2 * (fast @ fast_pool.T)
+        # The query's own norm shifts its whole row, so it is left out.
+        rough = fast @ doubled
+        rough += pool_norm
         if query_codes is not None:
-            same = query_codes[start : start + step, None] == pool_codes[None, :]
-            rough[same] = np.inf
+            for i in range(len(part)):
+                rough[i, own_from[start + i] : own_to[start + i]] = np.inf
         if k < len(pool):
-            limit = np.partition(rough, k - 1, axis=1)[:, k - 1]
-            slack = 4 * unit * (part.shape[1] + 16) * (np.sqrt(norm) + farthest) ** 2
-            chosen = rough <= (limit + slack)[:, None]
-            if query_codes is not None:
-                chosen &= ~same
+            length = np.linalg.norm(fast, axis=1).astype(np.float64)
+            slack = 4 * unit * (part.shape[1] + 16) * (length + farthest) ** 2
+            limit = _upper_bound(rough, k).astype(np.float64) + slack
+            limit = np.nextafter(limit.astype(kind), kind(np.inf))
+            limit = np.minimum(limit, np.finfo(kind).max)
         else:
-            chosen = ~same if query_codes is not None else np.ones(rough.shape, bool)
-        row, col = np.nonzero(chosen)
-        found.append(_best(part, pool, row, col, k, start))
-    query, place, rank, distance = (np.concatenate(x) for x in zip(*found))
-    return query, keep[place], rank, distance
+            limit = np.full(len(part), np.finfo(kind).max)
+        row, col = np.nonzero(rough <= limit[:, None])
+        found.append(_best(part, pool, keep, row, col, k, start))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _best(part, pool, row, col, k, start):
+def _best(part, pool, keep, row, col, k, start):
     distance = np.empty(len(row))
     step = max(1, CELLS // part.shape[1])
     for s in range(0, len(row), step):
         e = s + step
         distance[s:e] = exact_squared(part[row[s:e]], pool[col[s:e]])
-    order = np.lexsort((col, distance, row))
-    row, col, distance = row[order], col[order], distance[order]
+    place = keep[col]
+    order = np.lexsort((place, distance, row))
+    row, place, distance = row[order], place[order], distance[order]
     first = np.searchsorted(row, row, side="left")
     rank = np.arange(len(row)) - first + 1
     top = rank <= k
-    return row[top] + start, col[top], rank[top], distance[top]
+    return row[top] + start, place[top], rank[top], distance[top]
 
 
 def distances_to_labels(rows: np.ndarray, block: np.ndarray, codes: np.ndarray):
@@ -144,19 +181,22 @@ def distances_to_labels(rows: np.ndarray, block: np.ndarray, codes: np.ndarray):
     block, ordered = block[order].astype(np.float64), codes[order]
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     norm = np.einsum("ij,ij->i", block, block)
+    doubled = np.ascontiguousarray(-2 * block.T)
     out = np.empty((len(rows), len(starts)))
     step = max(1, CELLS // len(block))
     for s in range(0, len(rows), step):
         part = rows[s : s + step].astype(np.float64)
         own = np.einsum("ij,ij->i", part, part)
-        squared = own[:, None] + norm[None, :] - 2 * (part @ block.T)
+        squared = part @ doubled
+        squared += norm
+        squared += own[:, None]
         # Rounding may put copies a hair apart or below zero: measure them again.
-        close = squared < 1e-9 * (own[:, None] + norm[None, :])
-        row, col = np.nonzero(close)
+        row, col = np.nonzero(squared < 1e-9 * (own.max() + norm.max()))
         for a in range(0, len(row), step):
             r, c = row[a : a + step], col[a : a + step]
             squared[r, c] = exact_squared(part[r], block[c])
-        out[s : s + step] = np.add.reduceat(np.sqrt(squared), starts, axis=1)
+        np.sqrt(squared, out=squared)
+        out[s : s + step] = np.add.reduceat(squared, starts, axis=1)
     return out
 
 

@@ -134,6 +134,26 @@ def test_leading_copies_keep_enough_per_label():
     assert list(kernels._leading_copies(vectors, None, 2)) == [0, 1, 2]
     codes = np.array([0, 0, 0, 1, 0])
     assert list(kernels._leading_copies(vectors, codes, 1)) == [0, 2, 3]
+    many = np.arange(5)
+    assert list(kernels._leading_copies(np.ones((5, 1)), many, 1)) == [0, 1]
+
+
+@pytest.mark.parametrize("codes", [False, True])
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_tile_against_brute_force(codes, k):
+    """Small integer vectors give many copies and ties."""
+    rng = np.random.default_rng(k)
+    for n, width, high in ((700, 2, 6), (900, 3, 40), (30, 1, 3)):
+        q, g = rng.integers(0, high, (60, width)).astype("f4"), rng.integers(0, high, (n, width)).astype("f4")
+        a, b = rng.integers(0, 4, 60), rng.choice([0, 1, 2, 3, 3, 3, 7], n)
+        given = (a, b) if codes else (None, None)
+        row, place, rank, distance = kernels.nearest_in_tile(q, g, k, *given)
+        want = []
+        for i in range(60):
+            d = ((q[i] - g) ** 2).sum(axis=1)
+            ids = [j for j in np.lexsort((np.arange(n), d)) if not codes or a[i] != b[j]][:k]
+            want += [(i, j, r + 1, d[j]) for r, j in enumerate(ids)]
+        assert list(zip(row, place, rank, distance)) == want
 
 
 def test_row_medians_use_prefixes(spark):
