@@ -16,6 +16,9 @@ BLOCK_BYTES = 64 << 20
 MAX_BLOCK_ROWS = 65_536
 MIN_BLOCK_ROWS = 512
 
+# Partitions that a grid may take.
+MAX_PARTITIONS = 100_000
+
 
 @dataclass(frozen=True)
 class Blocks:
@@ -31,7 +34,9 @@ def vector_width(df: DataFrame, vector: str) -> int:
     return row["n"] if row else 0
 
 
-def plan_blocks(df: DataFrame, width: int, rows: int | None = None) -> Blocks:
+def plan_blocks(
+    df: DataFrame, width: int, rows: int | None = None, block_bytes: int | None = None
+) -> Blocks:
     """Choose a block count so that one block is bounded in bytes and rows.
 
     Counting reads no vectors. Smaller tables are cut further, so that the
@@ -39,7 +44,7 @@ def plan_blocks(df: DataFrame, width: int, rows: int | None = None) -> Blocks:
     """
     rows = df.count() if rows is None else rows
     parallel = max(1, math.isqrt(df.sparkSession.sparkContext.defaultParallelism))
-    fits = max(1, min(MAX_BLOCK_ROWS, BLOCK_BYTES // (4 * max(width, 1))))
+    fits = max(1, min(MAX_BLOCK_ROWS, (block_bytes or BLOCK_BYTES) // (4 * max(width, 1))))
     target = min(fits, max(MIN_BLOCK_ROWS, math.ceil(rows / parallel)))
     return Blocks(rows, max(1, math.ceil(rows / target)))
 
@@ -61,15 +66,20 @@ def run_tiles(
     """Apply ``tile(left_table, right_table)`` to every pair of blocks.
 
     The frames carry their block in ``_lb`` and ``_rb``. Every row is copied
-    to each block of the other side and the tiles are hash-distributed, so a
-    task holds one tile at a time. The explicit partition number keeps adaptive
-    execution from merging tiles, whose bytes say little about their work; while
-    tiles are fewer than the cluster's slots, spare partitions keep two tiles
-    from sharing one.
+    to each block of the other side. Right blocks form groups ``_rg``, and one
+    partition holds the tiles of a left block with one group, one in memory at
+    a time. As long as there are few tiles a group is a single block; a larger
+    grid shares ``MAX_PARTITIONS`` partitions, and what its tiles emit can then
+    be combined per partition before the next shuffle.
+
+    The explicit partition number keeps adaptive execution from merging tiles,
+    whose bytes say little about their work; while tiles are fewer than the
+    cluster's slots, spare partitions keep two of them from sharing one.
     """
-    tiles = left_blocks * right_blocks
+    groups = max(1, min(right_blocks, MAX_PARTITIONS // left_blocks))
+    filled = left_blocks * groups
     slots = 4 * left.sparkSession.sparkContext.defaultParallelism
-    partitions = max(tiles, min(4 * tiles, slots)) if tiles > 1 else 1
+    partitions = max(filled, min(4 * filled, slots)) if filled > 1 else 1
 
     def spread(df: DataFrame, other: str, n: int, names: Sequence[str]) -> DataFrame:
         copies = F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
@@ -79,8 +89,9 @@ def run_tiles(
         fresh = [F.col(c).alias(c) for c in [*names, own]]
         return (
             df.select(*fresh, copies.alias(other))
-            .repartition(partitions, "_lb", "_rb")
-            .groupBy("_lb", "_rb")
+            .withColumn("_rg", F.col("_rb") % groups)
+            .repartition(partitions, "_lb", "_rg")
+            .groupBy("_lb", "_rg", "_rb")
         )
 
     return (

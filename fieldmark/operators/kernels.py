@@ -61,6 +61,12 @@ def _places(group: np.ndarray) -> np.ndarray:
     return places
 
 
+def _row_bytes(vectors: np.ndarray) -> np.ndarray:
+    """One comparable value per row."""
+    plain = np.ascontiguousarray(vectors)
+    return plain.view(np.dtype((np.void, plain.dtype.itemsize * plain.shape[1]))).ravel()
+
+
 def _leading_copies(vectors: np.ndarray, codes: np.ndarray | None, k: int) -> np.ndarray:
     """Row positions to keep: of equal vectors only those that can be answers.
 
@@ -69,8 +75,7 @@ def _leading_copies(vectors: np.ndarray, codes: np.ndarray | None, k: int) -> np
     k ids per label suffice, and of these the first 2k: at most k of them share
     the query's label.
     """
-    plain = np.ascontiguousarray(vectors)
-    keys = plain.view(np.dtype((np.void, plain.dtype.itemsize * plain.shape[1]))).ravel()
+    keys = _row_bytes(vectors)
     _, group = np.unique(keys, return_inverse=True)
     keep = np.arange(len(keys))
     if group.max() + 1 == len(keys):
@@ -182,6 +187,8 @@ def distances_to_labels(rows: np.ndarray, block: np.ndarray, codes: np.ndarray):
     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     norm = np.einsum("ij,ij->i", block, block)
     doubled = np.ascontiguousarray(-2 * block.T)
+    _, ids = np.unique(_row_bytes(np.concatenate([rows.astype(np.float64), block])), return_inverse=True)
+    row_ids, block_ids = ids[: len(rows)], ids[len(rows) :]
     out = np.empty((len(rows), len(starts)))
     step = max(1, CELLS // len(block))
     for s in range(0, len(rows), step):
@@ -190,8 +197,12 @@ def distances_to_labels(rows: np.ndarray, block: np.ndarray, codes: np.ndarray):
         squared = part @ doubled
         squared += norm
         squared += own[:, None]
-        # Rounding may put copies a hair apart or below zero: measure them again.
+        # Rounding may put copies a hair apart or below zero: copies are at 0,
+        # and other close pairs are measured again.
         row, col = np.nonzero(squared < 1e-9 * (own.max() + norm.max()))
+        copy = row_ids[s + row] == block_ids[col]
+        squared[row[copy], col[copy]] = 0.0
+        row, col = row[~copy], col[~copy]
         for a in range(0, len(row), step):
             r, c = row[a : a + step], col[a : a + step]
             squared[r, c] = exact_squared(part[r], block[c])

@@ -26,6 +26,7 @@ def nearest(
     other_label_only: bool = False,
     query_rows: int | None = None,
     gallery_rows: int | None = None,
+    block_bytes: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest gallery rows of every query row.
 
@@ -37,13 +38,14 @@ def nearest(
 
     Both tables are cut into hash blocks and every block pair is one task that
     emits only its ``k`` best rows per query; the bests are then merged per
-    query. Row counts are taken by a job unless passed in.
+    query. Row counts are taken by a job unless passed in. A larger
+    ``block_bytes`` shuffles fewer copies and needs more memory per task.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     width = vector_width(gallery, vector)
-    left_blocks = plan_blocks(queries, width, query_rows)
-    right_blocks = plan_blocks(gallery, width, gallery_rows)
+    left_blocks = plan_blocks(queries, width, query_rows, block_bytes)
+    right_blocks = plan_blocks(gallery, width, gallery_rows, block_bytes)
 
     carried = [c for c in query_columns if c != label]
     left_names = [key, vector, *carried]

@@ -206,10 +206,13 @@ def mine_semi_hard(
     other identities with ``dp < dn < dp + margin`` qualify and the nearest is
     taken, the smaller key on ties; anchors without one give no triplet. The
     positive distance adds ``eps`` to each difference, the batch ones do not.
+    Batches and draws are made on keys; vectors join when both are known. Stage
+    ``rows`` first if they are costly, because they are read three times.
     """
-    batched = stage(assign_batches(rows.select(key, label, vector), batch_size, seed, key=key))
+    batched = stage(assign_batches(rows.select(key, label), batch_size, seed, key=key))
     drawn = sample_positives(batched, triplets_per_anchor, seed, key=key, label=label)
-    positives = batched.select(F.col(key).alias("positive_id"), F.col(vector).alias("_positive"))
+    vectors = rows.select(key, vector)
+    positives = vectors.select(F.col(key).alias("positive_id"), F.col(vector).alias("_positive"))
     # triplets_per_anchor rows per group.
     fetched = (
         drawn.join(positives, "positive_id")
@@ -224,7 +227,11 @@ def mine_semi_hard(
             l2(F.col(vector), x.getField("_positive"), eps).alias("dp"),
         ),
     )
-    work = batched.join(fetched, key, "left").select("batch", key, label, vector, measured.alias("_drawn"))
+    work = (
+        batched.join(vectors, key)
+        .join(fetched, key, "left")
+        .select("batch", key, label, vector, measured.alias("_drawn"))
+    )
     id_type = rows.schema[key].dataType
     schema = T.StructType(
         [

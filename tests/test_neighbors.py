@@ -32,10 +32,12 @@ def same(a, b):
     np.testing.assert_allclose([x[2] for x in a], [x[2] for x in b], rtol=1e-12, atol=1e-12)
 
 
-@pytest.mark.parametrize("block_rows", [65_536, 37])
+@pytest.mark.parametrize("block_rows, partitions", [(65_536, 1000), (37, 1000), (37, 10)])
 @pytest.mark.parametrize("other", [False, True])
-def test_nearest_matches_brute_force(rows, monkeypatch, block_rows, other):
+def test_nearest_matches_brute_force(rows, monkeypatch, block_rows, partitions, other):
+    """One tile; one tile per partition; several tiles of a left block per partition."""
     monkeypatch.setattr(grid, "MAX_BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(grid, "MAX_PARTITIONS", partitions)
     known = rows.where("identity is not null")
     queries = known if other else rows.where("identity is null")
     found = nearest(queries, known, 4, other_label_only=other)
