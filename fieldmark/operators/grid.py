@@ -6,6 +6,8 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,21 +83,30 @@ def run_tiles(
     slots = 4 * left.sparkSession.sparkContext.defaultParallelism
     partitions = max(filled, min(4 * filled, slots)) if filled > 1 else 1
 
-    def spread(df: DataFrame, other: str, n: int, names: Sequence[str]) -> DataFrame:
+    def spread(df: DataFrame, side: str, own: str, other: str, n: int, names: Sequence[str]) -> DataFrame:
         copies = F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
-        own = "_rb" if other == "_lb" else "_lb"
-        # Fresh aliases: both sides may come from one frame, and a cogroup
-        # drops right columns that are the very same attributes as left ones.
-        fresh = [F.col(c).alias(c) for c in [*names, own]]
-        return (
-            df.select(*fresh, copies.alias(other))
-            .withColumn("_rg", F.col("_rb") % groups)
-            .repartition(partitions, "_lb", "_rg")
-            .groupBy("_lb", "_rg", "_rb")
-        )
+        mine = [F.col(c).alias(f"{side}_{c}") for c in names]
+        return df.select(*mine, own, copies.alias(other))
+
+    # One grouped frame rather than a cogroup: a cogroup would insist on hashing
+    # all three block columns and shuffle a second time.
+    both = spread(left, "l", "_lb", "_rb", right_blocks, columns[0]).withColumn(
+        "_left", F.lit(True)
+    ).unionByName(
+        spread(right, "r", "_rb", "_lb", left_blocks, columns[1]).withColumn("_left", F.lit(False)),
+        allowMissingColumns=True,
+    )
+    left_names, right_names = list(columns[0]), list(columns[1])
+
+    def on_both(group: pa.Table) -> pa.Table:
+        is_left = group["_left"]
+        rows = group.filter(is_left).select([f"l_{c}" for c in left_names])
+        block = group.filter(pc.invert(is_left)).select([f"r_{c}" for c in right_names])
+        return tile(rows.rename_columns(left_names), block.rename_columns(right_names))
 
     return (
-        spread(left, "_rb", right_blocks, columns[0])
-        .cogroup(spread(right, "_lb", left_blocks, columns[1]))
-        .applyInArrow(tile, schema)
+        both.withColumn("_rg", F.col("_rb") % groups)
+        .repartition(partitions, "_lb", "_rg")
+        .groupBy("_lb", "_rg", "_rb")
+        .applyInArrow(on_both, schema)
     )
