@@ -329,6 +329,33 @@ WITH z AS (
 SELECT image_id, pos, round(z / greatest(sqrt(sum(z * z) OVER (PARTITION BY image_id)), 1e-12), 6) AS value
 FROM z"""
 
+# The error function by its power series, which converges fast for these sizes.
+ERF = (
+    "(2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda n: "
+    "pow(-1, n) * pow({x}, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))))"
+)
+
+NONLINEAR = f"""
+WITH h AS (
+  SELECT vec_id AS image_id, o,
+         sum(embedding[i + 1]::DOUBLE * {weight('o', 'i', 0)}) + (o % 3 - 1) / 10.0::DOUBLE AS h
+  FROM embeddings, range(32) a(o), range(64) b(i) GROUP BY vec_id, o),
+g AS (SELECT image_id, o AS i, 0.5::DOUBLE * h * (1 + {ERF.format(x='(h / sqrt(2))')}) AS g FROM h),
+z AS (
+  SELECT image_id, o AS pos, sum(g * {weight('o', 'i', 3)}) + (o % 3 - 1) / 10.0::DOUBLE AS z
+  FROM g, range(16) a(o) GROUP BY image_id, o)
+SELECT image_id, pos, round(z / greatest(sqrt(sum(z * z) OVER (PARTITION BY image_id)), 1e-12), 6) AS value
+FROM z"""
+
+# CRC-32 of the id's text: per byte eight shifts, with the reversed polynomial.
+CRC_BUCKET = """
+SELECT vec_id AS image_id, xor(list_reduce(
+  list_transform(string_split(vec_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+  lambda crc, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[],
+    lambda a, step: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(crc, b)),
+  4294967295::BIGINT), 4294967295) % 10 AS sample_id
+FROM embeddings"""
+
 ELEMENTS = """SELECT vec_id AS image_id, i AS pos, round({value}, 6) AS value
 FROM embeddings, range({n}) t(i)"""
 
@@ -393,6 +420,7 @@ SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN label END AS epoch_number FROM embe
     "in_list": "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'fr')",
     "known_unknown": f"""WITH {IMAGES}
 SELECT dataset, identity IS NOT NULL AS known, count(*) AS count FROM images GROUP BY ALL""",
+    "hash_sample": CRC_BUCKET,
     "struct_fields": "SELECT vec_id AS image_id, 16 AS cls_size, 16 AS avg_patch_size FROM embeddings",
     "token_pool": f"""
 SELECT image_id, pos, round(cls, 6) AS cls, round(avg_patch, 6) AS avg_patch FROM ({TOKENS})""",
@@ -594,6 +622,7 @@ SELECT dataset AS label, neighbor_dataset AS prediction, count(*) AS count FROM
 SELECT image_id, label::VARCHAR AS label, round(s, 6) AS silhouette FROM sil""",
     # models
     "linear_projection": LINEAR,
+    "nonlinear_projection": NONLINEAR,
     "batch_embed": """
 SELECT doc_id, strlen(text) AS bytes, length(text) - length(replace(text, ' ', '')) AS spaces FROM documents""",
 }
