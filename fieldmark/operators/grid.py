@@ -64,8 +64,9 @@ def run_tiles(
     tile: Callable,
     schema: T.StructType,
     columns: tuple[Sequence[str], Sequence[str]],
+    triangle: bool = False,
 ) -> DataFrame:
-    """Apply ``tile(left_table, right_table)`` to every pair of blocks.
+    """Apply ``tile(left_table, right_table, mirrored)`` to every pair of blocks.
 
     The frames carry their block in ``_lb`` and ``_rb``. Every row is copied
     to each block of the other side. Right blocks form groups ``_rg``, and one
@@ -77,6 +78,10 @@ def run_tiles(
     The explicit partition number keeps adaptive execution from merging tiles,
     whose bytes say little about their work; while tiles are fewer than the
     cluster's slots, spare partitions keep two of them from sharing one.
+
+    With ``triangle``, left and right are one table in the same blocks: only
+    pairs with ``_lb <= _rb`` are formed, which halves the copies, and ``tile``
+    answers for both sides where ``mirrored`` is true.
     """
     groups = max(1, min(right_blocks, MAX_PARTITIONS // left_blocks))
     filled = left_blocks * groups
@@ -84,7 +89,9 @@ def run_tiles(
     partitions = max(filled, min(4 * filled, slots)) if filled > 1 else 1
 
     def spread(df: DataFrame, side: str, own: str, other: str, n: int, names: Sequence[str]) -> DataFrame:
-        copies = F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
+        first = F.col(own) if triangle and side == "l" else F.lit(0)
+        last = F.col(own) if triangle and side == "r" else F.lit(n - 1)
+        copies = F.explode(F.sequence(first, last)) if n > 1 else F.lit(0)
         mine = [F.col(c).alias(f"{side}_{c}") for c in names]
         return df.select(*mine, own, copies.alias(other))
 
@@ -102,7 +109,8 @@ def run_tiles(
         is_left = group["_left"]
         rows = group.filter(is_left).select([f"l_{c}" for c in left_names])
         block = group.filter(pc.invert(is_left)).select([f"r_{c}" for c in right_names])
-        return tile(rows.rename_columns(left_names), block.rename_columns(right_names))
+        mirrored = triangle and group["_lb"][0].as_py() != group["_rb"][0].as_py()
+        return tile(rows.rename_columns(left_names), block.rename_columns(right_names), mirrored)
 
     return (
         both.withColumn("_rg", F.col("_rb") % groups)

@@ -44,14 +44,18 @@ def nearest(
     if k < 1:
         raise ValueError("k must be at least 1")
     width = vector_width(gallery, vector)
+    # A table joined with itself needs each pair of blocks only once.
+    itself = queries is gallery
     left_blocks = plan_blocks(queries, width, query_rows, block_bytes)
-    right_blocks = plan_blocks(gallery, width, gallery_rows, block_bytes)
+    right_blocks = left_blocks if itself else plan_blocks(gallery, width, gallery_rows, block_bytes)
 
     carried = [c for c in query_columns if c != label]
     left_names = [key, vector, *carried]
     if other_label_only or label in query_columns:
         left_names.append(label)
     right_names = [key, vector, label]
+    if itself:
+        left_names = right_names = [key, vector, label, *carried]
     left = queries.where(F.col(vector).isNotNull()).select(
         *left_names, even_block(key, left_blocks).alias("_lb")
     )
@@ -71,7 +75,7 @@ def nearest(
     )
     out_columns = [key, *query_columns]
 
-    def tile(q: pa.Table, g: pa.Table) -> pa.Table:
+    def one_way(q: pa.Table, g: pa.Table) -> pa.Table:
         if q.num_rows == 0 or g.num_rows == 0:
             row, place, rank, distance = [], [], [], []
         else:
@@ -90,8 +94,13 @@ def nearest(
         ]
         return pa.table(values, names=[*out_columns, "rank", "distance", "neighbor_id", neighbor_label])
 
+    def tile(q: pa.Table, g: pa.Table, mirrored: bool) -> pa.Table:
+        found = one_way(q, g)
+        return pa.concat_tables([found, one_way(g, q)]) if mirrored else found
+
     best = run_tiles(
-        left, right, left_blocks.count, right_blocks.count, tile, schema, (left_names, right_names)
+        left, right, left_blocks.count, right_blocks.count, tile, schema,
+        (left_names, right_names), triangle=itself,
     )
     if right_blocks.count == 1:
         return best

@@ -152,7 +152,7 @@ def silhouette_samples(
         ]
     )
 
-    def tile(rows: pa.Table, block: pa.Table) -> pa.Table:
+    def tile(rows: pa.Table, block: pa.Table, mirrored: bool) -> pa.Table:
         out = {name: [] for name in schema.names}
         if rows.num_rows and block.num_rows:
             coded = block[label].combine_chunks().dictionary_encode()

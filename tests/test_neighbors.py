@@ -42,6 +42,13 @@ def test_nearest_matches_brute_force(rows, monkeypatch, block_rows, partitions,
     queries = known if other else rows.where("identity is null")
     found = nearest(queries, known, 4, other_label_only=other)
     same(as_list(found), brute(queries.toPandas(), known.toPandas(), 4, other))
+    if other:
+        # The same rows as two tables take the full grid instead of the triangle.
+        apart = nearest(known.select("*"), known, 4, other_label_only=True, query_columns=["dataset"])
+        assert sorted(as_list(apart)) == sorted(as_list(found))
+        carried = nearest(known, known, 4, other_label_only=True, query_columns=["dataset", "identity"])
+        same_rows = carried.join(known.select("image_id", "dataset", "identity"), ["image_id", "dataset", "identity"])
+        assert same_rows.count() == found.count()
 
 
 def test_copies_and_ties_go_to_the_smaller_id(spark, monkeypatch):
