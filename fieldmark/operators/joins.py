@@ -30,7 +30,7 @@ def group_count(
     NULL keys form one group. Equal to a count over a window partitioned by
     ``key``, but no task ever holds a whole key: counts are combined per
     (key, salt), summed over at most ``SALTS`` partial counts, and joined back
-    on (key, salt).
+    on (key, salt). ``rows`` are read twice: stage them if they are costly.
     """
     tagged = _salted(rows, counted)
     partial = tagged.groupBy(key, "_salt").agg(F.count(counted).alias("_n"))
@@ -47,7 +47,7 @@ def attach_by_key(
 
     The table is first copied to the salts its key really occurs with, at most
     ``SALTS`` per key, so the wide join runs on (key, salt). ``how`` is
-    ``left`` or ``inner``.
+    ``left`` or ``inner``. ``rows`` are read twice: stage them if they are costly.
     """
     tagged = _salted(rows, spread)
     present = tagged.select(key, "_salt").distinct()

@@ -45,7 +45,8 @@ def rank_by_hash(
 
     Rows are shuffled by (group, hash slice). A group with a third of all rows
     is thus spread over up to 65,536 slices; what its slices have to know about
-    each other is a table of at most as many counts.
+    each other is a table of at most as many counts. ``df`` is read twice: stage
+    it if it is costly.
     """
     within = list(within)
     tagged = df.withColumn("_hash", hash_order(seed, key)).withColumn(

@@ -129,10 +129,8 @@ def silhouette_samples(
     big = F.col("_size") > piece_rows
     plan = sizes.where(big).agg(F.coalesce(F.sum(pieces), F.lit(0)).alias("n")).first()["n"]
     small_blocks = blocks.count
-    # Large labels hold at least piece_rows rows each: their number is bounded
-    # by the block count, and so is this table.
     starts = _piece_starts(sizes, label, big, pieces, small_blocks)
-    labelled = attach_by_key(df, sizes.join(F.broadcast(starts), label, "left"), label, key)
+    labelled = attach_by_key(df, sizes.join(starts, label, "left"), label, key)
     own = (
         F.when(F.col("_start").isNull(), F.pmod(F.xxhash64(label), F.lit(small_blocks)))
         .otherwise(F.col("_start") + F.pmod(F.xxhash64(key), F.col("_pieces")))
@@ -149,6 +147,7 @@ def silhouette_samples(
             T.StructField("same", T.BooleanType()),
             T.StructField("total", T.DoubleType()),
             T.StructField("mean", T.DoubleType()),
+            T.StructField("size", T.DoubleType()),
         ]
     )
 
@@ -172,9 +171,9 @@ def silhouette_samples(
                 out["other"].append(coded.dictionary.take(pa.array(c)))
                 out["same"].append(pa.array(np.full(len(r), is_same)))
                 out["total"].append(pa.array(total[r, c]))
-                out["mean"].append(
-                    pa.array(total[r, c] / size[c]) if complete else pa.nulls(len(r), pa.float64())
-                )
+                unknown = pa.nulls(len(r), pa.float64())
+                out["mean"].append(pa.array(total[r, c] / size[c]) if complete else unknown)
+                out["size"].append(unknown if complete else pa.array(size[c]))
 
             r, c = np.nonzero(same)
             emit(r, c, True, False)
@@ -187,19 +186,16 @@ def silhouette_samples(
                 r, c = np.nonzero(~same)
                 emit(r, c, False, False)
         types = [ids.type if rows.num_rows and block.num_rows else rows[key].type,
-                 block[label].type, pa.bool_(), pa.float64(), pa.float64()]
+                 block[label].type, pa.bool_(), pa.float64(), pa.float64(), pa.float64()]
         return pa.table(
             [pa.concat_arrays(v) if v else pa.array([], t) for v, t in zip(out.values(), types)],
             names=schema.names,
         )
 
     parts = run_tiles(left, labelled, blocks.count, small_blocks + int(plan), tile, schema, names)
-    summed = parts.groupBy(key, "other", "same").agg(
-        F.sum("total").alias("total"), F.min("mean").alias("mean")
-    )
-    large = sizes.where(big).select(F.col(label).alias("other"), F.col("_size").alias("_other_size"))
-    means = summed.join(F.broadcast(large), "other", "left").select(
-        key, "same", "total", F.coalesce("mean", F.col("total") / F.col("_other_size")).alias("mean")
+    means = parts.groupBy(key, "other", "same").agg(
+        F.sum("total").alias("total"),
+        F.coalesce(F.min("mean"), F.sum("total") / F.max("size")).alias("mean"),
     )
     per_row = means.groupBy(key).agg(
         F.max(F.when(F.col("same"), F.col("total"))).alias("_inner"),
@@ -218,6 +214,7 @@ def silhouette_samples(
 
 
 def _piece_starts(sizes, label, big, pieces, first) -> DataFrame:
+    """First block of each large label; there are at most four per grid block."""
     earlier = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.where(big).select(
         label,

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldmark.operators.joins import attach_by_key
+
+# Up to this many files, their offsets are broadcast.
+FEW_FILES = 50_000
+
 
 def row_numbers(spark: SparkSession, path: str, out: str = "row_number") -> DataFrame:
     """Parquet rows with their 0-based position in file order.
@@ -27,10 +32,11 @@ def row_numbers(spark: SparkSession, path: str, out: str = "row_number") -> Data
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select("_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     )
-    # One row per file.
-    return located.join(F.broadcast(files), "_file").select(
-        *df.columns, (F.col("_before") + F.col("_index")).alias(out)
-    )
+    if len(df.inputFiles()) <= FEW_FILES:
+        joined = located.join(F.broadcast(files), "_file")
+    else:
+        joined = attach_by_key(located, files, "_file", "_index", "inner")
+    return joined.select(*df.columns, (F.col("_before") + F.col("_index")).alias(out))
 
 
 def positional_zip(

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldmark.sources import staging
+from fieldmark.sources import positions, staging
 from fieldmark.sources.positions import positional_zip, row_numbers
 from fieldmark.sources.tables import (
     METADATA_COLUMNS,
@@ -110,7 +110,9 @@ def test_reconciliation(spark):
     assert {tuple(r) for r in key_differences(a, b, "id").collect()} == {(0, 1, 0), (5, 0, 1)}
 
 
-def test_positions_follow_file_order(spark, tmp_path):
+@pytest.mark.parametrize("few", [positions.FEW_FILES, 0])
+def test_positions_follow_file_order(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(positions, "FEW_FILES", few)
     rng = np.random.default_rng(0)
     values = [int(v) for v in rng.permutation(5000)]
     path = str(tmp_path / "rows")
