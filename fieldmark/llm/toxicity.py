@@ -1,8 +1,8 @@
 """Toxicity as an ordered severity, by cumulative-link regression on the words of a text.
 
 ``P(grade > k) = sigmoid(w.x - cut_k)``: all cuts share the weights ``w``, so the predicted chances are
-ordered, and the sum of them is the expected severity. ``x`` has a 1 for each word of the vocabulary that
-the text holds.
+ordered, and the sum of them is the expected severity. ``x`` has a 1 for each word, or beginning of a word,
+of the vocabulary that the text holds.
 
 The fit reads at most ``max_labelled`` labelled documents, those with the smallest hash of their id; its
 sparse rows (at most that many, of at most ``max_words`` words) are the only thing that reaches the driver.
@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Lengths of the word beginnings that are features too: they stand for the forms of a stem.
+BEGINNINGS = (5, 6)
+#: Standard errors from the overall share that make a feature part of the vocabulary.
+LEAST_Z = 4.5
 
 SCORES = T.StructType(
     [
@@ -41,14 +45,15 @@ class OrdinalModel:
     cuts: np.ndarray
 
 
-def distinct_words(text: str | None) -> set[str]:
-    """Lower-case runs of letters."""
-    return set(LETTERS.findall(text.lower())) if text else set()
+def features(text: str | None) -> set[str]:
+    """Lower-case runs of letters, and the beginnings of the longer ones (written with a dash after them)."""
+    words = set(LETTERS.findall(text.lower())) if text else set()
+    return words | {f"{word[:n]}-" for word in words for n in BEGINNINGS if len(word) > n}
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def word_sets(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda text: sorted(distinct_words(text)))
+def feature_sets(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda text: sorted(features(text)))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -56,7 +61,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit_ordinal(
-    rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width: int, penalty: float = 2.0, steps: int = 400
+    rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width: int, penalty: float = 0.1, steps: int = 400
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing cuts of the cumulative-link model, by accelerated gradient steps.
 
@@ -113,7 +118,7 @@ def fit(
     """A model from binary labels.
 
     The words of the vocabulary are those whose share of toxic documents is farthest from the overall
-    share (at least 3.3 standard errors). Toxic documents get the grades 1 to ``grades`` by how many
+    share (at least LEAST_Z standard errors). Toxic documents get the grades 1 to ``grades`` by how many
     words that mark toxicity they hold; the others have grade 0. Rows without an id, label or text take
     no part; a document labelled twice is toxic if one label says so.
     """
@@ -122,7 +127,7 @@ def fit(
     )
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     texts = docs.where("text IS NOT NULL").select("doc_id", "text")
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", word_sets("text").alias("words"))
+    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", feature_sets("text").alias("words"))
     rows = rows.persist()
     try:
         total = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
@@ -136,7 +141,7 @@ def fit(
         vocabulary = (
             counted.where(F.col("n") >= least_docs)
             .select("word", ((F.col("n_toxic") - F.col("n") * share) / spread).alias("z"))
-            .where(F.abs("z") >= 3.3)
+            .where(F.abs("z") >= LEAST_Z)
             .orderBy(F.abs("z").desc(), "word")
             .limit(max_words)
             .collect()
@@ -175,7 +180,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", out: str = "
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = weight.keys()
         for texts in batches:
-            found = [known & distinct_words(text) for text in texts]
+            found = [known & features(text) for text in texts]
             z = np.array([sum(weight[w] for w in sorted(hit)) for hit in found], dtype=float).reshape(-1, 1)
             upper = sigmoid(z - cuts)
             edge = np.ones((len(z), 1))
