@@ -61,7 +61,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit_ordinal(
-    rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width: int, penalty: float = 0.1, steps: int = 400
+    rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, width: int, penalty: float = 0.01, steps: int = 600
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing cuts of the cumulative-link model, by accelerated gradient steps.
 
@@ -168,10 +168,13 @@ def fit(
     return OrdinalModel(tuple(words), weights, cuts)
 
 
-def score(docs: DataFrame, model: OrdinalModel, text: str = "text", out: str = "toxicity") -> DataFrame:
+def score(
+    docs: DataFrame, model: OrdinalModel, text: str = "text", out: str = "toxicity", threshold: float = 0.35
+) -> DataFrame:
     """``docs`` with a struct ``out`` of SCORES; null and empty texts hold no word of the vocabulary.
 
-    ``grade`` is the most likely grade; ``is_toxic`` says that a grade above 0 is more likely than not.
+    ``grade`` is the most likely grade; ``is_toxic`` says that a grade above 0 has a chance of at
+    least ``threshold``.
     """
     weight = dict(zip(model.words, model.weights.tolist(), strict=True))
     cuts = model.cuts
@@ -191,7 +194,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", out: str = "
                     "expected_severity": upper.sum(axis=1),
                     "p_toxic": upper[:, 0],
                     "grade": chances.argmax(axis=1).astype(np.int32),
-                    "is_toxic": upper[:, 0] >= 0.5,
+                    "is_toxic": upper[:, 0] >= threshold,
                 }
             )
 
