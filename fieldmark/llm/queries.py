@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import multi_index, packing, pieces, quality, secrets, tokens, toxicity
+from fieldmark.llm import multi_index, packing, pieces, quality, secrets, suffix, tokens, toxicity
 
 CAPACITY = 2_048
 TOKEN_LIMIT = 512
@@ -28,6 +28,18 @@ def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = suffix.remove_repeats(docs, length=400)
+    removed = F.aggregate(
+        "spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["begin"]
+    )
+    return rows.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     cut = packing.cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY)
@@ -71,6 +83,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_toxicity,
     op2_multi_index,
+    op3_suffix_dedup,
     op4_best_fit_packing,
     op5_token_counts,
     op6_quality_rules,
