@@ -18,7 +18,7 @@ uses what the round before has settled:
 The first round leaves a set filter of fixed size, so that the texts are not moved: each round is a scan of
 the texts, and only anchors and windows that may have company are shuffled, keyed on their bucket. Counts are
 combined before the shuffle, and the join that hands a count back to the members of a bucket can be split, so
-a string that a third of all documents hold is no harm. Settled buckets and windows are told apart by 128 bits.
+a string that a third of all documents hold is no harm. Settled buckets are told apart by 128 bits, windows by 96.
 
 Strings do not reach over documents; a null text is empty; texts shorter than ``length`` lose nothing.
 Repeated rows are documents of their own, so each loses what it shares with its twin.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.llm import bloom
@@ -39,7 +39,7 @@ from fieldmark.llm.rolling import CHUNK, SECOND_MULTIPLIER, mix, running_sums, s
 from fieldmark.sources.staging import stage
 
 #: Places in front of a window among which its anchor is chosen, and bytes of the grams compared.
-SPREAD = 128
+SPREAD = 64
 GRAM = 17
 #: Bits of a sort key that hold the place inside a chunk.
 PLACE_BITS = np.uint64(21)
@@ -91,6 +91,10 @@ def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(f"`{key}`")).alias("k1"), F.xxhash64(body).alias("k2"), body.alias("body"))
 
 
+def _row_mark() -> Column:
+    return F.xxhash64("k1", "k2")
+
+
 def _each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
     for batch in batches:
         k1 = batch.column("k1").to_numpy()
@@ -190,13 +194,13 @@ def repeated_spans(docs: DataFrame, length: int = 400, key: str = "doc_id", text
                 n = len(begin)
                 if rows.add(
                     windows(sums, begin, begin + length).view(np.int64),
-                    windows(second, begin, begin + length, SECOND_MULTIPLIER).view(np.int64),
+                    (windows(second, begin, begin + length, SECOND_MULTIPLIER) >> np.uint64(32)).astype(np.uint32).view(np.int32),
                     np.full(n, k1), np.full(n, k2), (at + begin).astype(np.int32),
                 ):
                     yield from rows.flush()
         yield from rows.flush()
 
-    single = stage(texts.mapInArrow(single_windows, "w1 long, w2 long, k1 long, k2 long, begin int"))
+    single = stage(texts.mapInArrow(single_windows, "w1 long, w2 int, k1 long, k2 long, begin int"))
     twice = single.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
     repeated = single.join(twice, ["w1", "w2"])
     spans = settled.select("k1", "k2", "begin", (F.col("last") + length).alias("end")).unionAll(
@@ -215,9 +219,27 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
         F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{key}`")).alias("k1"), F.xxhash64(body).alias("k2"),
         body.cast("binary").alias("body"),
     )
-    joined = slim.join(found.hint("shuffle_hash"), list(IDENTITY), "left").select("key", "body", "found")
+    found = stage(found)
+    affected = bloom.build(found.select(_row_mark().alias("mark")), "mark")
+    slim = slim.withColumn("mark", _row_mark())
     kind = slim.schema["key"].dataType.simpleString()
 
+    def chosen(wanted: bool):
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                marks = batch.column("mark").to_numpy().view(np.uint64)
+                rows = batch.filter(pa.array(bloom.holds(affected.value, marks) == wanted))
+                yield rows.drop_columns(["mark"])
+
+        return slim.mapInArrow(choose, f"key {kind}, k1 long, k2 long, body binary").select("key", "k1", "k2", "body")
+
+    # Texts that lose nothing stay where they are; only the others meet their spans.
+    joined = chosen(True).join(found.hint("shuffle_hash"), list(IDENTITY), "left").select("key", "body", "found")
+    whole = chosen(False).select(
+        "key", F.octet_length("body").cast("long").alias("n_bytes"),
+        F.array().cast("array<struct<begin:long,end:long>>").alias("spans"), F.col("body").alias("kept"),
+    )
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies, spans, kept = batch.column("body"), [], []
@@ -247,4 +269,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
             )
 
     schema = f"key {kind}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary"
-    return joined.mapInArrow(cut, schema).withColumnRenamed("key", key)
+    return joined.mapInArrow(cut, schema).unionAll(whole).withColumnRenamed("key", key)
