@@ -82,7 +82,35 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 FROM documents d LEFT JOIN listed l ON l.doc_id = d.doc_id
 """
 
+JACCARD = rf"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents
+),
+s AS (
+    SELECT DISTINCT doc_id, md5_number(array_to_string(words[i : i + 4], ' ')) AS g FROM (
+        SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM w WHERE len(words) > 0
+    )
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+    GROUP BY ALL
+),
+links AS (
+    SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)
+),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b
+),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN least ON a = d.doc_id
+"""
+
 SQL: dict[str, str] = {
     "op6_quality_rules": QUALITY,
     "op7_secret_scan": SECRETS,
+    "op8_ngram_jaccard": JACCARD,
 }

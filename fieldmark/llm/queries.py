@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import multi_index, packing, pieces, quality, secrets, suffix, tokens, toxicity
+from fieldmark.llm import jaccard, multi_index, packing, pieces, quality, secrets, suffix, tokens, toxicity
 
 CAPACITY = 2_048
 TOKEN_LIMIT = 512
@@ -75,6 +75,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.near_duplicates(docs, size=5, percent=75)
+
+
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -88,5 +93,6 @@ REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op5_token_counts,
     op6_quality_rules,
     op7_secret_scan,
+    op8_ngram_jaccard,
     op10_sentence_pieces,
 )
