@@ -109,8 +109,47 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN least ON a = d.doc_id
 """
 
+LINES = rf"""
+WITH l AS (
+    SELECT doc_id, i, line, list_sort(list_distinct(regexp_extract_all(line, '{WORD}'))) AS words FROM (
+        SELECT doc_id, parts[i] AS line, i FROM (
+            SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i
+            FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
+        )
+    )
+),
+c AS (
+    SELECT words, len(words) AS n, min((doc_id, i)) AS first, row_number() OVER (ORDER BY words) AS id
+    FROM l WHERE len(words) >= 5 GROUP BY words
+),
+t AS (SELECT id, n, unnest(words) AS word FROM c),
+shared AS (
+    SELECT a.id AS a, b.id AS b, count(*) AS o FROM t a
+    JOIN t b ON a.word = b.word AND a.id <> b.id AND 100 * b.n >= 90 * a.n AND 100 * a.n >= 90 * b.n
+    GROUP BY ALL
+),
+later AS (
+    SELECT DISTINCT x.words FROM shared JOIN c x ON x.id = a JOIN c y ON y.id = b
+    WHERE 100 * o >= 90 * (x.n + y.n - o) AND y.first < x.first
+),
+fate AS (
+    SELECT l.doc_id, l.i, l.line,
+           c.words IS NOT NULL AND ((l.doc_id, l.i) <> c.first OR later.words IS NOT NULL) AS gone
+    FROM l LEFT JOIN c ON c.words = l.words LEFT JOIN later ON later.words = l.words
+),
+kept AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+           coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+    FROM fate GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
 SQL: dict[str, str] = {
     "op6_quality_rules": QUALITY,
     "op7_secret_scan": SECRETS,
     "op8_ngram_jaccard": JACCARD,
+    "op9_line_dedup": LINES,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import jaccard, multi_index, packing, pieces, quality, secrets, suffix, tokens, toxicity
+from fieldmark.llm import jaccard, lines, multi_index, packing, pieces, quality, secrets, suffix, tokens, toxicity
 
 CAPACITY = 2_048
 TOKEN_LIMIT = 512
@@ -80,6 +80,16 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(docs, size=5, percent=75)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = lines.drop_repeated_lines(docs.withColumn("before", F.size(F.split("text", "\n"))), out="removed")
+    return rows.select(
+        "doc_id", F.coalesce("before", F.lit(0)).cast("long").alias("n_lines"),
+        F.size("removed").cast("long").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -94,5 +104,6 @@ REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op6_quality_rules,
     op7_secret_scan,
     op8_ngram_jaccard,
+    op9_line_dedup,
     op10_sentence_pieces,
 )
