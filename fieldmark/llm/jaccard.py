@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.llm import bloom
 from fieldmark.llm.components import connected
+from fieldmark.llm.frames import fresh
 from fieldmark.llm.rolling import CHUNK, mix, running_sums, windows
 from fieldmark.sources.staging import stage
 
@@ -352,6 +353,32 @@ def near_duplicates(
     )
 
 
+def one_of_each(
+    docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: the one with the smallest id.
+
+    Of rows with one id and one text one stays as well; documents with an empty set are in no group and stay.
+    """
+    own, k1, k2, rows = fresh(docs, "own", "k1", "k2", "rows")
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    marks = {k1: F.xxhash64(F.col(f"`{key}`")), k2: F.xxhash64(body)}
+    identified = docs.select(
+        F.struct(F.col(f"`{key}`").alias("key"), marks[k2].alias("k2")).alias(own), body.alias("body")
+    )
+    found = near_duplicates(identified, size, percent, own, "body")
+    stays = (
+        found.where(F.col(own) == F.col("component_id"))
+        .groupBy(F.xxhash64(f"{own}.key").alias(k1), F.col(f"{own}.k2").alias(k2))
+        .agg(F.count(F.lit(1)).alias(rows))
+    )
+    kept = docs.withColumns(marks).join(stays.hint("shuffle_hash"), [k1, k2])
+    single = kept.where(F.col(rows) == 1)
+    # Repeated rows are the exception; only they are sorted to find one of each.
+    repeated = kept.where(F.col(rows) > 1).dropDuplicates([k1, k2])
+    return single.unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after the components of linked classes have become one."""
     ends = links.join(labels.select(F.col("set_id").alias("a"), F.col("component").alias("ca")), "a").join(

@@ -115,6 +115,17 @@ def join_findings(docs: DataFrame, ledger: DataFrame, rule_version: int, text: s
     return joined.select(*(F.col(f"`{c}`") for c in slim.columns if c != blob), F.col(spans).alias("spans"))
 
 
+def redact_found(docs: DataFrame, ledger: DataFrame, rule_version: int, text: str = "text") -> DataFrame:
+    """``docs`` with every finding of the ledger blotted out; other texts, null ones too, stay as they are."""
+    blob, spans = fresh(docs, "blob", "spans")
+    found = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(
+        F.col("blob").alias(blob), F.col("spans").alias(spans)
+    )
+    joined = add_blob(docs, text, blob).join(found, blob, "left")
+    clean = F.when(F.col(spans).isNull(), F.col(f"`{text}`")).otherwise(redact(f"`{text}`", spans))
+    return joined.select(*(clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+
+
 def listed(spans: str, kinds: tuple[str, ...] = tuple(KINDS)) -> Column:
     """The spans of some kinds as ``kind:start:end``, joined by commas."""
     names = F.array(*(F.lit(kind) for kind in KINDS))
