@@ -1,17 +1,17 @@
 """Near-duplicate documents: an exact Jaccard join of word n-gram sets, by prefix trees.
 
 A document's set holds the fingerprints of its n-grams. All sets are ordered alike, rare n-grams first, by a
-table of counts over the whole corpus. Two sets that are similar enough share an n-gram within the rare
-quarter of both (the prefix), so only prefixes meet:
+table of counts over the whole corpus. Two sets that are similar enough share n-grams within the rare third
+of both (the prefix; how many, ``least_shared`` tells), so only prefixes meet:
 
 1. count n-grams into a table of fixed size (the global order);
 2. count prefix n-grams; those with company go into a set filter of fixed size;
 3. write each document's set id, and for documents with company their prefix n-grams and their whole set.
 
-Documents with equal sets are one class. In each bucket of a prefix n-gram a hub is drawn and the
-other classes are compared with it; linked classes become one component, and only buckets that
+Documents with equal sets are one class. In each bucket of a prefix n-gram a hub is drawn; every other class
+is compared with the hub it meets most often, linked classes become one component, and only buckets that
 still hold several components go on. After ``HUB_ROUNDS`` draws, all pairs of classes of different components
-that share a bucket, and pass the length and position filters, are compared. So no link that could join two
+that share enough buckets, and pass the length filter, are compared. So no link that could join two
 components is left out, while a group of thousands of near copies costs a few comparisons a member.
 
 A comparison is a walk: the partners of one class, cut into chunks of bounded size, are stored as a prefix
@@ -87,13 +87,21 @@ def gram_set(data: np.ndarray, size: int) -> np.ndarray:
     grams = np.full(count, size, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(size):
-            grams = mix(grams * np.uint64(0x9E3779B97F4A7C15) + words[i : i + count])
-    return np.unique(grams)
+            grams = grams * np.uint64(0x9E3779B97F4A7C15) + words[i : i + count]
+    return np.unique(mix(grams))
+
+
+def least_shared(n: int) -> int:
+    """How many common n-grams the long prefixes of two similar sets are made to share, by the smaller size."""
+    return max(1, n // 10)
 
 
 def prefix_length(n: int, percent: int) -> int:
-    """Elements, in the global order, among which sets of ``percent`` similarity share one."""
-    return n - -(-n * percent // 100) + 1
+    """Elements, in the global order, among which a set has ``least_shared`` of those it shares.
+
+    A similar set holds at least ``percent`` of this one, so at most the rest comes in between.
+    """
+    return n - -(-n * percent // 100) + least_shared(n)
 
 
 def needed(a, b, percent: int):
@@ -150,10 +158,9 @@ def global_counts(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def write_sets(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """One row per document: key, uid, n, set_id, and for those with company hits, places and grams.
+    """One row per document: key, uid, n, set_id, and for those with enough company hits and grams.
 
-    ``hits`` are the prefix n-grams that other documents may have too, ``places`` their places in the global
-    order; ``grams`` is the whole set in that order.
+    ``hits`` are the prefix n-grams that other documents may have too; ``grams`` is the whole set in order.
     """
     context = texts.sparkSession.sparkContext
     counts = context.broadcast(global_counts(texts, size))
@@ -185,26 +192,26 @@ def write_sets(texts: DataFrame, size: int, percent: int) -> DataFrame:
                 [
                     pa.array(columns[0], key_type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
                     pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.list_(pa.int64())),
-                    pa.array(columns[5], pa.list_(pa.int32())), pa.array(columns[6], pa.binary()),
+                    pa.array(columns[5], pa.binary()),
                 ],
-                names=["key", "uid", "n", "set_id", "hits", "places", "grams"],
+                names=["key", "uid", "n", "set_id", "hits", "grams"],
             )
 
         key_type = None
         for key, grams in _texts(batches, size):
             key_type = key_type or key.type
-            n, hits, places, whole = len(grams), None, None, None
+            n, hits, whole = len(grams), None, None
             set_id = np.uint64(0)
             if n:
                 with np.errstate(over="ignore"):
                     set_id = mix(mix(grams).sum(dtype=np.uint64, keepdims=True) + np.uint64(n))[0]
                 ordered = in_order(grams, counts.value)
                 own = ordered[: prefix_length(n, percent)]
-                found = np.nonzero(bloom.holds(shared.value, own))[0]
-                if len(found):
-                    hits, places = own[found].view(np.int64), found.astype(np.int32)
-                    whole = ordered.tobytes()
-            rows.append((key.as_py(), uid, n, int(set_id.view(np.int64)), hits, places, whole))
+                found = own[bloom.holds(shared.value, own)]
+                # A similar set has at least percent of this one's size.
+                if len(found) >= least_shared(-(-n * percent // 100)):
+                    hits, whole = found.view(np.int64), ordered.tobytes()
+            rows.append((key.as_py(), uid, n, int(set_id.view(np.int64)), hits, whole))
             uid += 1
             held += n + 50
             if held >= CHUNK_GRAMS:
@@ -213,7 +220,7 @@ def write_sets(texts: DataFrame, size: int, percent: int) -> DataFrame:
         if rows:
             yield flush()
 
-    schema = f"key {kind}, uid long, n long, set_id long, hits array<long>, places array<int>, grams binary"
+    schema = f"key {kind}, uid long, n long, set_id long, hits array<long>, grams binary"
     return stage(texts.mapInArrow(sets, schema))
 
 
@@ -250,17 +257,18 @@ def walk(partners: list[np.ndarray], probe: np.ndarray, percent: int) -> np.ndar
 
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) of set ids that are similar. ``sets`` has set_id, n and grams."""
-    pairs = stage(pairs)
-    sized = pairs.join(sets.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
-    chunks = sized.groupBy("a").agg((F.floor(F.sum("nb") / CHUNK_GRAMS) + 1).alias("chunks"))
+    """Those of ``pairs`` (a, b, n_b: nodes, and the size of b's set) that are similar.
+
+    ``sets`` has node and grams; a partner's set travels once for each of its pairs.
+    """
+    chunks = pairs.groupBy("a").agg((F.floor(F.sum("n_b") / CHUNK_GRAMS) + 1).alias("chunks"))
     placed = stage(
         pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     )
     probes = placed.select(F.col("a").alias("of"), F.col("chunk").alias("part")).distinct().join(
-        sets.select(F.col("set_id").alias("of"), F.col("grams").alias("probe")), "of"
+        sets.select(F.col("node").alias("of"), F.col("grams").alias("probe")), "of"
     )
-    partners = placed.join(sets.select(F.col("set_id").alias("b"), "grams"), "b").select("a", "chunk", "b", "grams")
+    partners = placed.join(sets.select(F.col("node").alias("b"), "grams"), "b").select("a", "chunk", "b", "grams")
 
     def decide(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -278,7 +286,7 @@ def relabel(nodes: DataFrame, merged: DataFrame) -> DataFrame:
     """``nodes`` with their ``component`` carried on by ``merged`` (node, component)."""
     moved = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
     return nodes.join(moved, "component", "left").select(
-        "set_id", F.coalesce("_to", "component").alias("component")
+        "node", F.coalesce("_to", "component").alias("component")
     )
 
 
@@ -293,56 +301,60 @@ def near_duplicates(
             F.min("uid").alias("uid"), F.min("key").alias("rep"), F.min("n").alias("n")
         )
     )
-    # One row stands for a class; its set is read only for classes that are compared.
-    sets = rows.where("grams IS NOT NULL").select("uid", "set_id", "n", "grams").join(
-        classes.select("uid"), "uid", "left_semi"
-    )
-    hit = F.explode(F.arrays_zip("hits", "places")).alias("hit")
+    # One row, the node, stands for a class.
+    sets = rows.where("grams IS NOT NULL").select(F.col("uid").alias("node"), "grams")
     prefix = (
         rows.where("hits IS NOT NULL")
-        .select("set_id", "n", hit)
-        .groupBy(F.col("hit.hits").alias("gram"), "set_id")
-        .agg(F.min("n").alias("n"), F.min("hit.places").alias("place"))
+        .select("set_id", F.explode("hits").alias("gram"))
+        .groupBy("gram", "set_id")
+        .agg(F.count(F.lit(1)).alias("copies"))
     )
     several = prefix.groupBy("gram").agg(F.min("set_id").alias("s0"), F.max("set_id").alias("s1")).where("s0 <> s1")
-    prefix = stage(prefix.join(several.select("gram"), "gram"))
-    labels = stage(prefix.select("set_id").distinct().withColumn("component", F.col("set_id")))
+    of_set = classes.select("set_id", F.col("uid").alias("node"), "n")
+    prefix = stage(prefix.join(several.select("gram"), "gram").join(of_set, "set_id").select("gram", "node", "n"))
+    labels = stage(prefix.select("node").distinct().withColumn("component", F.col("node")))
 
     def open_buckets() -> DataFrame:
-        labelled = prefix.join(labels, "set_id")
+        labelled = prefix.join(labels, "node")
         ends = labelled.groupBy("gram").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
         return stage(labelled.join(ends.where("c0 <> c1").select("gram"), "gram"))
 
     def alike(a: Column, b: Column) -> Column:
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
+    def enough(a: Column, b: Column) -> Column:
+        return F.col("shared") >= F.greatest(F.lit(1), F.floor(F.least(a, b) / 10))
+
     for number in range(HUB_ROUNDS):
         buckets = open_buckets()
-        drawn = F.struct(F.xxhash64("set_id", F.lit(number)).alias("draw"), "set_id", "n", "component")
+        drawn = F.struct(F.xxhash64("node", F.lit(number)).alias("draw"), "node", "n", "component")
         hubs = buckets.groupBy("gram").agg(F.min(drawn).alias("hub"))
-        pairs = (
+        met = (
             buckets.join(hubs, "gram")
             .where((F.col("component") != F.col("hub.component")) & alike(F.col("n"), F.col("hub.n")))
-            .select(F.col("hub.set_id").alias("a"), F.col("set_id").alias("b"))
-            .distinct()
+            .groupBy(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("hub.node").alias("a"))
+            .agg(F.count(F.lit(1)).alias("shared"))
         )
-        links = compare(pairs, sets, percent)
-        labels = merge(labels, links)
+        # Each node is compared with the hub that it shares most with.
+        pairs = met.groupBy("b", "n_b").agg(F.max(F.struct("shared", "a")).alias("best")).select("best.a", "b", "n_b")
+        labels = merge(labels, compare(stage(pairs), sets, percent))
     buckets = open_buckets()
-    left = buckets.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("set_id", "n", "place", "component")))
-    right = buckets.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("set_id", "n", "place", "component")))
-    na, nb = F.col("n_a"), F.col("n_b")
-    reachable = 1 + F.least(na - F.col("place_a") - 1, nb - F.col("place_b") - 1)
+    left, right = (
+        buckets.select("gram", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component"))) for side in "ab"
+    )
     pairs = (
         left.join(right, "gram")
-        .where((F.col("component_a") != F.col("component_b")) & (F.col("set_id_a") < F.col("set_id_b")))
-        .where(alike(na, nb) & ((100 + percent) * reachable >= percent * (na + nb)))
-        .select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
-        .distinct()
+        .where((F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b")))
+        .where(alike(F.col("n_a"), F.col("n_b")))
+        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .where(enough(F.col("n_a"), F.col("n_b")))
+        .select("a", "b", "n_b")
     )
-    labels = merge(labels, compare(pairs, sets, percent))
-    known = classes.join(labels, "set_id", "left").select(
-        "set_id", "rep", F.coalesce("component", "set_id").alias("component")
+    labels = merge(labels, compare(stage(pairs), sets, percent))
+    of_node = labels.select(F.col("node").alias("uid"), "component")
+    known = classes.join(of_node, "uid", "left").select(
+        "set_id", "rep", F.coalesce("component", "uid").alias("component")
     )
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = known.join(least, "component").select("set_id", "component_id")
@@ -381,8 +393,8 @@ def one_of_each(
 
 def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after the components of linked classes have become one."""
-    ends = links.join(labels.select(F.col("set_id").alias("a"), F.col("component").alias("ca")), "a").join(
-        labels.select(F.col("set_id").alias("b"), F.col("component").alias("cb")), "b"
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(
+        labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b"
     )
     merged = connected(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     return stage(relabel(labels, merged))
