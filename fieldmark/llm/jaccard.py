@@ -43,7 +43,7 @@ from fieldmark.sources.staging import stage
 #: Cells of the count table that orders n-grams, and cells in one row of it on its way to the driver.
 CELLS = 1 << 20
 SEGMENT = 1 << 12
-HUB_ROUNDS = 2
+HUB_ROUNDS = 3
 #: N-grams of partners in one chunk of comparisons.
 CHUNK_GRAMS = 500_000
 #: Elements that a walk takes at a time before it looks at the bound.
@@ -298,7 +298,8 @@ def near_duplicates(
     rows = write_sets(texts, size, percent)
     classes = stage(
         rows.where("n > 0").groupBy("set_id").agg(
-            F.min("uid").alias("uid"), F.min("key").alias("rep"), F.min("n").alias("n")
+            F.min("uid").alias("uid"), F.min("key").alias("rep"), F.min("n").alias("n"),
+            F.max((1000 * F.size("hits") / F.col("n")).cast("int")).alias("central"),
         )
     )
     # One row, the node, stands for a class.
@@ -310,8 +311,10 @@ def near_duplicates(
         .agg(F.count(F.lit(1)).alias("copies"))
     )
     several = prefix.groupBy("gram").agg(F.min("set_id").alias("s0"), F.max("set_id").alias("s1")).where("s0 <> s1")
-    of_set = classes.select("set_id", F.col("uid").alias("node"), "n")
-    prefix = stage(prefix.join(several.select("gram"), "gram").join(of_set, "set_id").select("gram", "node", "n"))
+    of_set = classes.select("set_id", F.col("uid").alias("node"), "n", "central")
+    prefix = stage(
+        prefix.join(several.select("gram"), "gram").join(of_set, "set_id").select("gram", "node", "n", "central")
+    )
     labels = stage(prefix.select("node").distinct().withColumn("component", F.col("node")))
 
     def open_buckets() -> DataFrame:
@@ -327,7 +330,12 @@ def near_duplicates(
 
     for number in range(HUB_ROUNDS):
         buckets = open_buckets()
-        drawn = F.struct(F.xxhash64("node", F.lit(number)).alias("draw"), "node", "n", "component")
+        # A set whose prefix is met by others nearly everywhere is close to many, so it makes a good hub;
+        # later draws are by chance.
+        central = -F.col("central") if number == 0 else F.lit(0)
+        drawn = F.struct(
+            central.alias("central"), F.xxhash64("node", F.lit(number)).alias("draw"), "node", "n", "component"
+        )
         hubs = buckets.groupBy("gram").agg(F.min(drawn).alias("hub"))
         met = (
             buckets.join(hubs, "gram")

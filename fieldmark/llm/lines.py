@@ -1,14 +1,15 @@
 """Removal of repeated lines by an exact set-similarity join.
 
-A line is the set of its words. Words are ordered by rarity over the whole corpus: they are counted in
-``CELLS`` cells, and a word is numbered by the rank of its cell and its own fingerprint, so that sorting numbers
-sorts by rarity without a join. Lines with equal sets are one class, known by its first line in the order of
-(id, line number). Two classes that are similar enough share a word within the rare ends (prefixes) of both,
-so classes meet in the buckets of prefix words; the length filter and the position filter drop most pairs
-before the words of the remaining lines are fetched and their Jaccard similarity is computed.
+A line is the set of its shingles, runs of ``size`` words. Shingles are ordered by rarity over the whole corpus:
+words are counted in cells, and a shingle is numbered by the rank of its rarest word's cell and its own
+fingerprint, so that sorting numbers sorts by rarity without a join. Lines with equal sets are one class,
+known by its first line in the order of (id, line number). Two classes that are similar enough share a shingle
+within the rare ends (prefixes) of both, so classes meet in the buckets of prefix shingles; the length filter and
+the position filter drop most pairs before the remaining lines are fetched and their Jaccard similarity is
+computed.
 
 A line goes if an equal or similar line comes earlier in the input, whether that one stays or not; so the
-outcome does not depend on the order of work. Lines of fewer than ``least_words`` words are left alone.
+outcome does not depend on the order of work. Lines of fewer than ``size`` words are left alone.
 
 Only built-in functions run. Copies are counted before the shuffle and are one row after it, so a line that a
 third of all documents have is one class. Joins are keyed on one row per key on one side, so that Spark can
@@ -54,15 +55,23 @@ def cell_ranks(docs: DataFrame, text: str) -> list[int]:
     return ranks
 
 
-def numbered_words(line: Column, ranks: Column) -> Column:
-    """The distinct words of a line as numbers, rarest first."""
-    def number(word: Column) -> Column:
-        code = F.xxhash64(word)
-        rank = F.get(ranks, code.bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int"))
-        own = F.shiftrightunsigned(code, CELL_BITS + 1)
-        return F.shiftleft(rank, 63 - CELL_BITS).bitwiseOR(own)
+def shingles(codes: str, size: int) -> Column:
+    """Fingerprints of all runs of ``size`` words, from the array ``codes`` of their words' fingerprints."""
+    return F.transform(
+        F.sequence(F.lit(0), F.size(codes) - size), lambda i: F.xxhash64(*(F.get(codes, i + j) for j in range(size)))
+    )
+
+
+def numbered_shingles(codes: str, ranks: Column, size: int) -> Column:
+    """The distinct shingles of a line as numbers, rarest first: the rank of the rarest word is in front."""
+    def number(i: Column) -> Column:
+        words = [F.get(codes, i + j) for j in range(size)]
+        cells = (F.get(ranks, w.bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")) for w in words)
+        return F.shiftleft(F.least(*cells), 63 - CELL_BITS).bitwiseOR(
+            F.shiftrightunsigned(F.xxhash64(*words), CELL_BITS + 1)
+        )
 
-    return F.sort_array(F.array_distinct(F.transform(words_of(line), number)))
+    return F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(codes) - size), number)))
 
 
 def _in_filter(table: Column, code: Column) -> Column:
@@ -84,7 +93,7 @@ def _filter_of(codes: DataFrame) -> Column:
 
 
 def removed_lines(
-    docs: DataFrame, percent: int = 90, least_words: int = 5, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """k1, k2 (of the row) and ``removed``: numbers of the lines that go, from 0. Other rows are not listed."""
     slim = docs.where(F.col(f"`{text}`").isNotNull()).select(
@@ -93,13 +102,15 @@ def removed_lines(
     ranks = _literal(cell_ranks(slim, "body"), "bigint")
     lines = slim.select("key", "k2", F.posexplode(F.split("body", "\n")).alias("line", "content"))
     lines = lines.where(F.btrim("content", F.lit(SPACES)) != "")
-    sets = lines.select("key", "k2", "line", numbered_words(F.col("content"), ranks).alias("words"))
-    n = F.size("words")
-    prefix = F.slice("words", F.lit(1), (n - F.ceil(n * percent / 100.0) + 1).cast("int"))
+    codes = F.transform(words_of(F.col("content")), lambda word: F.xxhash64(word))
+    coded = lines.select("key", "k2", "line", codes.alias("codes")).where(F.size("codes") >= size)
+    sets = coded.select("key", "k2", "line", numbered_shingles("codes", ranks, size).alias("grams"))
+    n = F.size("grams")
+    prefix = F.slice("grams", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
     where = F.struct("key", "k2", "line")
     listed = stage(
-        sets.where(n >= least_words).select(
-            where.alias("where"), F.xxhash64("words").alias("set_id"), n.alias("n"), prefix.alias("prefix")
+        sets.select(
+            where.alias("where"), F.xxhash64("grams").alias("set_id"), n.alias("n"), prefix.alias("prefix")
         )
     )
     classes = stage(
@@ -131,15 +142,15 @@ def removed_lines(
         _in_filter(_filter_of(wanted.select("code")), F.col("code"))
     )
     fetched = stage(
-        chosen.select("code", where.alias("first"), F.array_distinct(words_of(F.col("content"))).alias("words"))
+        chosen.select("code", where.alias("first"), codes.alias("codes"))
         .join(wanted, ["code", "first"])
-        .select("set_id", "first", "words")
+        .select("set_id", "first", F.array_distinct(shingles("codes", size)).alias("grams"))
         .dropDuplicates(["set_id"])
     )
     a = fetched.select(*(F.col(c).alias(f"{c}_a") for c in fetched.columns))
     b = fetched.select(*(F.col(c).alias(f"{c}_b") for c in fetched.columns))
-    both = F.size(F.array_intersect("words_a", "words_b"))
-    either = F.size("words_a") + F.size("words_b") - both
+    both = F.size(F.array_intersect("grams_a", "grams_b"))
+    either = F.size("grams_a") + F.size("grams_b") - both
     similar = pairs.join(a, "set_id_a").join(b, "set_id_b").where(100 * both >= percent * either)
     later = similar.select(
         F.when(F.col("first_a") < F.col("first_b"), F.col("set_id_b")).otherwise(F.col("set_id_a")).alias("set_id")
@@ -156,12 +167,12 @@ def removed_lines(
 
 
 def drop_repeated_lines(
-    docs: DataFrame, percent: int = 90, least_words: int = 5, key: str = "doc_id", text: str = "text",
+    docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text",
     out: str | None = None,
 ) -> DataFrame:
     """``docs`` with ``text`` less its repeated lines, and with ``out`` the numbers of the removed lines."""
     k1, k2, removed = fresh(docs, "k1", "k2", "removed")
-    found = removed_lines(docs, percent, least_words, key, text).select(
+    found = removed_lines(docs, size, percent, key, text).select(
         F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("removed").alias(removed)
     )
     marked = docs.withColumns({k1: F.xxhash64(F.col(f"`{key}`")), k2: F.xxhash64(F.col(f"`{text}`"))})
