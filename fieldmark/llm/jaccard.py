@@ -11,7 +11,7 @@ of both (the prefix; how many, ``least_shared`` tells), so only prefixes meet:
 Documents with equal sets are one class. In each bucket of a prefix n-gram a hub is drawn; every other class
 is compared with the hub it meets most often, linked classes become one component, and only buckets that
 still hold several components go on. After ``HUB_ROUNDS`` draws, all pairs of classes of different components
-that share enough buckets, and pass the length filter, are compared. So no link that could join two
+that share a bucket, and pass the length and position filters, are compared. So no link that could join two
 components is left out, while a group of thousands of near copies costs a few comparisons a member.
 
 A comparison is a walk: the partners of one class, cut into chunks of bounded size, are stored as a prefix
@@ -158,9 +158,10 @@ def global_counts(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def write_sets(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """One row per document: key, uid, n, set_id, and for those with enough company hits and grams.
+    """One row per document: key, uid, n, set_id, and for those with enough company hits, places and grams.
 
-    ``hits`` are the prefix n-grams that other documents may have too; ``grams`` is the whole set in order.
+    ``hits`` are the prefix n-grams that other documents may have too, ``places`` their places in the set's
+    order; ``grams`` is the whole set in that order.
     """
     context = texts.sparkSession.sparkContext
     counts = context.broadcast(global_counts(texts, size))
@@ -192,26 +193,27 @@ def write_sets(texts: DataFrame, size: int, percent: int) -> DataFrame:
                 [
                     pa.array(columns[0], key_type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
                     pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.list_(pa.int64())),
-                    pa.array(columns[5], pa.binary()),
+                    pa.array(columns[5], pa.list_(pa.int32())), pa.array(columns[6], pa.binary()),
                 ],
-                names=["key", "uid", "n", "set_id", "hits", "grams"],
+                names=["key", "uid", "n", "set_id", "hits", "places", "grams"],
             )
 
         key_type = None
         for key, grams in _texts(batches, size):
             key_type = key_type or key.type
-            n, hits, whole = len(grams), None, None
+            n, hits, places, whole = len(grams), None, None, None
             set_id = np.uint64(0)
             if n:
                 with np.errstate(over="ignore"):
                     set_id = mix(mix(grams).sum(dtype=np.uint64, keepdims=True) + np.uint64(n))[0]
                 ordered = in_order(grams, counts.value)
                 own = ordered[: prefix_length(n, percent)]
-                found = own[bloom.holds(shared.value, own)]
+                found = np.nonzero(bloom.holds(shared.value, own))[0]
                 # A similar set has at least percent of this one's size.
                 if len(found) >= least_shared(-(-n * percent // 100)):
-                    hits, whole = found.view(np.int64), ordered.tobytes()
-            rows.append((key.as_py(), uid, n, int(set_id.view(np.int64)), hits, whole))
+                    hits, whole = own[found].view(np.int64), ordered.tobytes()
+                    places = found.astype(np.int32)
+            rows.append((key.as_py(), uid, n, int(set_id.view(np.int64)), hits, places, whole))
             uid += 1
             held += n + 50
             if held >= CHUNK_GRAMS:
@@ -220,7 +222,7 @@ def write_sets(texts: DataFrame, size: int, percent: int) -> DataFrame:
         if rows:
             yield flush()
 
-    schema = f"key {kind}, uid long, n long, set_id long, hits array<long>, grams binary"
+    schema = f"key {kind}, uid long, n long, set_id long, hits array<long>, places array<int>, grams binary"
     return stage(texts.mapInArrow(sets, schema))
 
 
@@ -306,14 +308,14 @@ def near_duplicates(
     sets = rows.where("grams IS NOT NULL").select(F.col("uid").alias("node"), "grams")
     prefix = (
         rows.where("hits IS NOT NULL")
-        .select("set_id", F.explode("hits").alias("gram"))
-        .groupBy("gram", "set_id")
-        .agg(F.count(F.lit(1)).alias("copies"))
+        .select("set_id", F.explode(F.arrays_zip("hits", "places")).alias("hit"))
+        .groupBy(F.col("hit.hits").alias("gram"), "set_id")
+        .agg(F.min("hit.places").alias("place"))
     )
     several = prefix.groupBy("gram").agg(F.min("set_id").alias("s0"), F.max("set_id").alias("s1")).where("s0 <> s1")
     of_set = classes.select("set_id", F.col("uid").alias("node"), "n", "central")
     prefix = stage(
-        prefix.join(several.select("gram"), "gram").join(of_set, "set_id").select("gram", "node", "n", "central")
+        prefix.join(several.select("gram"), "gram").join(of_set, "set_id").select("gram", "node", "n", "place", "central")
     )
     labels = stage(prefix.select("node").distinct().withColumn("component", F.col("node")))
 
@@ -325,9 +327,6 @@ def near_duplicates(
     def alike(a: Column, b: Column) -> Column:
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    def enough(a: Column, b: Column) -> Column:
-        return F.col("shared") >= F.greatest(F.lit(1), F.floor(F.least(a, b) / 10))
-
     for number in range(HUB_ROUNDS):
         buckets = open_buckets()
         # A set whose prefix is met by others nearly everywhere is close to many, so it makes a good hub;
@@ -348,16 +347,18 @@ def near_duplicates(
         labels = merge(labels, compare(stage(pairs), sets, percent))
     buckets = open_buckets()
     left, right = (
-        buckets.select("gram", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component"))) for side in "ab"
+        buckets.select("gram", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "place", "component")))
+        for side in "ab"
     )
+    # What two sets can share from their first common n-gram on bounds their overlap.
+    reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     pairs = (
         left.join(right, "gram")
         .where((F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b")))
         .where(alike(F.col("n_a"), F.col("n_b")))
-        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .where(enough(F.col("n_a"), F.col("n_b")))
-        .select("a", "b", "n_b")
+        .where((100 + percent) * reach >= percent * (F.col("n_a") + F.col("n_b")))
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_b")
+        .distinct()
     )
     labels = merge(labels, compare(stage(pairs), sets, percent))
     of_node = labels.select(F.col("node").alias("uid"), "component")
