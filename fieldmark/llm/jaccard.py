@@ -43,7 +43,7 @@ from fieldmark.sources.staging import stage
 #: Cells of the count table that orders n-grams, and cells in one row of it on its way to the driver.
 CELLS = 1 << 20
 SEGMENT = 1 << 12
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: N-grams of partners in one chunk of comparisons.
 CHUNK_GRAMS = 500_000
 #: Elements that a walk takes at a time before it looks at the bound.
