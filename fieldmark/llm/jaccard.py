@@ -258,6 +258,18 @@ def walk(partners: list[np.ndarray], probe: np.ndarray, percent: int) -> np.ndar
     return similar
 
 
+def only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``sets`` whose node may be among ``nodes``: a filter of fixed size, before any shuffle."""
+    wanted = bloom.build(nodes.distinct().select(F.xxhash64("node").alias("mark")), "mark")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = batch.column("mark").to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(bloom.holds(wanted.value, marks))).drop_columns(["mark"])
+
+    return sets.select("node", "grams", F.xxhash64("node").alias("mark")).mapInArrow(choose, "node long, grams binary")
+
+
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b, n_b: nodes, and the size of b's set) that are similar.
 
@@ -267,10 +279,14 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     placed = stage(
         pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     )
+    probe_sets = only(sets, placed.select(F.col("a").alias("node")))
+    partner_sets = only(sets, placed.select(F.col("b").alias("node")))
     probes = placed.select(F.col("a").alias("of"), F.col("chunk").alias("part")).distinct().join(
-        sets.select(F.col("node").alias("of"), F.col("grams").alias("probe")), "of"
+        probe_sets.select(F.col("node").alias("of"), F.col("grams").alias("probe")), "of"
+    )
+    partners = placed.join(partner_sets.select(F.col("node").alias("b"), "grams"), "b").select(
+        "a", "chunk", "b", "grams"
     )
-    partners = placed.join(sets.select(F.col("node").alias("b"), "grams"), "b").select("a", "chunk", "b", "grams")
 
     def decide(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
