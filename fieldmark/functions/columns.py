@@ -36,7 +36,7 @@ def relative_path(path: str | Column, root: str) -> Column:
     outside = F.raise_error(F.concat(plain, F.lit(f" is not below {prefix}")))
     return (
         F.when(plain.isNull(), F.lit(None).cast("string"))
-        .when(plain.startswith(prefix), F.substring(plain, len(prefix) + 1, 1_000_000))
+        .when(plain.startswith(prefix), plain.substr(F.lit(len(prefix) + 1), F.length(plain)))
         .otherwise(outside.cast("string"))
     )
 

@@ -142,9 +142,15 @@ def dataset_scores(
     """Per dataset: ``baks``, ``baus`` and their geometric mean.
 
     An identity is unknown if any solution row, of any dataset, marks it new.
-    A side without identities counts as 0.
+    A side without identities counts as 0. Every solution row counts once: an id
+    without a label is wrong, and of several labels for one id the smallest is taken.
     """
-    joined = align(solution, submission, key)
+    labels = submission.groupBy(key).agg(F.min("identity").alias("prediction"))
+    joined = (
+        solution.select(key, "dataset", "identity")
+        .join(labels, key, "left")
+        .withColumn("prediction", F.coalesce("prediction", F.lit("")))
+    )
     per_identity = joined.groupBy("dataset", "identity").agg(
         F.avg((F.col("prediction") == F.col("identity")).cast("double")).alias("_right"),
         F.avg((F.col("prediction") == NEW_INDIVIDUAL).cast("double")).alias("_new"),

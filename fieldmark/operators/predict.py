@@ -79,6 +79,24 @@ def predict_closed_set(neighbors: DataFrame, key: str = "image_id") -> DataFrame
     )
 
 
+def complete(
+    predictions: DataFrame,
+    queries: DataFrame,
+    *,
+    key: str = "image_id",
+    new_label: str = NEW_INDIVIDUAL,
+    out: str = "prediction",
+) -> DataFrame:
+    """One prediction per query row: rows without any neighbour get ``new_label``.
+
+    A row has no neighbour if its vector is NULL or the gallery is empty.
+    """
+    found = predictions.select(key, out)
+    return queries.select(key).join(found, key, "left").select(
+        key, F.coalesce(out, F.lit(new_label)).alias(out)
+    )
+
+
 def prediction_counts(
     predictions: DataFrame, prediction: str = "prediction", new_label: str = NEW_INDIVIDUAL
 ) -> DataFrame:

@@ -178,3 +178,12 @@ def test_submission_rules(spark):
         metrics.competition_score(solution, good.withColumn("identity", F.lit(1)))
     lost = {tuple(r) for r in metrics.unmatched_rows(solution, other).collect()}
     assert lost == {("1", "submission"), ("77", "solution")}
+
+
+def test_flawed_submission_counts_every_solution_row_once(spark):
+    solution, good = solution_and_submission(spark)
+    full = {r["dataset"]: r["baks"] for r in metrics.dataset_scores(solution, good).collect()}
+    twice = {r["dataset"]: r["baks"] for r in metrics.dataset_scores(solution, good.unionByName(good)).collect()}
+    none = metrics.dataset_scores(solution, good.limit(0)).collect()
+    assert twice == full
+    assert all(r["baks"] == 0.0 and r["baus"] == 0.0 for r in none)
