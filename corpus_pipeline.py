@@ -36,7 +36,8 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (ledger,) = fresh(docs, "ledger")
-    rows = quality.add_ledger(docs, out=ledger)
+    # The ledger is written once; policies then read its bits.
+    rows = stage(quality.add_ledger(docs, out=ledger))
     return rows.where(quality.apply_policy(F.col(f"{ledger}.bits"), "v2")).drop(ledger)
 
 

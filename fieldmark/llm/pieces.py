@@ -25,9 +25,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from fieldmark.llm.bpe import REMEMBERED, PrefixEncoder, merged, merged_halves
+from fieldmark.llm.bpe import PrefixEncoder, merged, merged_halves
 
 MARK = "\u2581"
+#: Words that a worker remembers at most.
+REMEMBERED = 200_000
 
 
 class UnigramStates:
@@ -196,6 +198,18 @@ def _encode(model: PieceModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``size`` bytes of text, so that the arrays of ids stay small; a row is never cut."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("value")), 0).to_numpy().astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            before = int(upto[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(upto, before + size, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def encode_text(model: PieceModel, text: str) -> list[int]:
     if not text:
         return []
@@ -218,7 +232,7 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", key: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path, kind)
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 ids, bounds = _encode(model, batch.column("value"))
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
@@ -264,9 +278,7 @@ def round_trip(docs: DataFrame, path: str, kind: str = "bpe", key: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path, kind)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             texts = pc.fill_null(batch.column("value"), "")
             ids, bounds = _encode(model, texts)
             pairs = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))

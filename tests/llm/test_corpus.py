@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from fieldmark.sources.staging import stage
 from fieldmark.llm import jaccard, lines, multi_index, packing, pieces, quality, secrets, suffix, tokens, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -211,7 +212,7 @@ def test_severity_is_learned_and_ordered(spark):
 
 
 def test_ledger_policies_and_ablation(docs, nothing):
-    rows = quality.add_ledger(docs)
+    rows = stage(quality.add_ledger(docs))
     assert rows.columns == [*docs.columns, "ledger"] and rows.where("ledger.bits & 1 = 0").count() < rows.count()
     bits = [r.bits for r in rows.select("ledger.bits").collect()]
     for r in quality.ablations(rows.select("ledger.bits"), "v2").collect():
