@@ -28,8 +28,9 @@ from fieldmark.sources.staging import stage
 
 #: Cells in which words are counted; a power of two.
 CELL_BITS = 16
-#: Bits of the fixed-size filter of lines to be fetched, kept in 64-bit words.
+#: Bits of the fixed-size filters of lines to be fetched and of shingles with company, kept in 64-bit words.
 FILTER_BITS = 20
+SHARED_BITS = 22
 
 
 def words_of(line: Column) -> Column:
@@ -55,38 +56,60 @@ def cell_ranks(docs: DataFrame, text: str) -> list[int]:
     return ranks
 
 
-def shingles(codes: str, size: int) -> Column:
-    """Fingerprints of all runs of ``size`` words, from the array ``codes`` of their words' fingerprints."""
+def numbered_words(codes: str, ranks: Column) -> Column:
+    """Words as numbers: the rank of a word's cell is in front, the word's fingerprint behind it."""
     return F.transform(
-        F.sequence(F.lit(0), F.size(codes) - size), lambda i: F.xxhash64(*(F.get(codes, i + j) for j in range(size)))
+        codes,
+        lambda code: F.shiftleft(
+            F.get(ranks, code.bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")), 63 - CELL_BITS
+        ).bitwiseOR(F.shiftrightunsigned(code, CELL_BITS + 1)),
     )
 
 
-def numbered_shingles(codes: str, ranks: Column, size: int) -> Column:
-    """The distinct shingles of a line as numbers, rarest first: the rank of the rarest word is in front."""
-    def number(i: Column) -> Column:
-        words = [F.get(codes, i + j) for j in range(size)]
-        cells = (F.get(ranks, w.bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")) for w in words)
-        return F.shiftleft(F.least(*cells), 63 - CELL_BITS).bitwiseOR(
-            F.shiftrightunsigned(F.xxhash64(*words), CELL_BITS + 1)
-        )
-
-    return F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(codes) - size), number)))
+def joined_runs(a: Column, b: Column) -> Column:
+    """Numbers of runs made of two parts: the rarest word's rank in front, a fingerprint of both behind it."""
+    front = F.lit(-(1 << (63 - CELL_BITS)))
+    return F.least(a, b).bitwiseAND(front).bitwiseOR(F.shiftrightunsigned(F.xxhash64(a, b), CELL_BITS + 1))
+
+
+def with_grams(lines: DataFrame, content: str, ranks: Column, size: int, *carried: str) -> DataFrame:
+    """``carried`` and ``grams``, the distinct shingles of a line, rarest first; null for a line of fewer words.
+
+    Neighbouring runs are joined in steps that double their length, with a step by one word where a length is
+    odd. Runs that leave the line come last and are cut off. There is no filter on the number of words here: it
+    would be pushed down and hash every word once more.
+    """
+    codes = F.transform(words_of(F.col(content)), lambda word: F.xxhash64(word))
+    df = lines.select(*carried, codes.alias("codes")).select(*carried, numbered_words("codes", ranks).alias("numbers"))
+    df = df.select(*carried, "numbers", F.col("numbers").alias("runs"))
+    length = 1
+    for digit in f"{size:b}"[1:]:
+        after = F.slice("runs", F.lit(length + 1), F.size("numbers"))
+        df = df.select(*carried, "numbers", F.zip_with("runs", after, joined_runs).alias("runs"))
+        length *= 2
+        if digit == "1":
+            word = F.slice("numbers", F.lit(length + 1), F.size("numbers"))
+            df = df.select(*carried, "numbers", F.zip_with("runs", word, joined_runs).alias("runs"))
+            length += 1
+    whole = F.slice("runs", F.lit(1), F.greatest(F.size("numbers") - (size - 1), F.lit(0)))
+    return df.select(
+        *carried, F.when(F.size("numbers") >= size, F.sort_array(F.array_distinct(whole))).alias("grams")
+    )
 
 
-def _in_filter(table: Column, code: Column) -> Column:
-    place = code.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int")
+def _in_filter(table: Column, code: Column, bits: int) -> Column:
+    place = code.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     word = F.get(table, F.shiftright(place, 6))
     return F.getbit(word, place.bitwiseAND(F.lit(63))) == 1
 
 
-def _filter_of(codes: DataFrame) -> Column:
+def _filter_of(codes: DataFrame, bits: int) -> Column:
     """A set filter of fixed size as a constant array; it only spares work."""
-    place = F.col("code").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    place = F.col("code").bitwiseAND(F.lit((1 << bits) - 1))
     words = codes.groupBy(F.shiftright(place, 6).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
     )
-    table = [0] * (1 << (FILTER_BITS - 6))
+    table = [0] * (1 << (bits - 6))
     for row in words.toLocalIterator():
         table[row["word"]] = row["bits"]
     return _literal(table, "bigint")
@@ -102,23 +125,31 @@ def removed_lines(
     ranks = _literal(cell_ranks(slim, "body"), "bigint")
     lines = slim.select("key", "k2", F.posexplode(F.split("body", "\n")).alias("line", "content"))
     lines = lines.where(F.btrim("content", F.lit(SPACES)) != "")
-    codes = F.transform(words_of(F.col("content")), lambda word: F.xxhash64(word))
-    coded = lines.select("key", "k2", "line", codes.alias("codes")).where(F.size("codes") >= size)
-    sets = coded.select("key", "k2", "line", numbered_shingles("codes", ranks, size).alias("grams"))
+    where = F.struct("key", "k2", "line")
+    sets = with_grams(lines, "content", ranks, size, "key", "k2", "line")
     n = F.size("grams")
     prefix = F.slice("grams", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
-    where = F.struct("key", "k2", "line")
-    listed = stage(
-        sets.select(
-            where.alias("where"), F.xxhash64("grams").alias("set_id"), n.alias("n"), prefix.alias("prefix")
-        )
+    set_id = F.when(F.col("grams").isNotNull(), F.xxhash64("grams"))
+    listed = stage(sets.select(where.alias("where"), set_id.alias("set_id"), n.alias("n"), prefix.alias("prefix")))
+    listed = listed.where("set_id IS NOT NULL")
+    classes = stage(listed.groupBy("set_id", "n").agg(F.min("where").alias("first")))
+    # Copies are combined before the shuffle; a shingle that one line holds meets nothing and goes no further.
+    shared = stage(
+        listed.select(F.explode("prefix").alias("word"))
+        .groupBy("word")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .where("c > 1")
+        .select("word", F.xxhash64("word").alias("code"))
     )
-    classes = stage(
-        listed.groupBy("set_id", "n").agg(F.min("where").alias("first"), F.first("prefix").alias("prefix"))
+    company = _filter_of(shared.select("code"), SHARED_BITS)
+    tokens = (
+        listed.select("set_id", "n", F.posexplode("prefix").alias("place", "word"))
+        .where(_in_filter(company, F.xxhash64("word"), SHARED_BITS))
+        .distinct()
     )
-    tokens = classes.select("set_id", "n", F.posexplode("prefix").alias("place", "word"))
-    shared = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("word")
-    buckets = stage(tokens.join(shared, "word"))
+    tokens = stage(tokens)
+    several = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("word")
+    buckets = stage(tokens.join(several, "word"))
     left, right = (
         buckets.select("word", *(F.col(c).alias(f"{c}_{side}") for c in ("set_id", "n", "place"))) for side in "ab"
     )
@@ -139,13 +170,11 @@ def removed_lines(
     )
     wanted = stage(wanted.select("set_id", "first", F.xxhash64("first").alias("code")))
     chosen = lines.withColumn("code", F.xxhash64(where)).where(
-        _in_filter(_filter_of(wanted.select("code")), F.col("code"))
+        _in_filter(_filter_of(wanted.select("code"), FILTER_BITS), F.col("code"), FILTER_BITS)
     )
+    chosen = chosen.select("code", where.alias("first"), "content").join(wanted, ["code", "first"])
     fetched = stage(
-        chosen.select("code", where.alias("first"), codes.alias("codes"))
-        .join(wanted, ["code", "first"])
-        .select("set_id", "first", F.array_distinct(shingles("codes", size)).alias("grams"))
-        .dropDuplicates(["set_id"])
+        with_grams(chosen, "content", ranks, size, "set_id", "first").dropDuplicates(["set_id"])
     )
     a = fetched.select(*(F.col(c).alias(f"{c}_a") for c in fetched.columns))
     b = fetched.select(*(F.col(c).alias(f"{c}_b") for c in fetched.columns))
