@@ -6,7 +6,9 @@ fingerprint, so that sorting numbers sorts by rarity without a join. Lines with
 known by its first line in the order of (id, line number). Two classes that are similar enough share a shingle
 within the rare ends (prefixes) of both, so classes meet in the buckets of prefix shingles; the length filter and
 the position filter drop most pairs before the remaining lines are fetched and their Jaccard similarity is
-computed.
+computed. A class needs one earlier partner only: in each bucket all meet the earliest class first, then the
+earliest that is not similar to it, and only classes that are still open meet all earlier ones. So a group of
+thousands of near copies costs a few comparisons a member, and no removal is missed.
 
 A line goes if an equal or similar line comes earlier in the input, whether that one stays or not; so the
 outcome does not depend on the order of work. Lines of fewer than ``size`` words are left alone.
@@ -31,6 +33,7 @@ CELL_BITS = 16
 #: Bits of the fixed-size filters of lines to be fetched and of shingles with company, kept in 64-bit words.
 FILTER_BITS = 20
 SHARED_BITS = 22
+HUB_ROUNDS = 2
 
 
 def words_of(line: Column) -> Column:
@@ -150,40 +153,56 @@ def removed_lines(
     tokens = stage(tokens)
     several = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("word")
     buckets = stage(tokens.join(several, "word"))
-    left, right = (
-        buckets.select("word", *(F.col(c).alias(f"{c}_{side}") for c in ("set_id", "n", "place"))) for side in "ab"
-    )
-    na, nb = F.col("n_a"), F.col("n_b")
-    reach = 1 + F.least(na - F.col("place_a") - 1, nb - F.col("place_b") - 1)
-    pairs = (
-        left.join(right, "word")
-        .where(F.col("set_id_a") < F.col("set_id_b"))
-        .where((100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * reach >= percent * (na + nb)))
-        .select("set_id_a", "set_id_b")
-        .distinct()
-    )
-    pairs = stage(pairs)
-    wanted = (
-        pairs.select(F.explode(F.array("set_id_a", "set_id_b")).alias("set_id"))
-        .distinct()
-        .join(classes.select("set_id", "first"), "set_id")
-    )
-    wanted = stage(wanted.select("set_id", "first", F.xxhash64("first").alias("code")))
-    chosen = lines.withColumn("code", F.xxhash64(where)).where(
-        _in_filter(_filter_of(wanted.select("code"), FILTER_BITS), F.col("code"), FILTER_BITS)
-    )
-    chosen = chosen.select("code", where.alias("first"), "content").join(wanted, ["code", "first"])
-    fetched = stage(
-        with_grams(chosen, "content", ranks, size, "set_id", "first").dropDuplicates(["set_id"])
-    )
-    a = fetched.select(*(F.col(c).alias(f"{c}_a") for c in fetched.columns))
-    b = fetched.select(*(F.col(c).alias(f"{c}_b") for c in fetched.columns))
-    both = F.size(F.array_intersect("grams_a", "grams_b"))
-    either = F.size("grams_a") + F.size("grams_b") - both
-    similar = pairs.join(a, "set_id_a").join(b, "set_id_b").where(100 * both >= percent * either)
-    later = similar.select(
-        F.when(F.col("first_a") < F.col("first_b"), F.col("set_id_b")).otherwise(F.col("set_id_a")).alias("set_id")
-    ).distinct()
+    buckets = stage(buckets.join(classes.select("set_id", "first"), "set_id"))
+
+    def lines_of(pairs: DataFrame) -> DataFrame:
+        """Shingles of the classes in ``pairs``, from the one line that stands for each."""
+        wanted = pairs.select(F.explode(F.array("early", "late")).alias("set_id")).distinct()
+        wanted = stage(wanted.join(classes.select("set_id", "first"), "set_id").withColumn("code", F.xxhash64("first")))
+        chosen = lines.withColumn("code", F.xxhash64(where)).where(
+            _in_filter(_filter_of(wanted.select("code"), FILTER_BITS), F.col("code"), FILTER_BITS)
+        )
+        chosen = chosen.select("code", where.alias("first"), "content").join(wanted, ["code", "first"])
+        return stage(with_grams(chosen, "content", ranks, size, "set_id").dropDuplicates(["set_id"]))
+
+    def later_of(pairs: DataFrame, decided: DataFrame | None) -> DataFrame:
+        """``decided`` and those ``late`` classes of ``pairs`` that are similar to their ``early`` one."""
+        pairs = stage(pairs)
+        grams = lines_of(pairs)
+        a = grams.select(F.col("set_id").alias("early"), F.col("grams").alias("grams_a"))
+        b = grams.select(F.col("set_id").alias("late"), F.col("grams").alias("grams_b"))
+        both = F.size(F.array_intersect("grams_a", "grams_b"))
+        either = F.size("grams_a") + F.size("grams_b") - both
+        found = pairs.join(a, "early").join(b, "late").where(100 * both >= percent * either)
+        found = found.select(F.col("late").alias("set_id"))
+        return stage((found if decided is None else found.unionByName(decided)).distinct())
+
+    def candidates(early: DataFrame, late: DataFrame) -> DataFrame:
+        """Pairs that share a bucket and pass the length filter and the position filter."""
+        left = early.select("word", *(F.col(c).alias(f"{c}_a") for c in ("set_id", "n", "place", "first")))
+        right = late.select("word", *(F.col(c).alias(f"{c}_b") for c in ("set_id", "n", "place", "first")))
+        na, nb = F.col("n_a"), F.col("n_b")
+        reach = F.least(na - F.col("place_a"), nb - F.col("place_b"))
+        return (
+            left.join(right, "word")
+            .where(F.col("first_a") < F.col("first_b"))
+            .where((100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * reach >= percent * (na + nb)))
+            .select(F.col("set_id_a").alias("early"), F.col("set_id_b").alias("late"))
+            .distinct()
+        )
+
+    later, open_lines, fresh_hubs = None, buckets, buckets
+    for _ in range(HUB_ROUNDS):
+        # One hub a bucket, its earliest class that is open and has not been a hub there.
+        hub = F.min(F.struct("first", "set_id", "n", "place")).alias("hub")
+        hubs = stage(fresh_hubs.groupBy("word").agg(hub).select("word", "hub.*"))
+        later = later_of(candidates(hubs, open_lines), later)
+        open_lines = stage(buckets.join(later, "set_id", "left_anti"))
+        fresh_hubs = fresh_hubs.join(later, "set_id", "left_anti").join(
+            hubs.select("word", "set_id"), ["word", "set_id"], "left_anti"
+        )
+    # What is still open meets every earlier class of its buckets.
+    later = later_of(candidates(buckets, open_lines), later)
     fate = classes.select("set_id", "n", "first").join(
         later.withColumn("later", F.lit(True)), "set_id", "left"
     )
