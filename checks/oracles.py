@@ -421,7 +421,11 @@ SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN label END AS epoch_number FROM embe
     "known_unknown": f"""WITH {IMAGES}
 SELECT dataset, identity IS NOT NULL AS known, count(*) AS count FROM images GROUP BY ALL""",
     "hash_sample": CRC_BUCKET,
-    "struct_fields": "SELECT vec_id AS image_id, 16 AS cls_size, 16 AS avg_patch_size FROM embeddings",
+    "struct_fields": f"""
+SELECT image_id, count(cls)::INT AS cls_size, count(avg_patch)::INT AS avg_patch_size,
+       round(max(cls) FILTER (pos = 0), 6) AS first_cls, round(max(cls) FILTER (pos = 15), 6) AS last_cls,
+       round(max(avg_patch) FILTER (pos = 0), 6) AS first_avg, round(max(avg_patch) FILTER (pos = 15), 6) AS last_avg
+FROM ({TOKENS}) GROUP BY image_id""",
     "token_pool": f"""
 SELECT image_id, pos, round(cls, 6) AS cls, round(avg_patch, 6) AS avg_patch FROM ({TOKENS})""",
     "rename_columns": "SELECT doc_id, quality AS freq, 'database' AS split FROM labels",
@@ -527,6 +531,7 @@ won AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, f) A
 SELECT v.image_id, coalesce(neighbor_identity, 'new_individual') AS prediction
 FROM val v LEFT JOIN won w ON w.image_id = v.image_id AND place = 1""",
     "predict_absolute": f"{VAL_NN1} SELECT image_id, {BY_DISTANCE} AS prediction FROM nn",
+    "predict_all_rows": f"""WITH {IMAGES} SELECT image_id, 'new_individual' AS prediction FROM unknown""",
     "closed_set_1nn": f"""{VAL_NN1},
 p AS (
   SELECT identity, identity IN (SELECT identity FROM train) AS is_known,

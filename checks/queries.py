@@ -222,7 +222,11 @@ def _tokens(spark, sf_dir) -> DataFrame:
 def struct_fields(spark, sf_dir):
     token = F.struct(V.first_token("tokens").alias("cls"), V.mean_of_rest("tokens").alias("avg_patch"))
     df = _tokens(spark, sf_dir).select("image_id", token.alias("token")).select("image_id", "token.*")
-    return df.select("image_id", F.size("cls").alias("cls_size"), F.size("avg_patch").alias("avg_patch_size"))
+    return df.select(
+        "image_id", F.size("cls").alias("cls_size"), F.size("avg_patch").alias("avg_patch_size"),
+        F.round(F.col("cls")[0].cast("double"), 6).alias("first_cls"), F.round(F.col("cls")[15].cast("double"), 6).alias("last_cls"),
+        F.round(F.col("avg_patch")[0], 6).alias("first_avg"), F.round(F.col("avg_patch")[15], 6).alias("last_avg"),
+    )
 
 
 def token_pool(spark, sf_dir):
@@ -415,14 +419,22 @@ def vote(spark, sf_dir):
 def predict_zgate(spark, sf_dir):
     train, val = train_and_val(spark, sf_dir)
     stats = stage(median_and_mad(null_distances(train, [5])))
-    return predict.predict_gated(
+    gated = predict.predict_gated(
         nearest(val, train, 5), stats.select("median").scalar(), stats.select("mad").scalar(), -0.5
     )
+    return predict.complete(gated, val)
 
 
 def predict_absolute(spark, sf_dir):
     train, val = train_and_val(spark, sf_dir)
-    return predict.predict_by_distance(nearest(val, train, 1), 1.2)
+    return predict.complete(predict.predict_by_distance(nearest(val, train, 1), 1.2), val)
+
+
+def predict_all_rows(spark, sf_dir):
+    """Predictions from a gallery whose dataset has no row: every query row is new."""
+    known, unknown = labelled_and_not(spark, sf_dir)
+    found = nearest(unknown, known.where("dataset = 'NoSuchDataset'"), 3)
+    return predict.complete(predict.predict_by_distance(found, 1.2), unknown)
 
 
 def closed_set_1nn(spark, sf_dir):
@@ -702,7 +714,7 @@ REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     union_parts, identity_difference, overlap_counts, distinct_projection, sort_top,
     openset_split, split_summary, identity_split, early_split, stratified_split,
     knn_topk, knn_other_identity, row_median_distance, null_distance_summary, median_mad_by_k,
-    vote, predict_zgate, predict_absolute, closed_set_1nn, prediction_counts,
+    vote, predict_zgate, predict_absolute, predict_all_rows, closed_set_1nn, prediction_counts,
     baks, baus, competition_score, dataset_scores, submission_violations, submission_alignment,
     threshold_sweep, distance_sweep, distance_experiment, k_sweep, best_threshold, sweep_maxima,
     final_labels, dataset_only,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldmark.functions.columns import is_frequent, is_known, key_value_int, path_part
 from fieldmark.operators.joins import group_count
 from fieldmark.operators.neighbors import nearest
-from fieldmark.operators.predict import predict_gated, prediction_counts
+from fieldmark.operators.predict import complete, predict_gated, prediction_counts
 from fieldmark.operators.split import TEST, TRAIN, VAL, openset_split, split_summary
 from fieldmark.operators.stats import median_and_mad, null_distances
 from fieldmark.operators.sweep import best_row, experiment
@@ -84,10 +84,9 @@ def run_prediction(
     if recalibrate:
         again = median_and_mad(null_distances(known, [num_neighbors])).first()
         median, mad = again["median"], again["mad"]
-    found = nearest(table.where(F.col("role") == QUERY), known, num_neighbors)
-    predictions = stage(
-        predict_gated(found, median, mad, best["threshold"]).withColumnRenamed("prediction", "identity")
-    )
+    queries = table.where(F.col("role") == QUERY)
+    gated = predict_gated(nearest(queries, known, num_neighbors), median, mad, best["threshold"])
+    predictions = stage(complete(gated, queries).withColumnRenamed("prediction", "identity"))
     write_record(prediction_counts(predictions, "identity"), f"{output_path}/test_known_counts.json")
     write_csv(predictions, f"{output_path}/prediction.csv")
     return predictions

@@ -83,5 +83,6 @@ def project_embeddings(
 ) -> None:
     """Project the embeddings that have metadata and write them sorted by image_id."""
     kept = embeddings.select("image_id", vector).join(metadata.select("image_id"), "image_id")
-    projected = project(kept, head, vector).select("image_id", F.col(vector).alias("embeddings"))
-    projected.sort("image_id").write.mode("overwrite").parquet(output_path)
+    # The sort samples its input, so it comes before the model, which keeps the order.
+    projected = project(kept.sort("image_id"), head, vector).select("image_id", F.col(vector).alias("embeddings"))
+    projected.write.mode("overwrite").parquet(output_path)

@@ -15,7 +15,7 @@ ROWS_ONLY = {"pca"}
 
 SAMPLE = (
     "identity_count", "freq_of_freq", "species_profile", "path_parts", "hash_sample", "left_join_back",
-    "openset_split", "knn_topk", "confusion", "positive_sample", "submission_violations",
+    "openset_split", "knn_topk", "struct_fields", "predict_all_rows", "confusion", "positive_sample", "submission_violations",
 )
 
 
