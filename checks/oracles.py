@@ -371,6 +371,52 @@ WITH {PART_ROWS},{null_stats('nd', 'train', ks)},{nearest('nn', 'val', 'train',
 SELECT {SWEPT_ALL} FROM swept"""
 
 
+def components(squarings: int = 24) -> str:
+    """CTEs for the first two loadings: a covariance matrix squared over and over leaves its dominant vector."""
+    steps = []
+    for part in (1, 2):
+        steps.append(
+            f"m{part}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM c{part} WHERE i = j) AS v FROM c{part})"
+        )
+        for n in range(squarings):
+            steps.append(
+                f"q{part}_{n} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v "
+                f"FROM m{part}_{n} a JOIN m{part}_{n} b ON a.j = b.i GROUP BY a.i, b.j)"
+            )
+            steps.append(
+                f"m{part}_{n + 1} AS MATERIALIZED ("
+                f"SELECT i, j, v / (SELECT sum(v) FROM q{part}_{n} WHERE i = j) AS v FROM q{part}_{n})"
+            )
+        last = f"m{part}_{squarings}"
+        steps.append(
+            f"raw{part} AS (SELECT i, v FROM {last} WHERE j = (SELECT i FROM {last} WHERE i = j ORDER BY v DESC LIMIT 1))"
+        )
+        steps.append(
+            f"w{part} AS MATERIALIZED (SELECT i, v / sqrt((SELECT sum(v * v) FROM raw{part})) "
+            f"* (SELECT sign(v) FROM raw{part} ORDER BY abs(v) DESC LIMIT 1) AS v FROM raw{part})"
+        )
+        if part == 1:
+            steps.append(
+                "big AS (SELECT sum(a.v * c1.v * b.v) AS v FROM c1 JOIN w1 a ON a.i = c1.i JOIN w1 b ON b.i = c1.j)"
+            )
+            steps.append(
+                "c2 AS MATERIALIZED (SELECT c1.i, c1.j, c1.v - (SELECT v FROM big) * a.v * b.v AS v "
+                "FROM c1 JOIN w1 a ON a.i = c1.i JOIN w1 b ON b.i = c1.j)"
+            )
+    return ",\n".join(steps)
+
+
+PCA = f"""
+WITH e AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) t(i)),
+mean AS (SELECT i, avg(x) AS m FROM e GROUP BY i),
+centred AS MATERIALIZED (SELECT vec_id, i, x - m AS x FROM e JOIN mean USING (i)),
+c1 AS MATERIALIZED (
+  SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM centred a JOIN centred b USING (vec_id) GROUP BY a.i, b.i),
+{components()}
+SELECT vec_id AS image_id, round(sum(x * w1.v), 6) AS first, round(sum(x * w2.v), 6) AS second
+FROM centred JOIN w1 USING (i) JOIN w2 USING (i) GROUP BY vec_id"""
+
+
 SQL: dict[str, str] = {
     # counts and profiles
     "identity_count": f"WITH {ELIGIBLE} SELECT * FROM counted",
@@ -630,4 +676,5 @@ SELECT image_id, label::VARCHAR AS label, round(s, 6) AS silhouette FROM sil""",
     "nonlinear_projection": NONLINEAR,
     "batch_embed": """
 SELECT doc_id, strlen(text) AS bytes, length(text) - length(replace(text, ' ', '')) AS spaces FROM documents""",
+    "pca": PCA,
 }

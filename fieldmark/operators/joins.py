@@ -55,6 +55,13 @@ def attach_by_key(
     return _join_salted(tagged, copies, key, how)
 
 
+def decode_labels(
+    rows: DataFrame, codes: DataFrame, code: str = "label_id", spread: str = "image_id"
+) -> DataFrame:
+    """Add to coded rows the label of their ``code``; NULL for a code that ``codes`` lacks."""
+    return attach_by_key(rows, codes, code, spread)
+
+
 def missing_rows(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of ``left`` whose key does not occur in ``right``."""
     return left.join(right.select(key).distinct(), key, "left_anti")

@@ -122,10 +122,6 @@ def encode_labels(df: DataFrame, label: str, out: str = "label_id") -> DataFrame
     return ranked.withColumn(out, F.col(out) - 1)
 
 
-# Up to this many rows, one task may hold all values of an exact percentile.
-SMALL_SAMPLE = 1_000_000
-
-
 def group_sizes(df: DataFrame, value: str, by: str | None = None) -> dict:
     """Non-NULL values per group of ``by``; one entry under None without it."""
     counts = df.groupBy(*([by] if by else [])).agg(F.count(value).alias("n"))
@@ -138,25 +134,18 @@ def exact_quantiles(
     probabilities: dict[str, float],
     *,
     by: str | None = None,
-    small_sample: int = SMALL_SAMPLE,
     sizes: dict | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one column per name.
 
     ``by`` (few distinct values, such as neighbour counts) gives one row per
     value. ``df`` is counted first, unless ``sizes`` says what ``group_sizes``
-    would: a small one uses ``percentile``, whose buffer is then bounded; a
-    larger one is sorted by range and the order statistics are read off at their
-    exact positions.
+    would. One range sort of the distinct values serves all groups, and the order
+    statistics are read off at their exact positions.
     """
     df = df.where(F.col(value).isNotNull())
     groups = [by] if by else []
     sizes = group_sizes(df, value, by) if sizes is None else sizes
-    if sum(sizes.values()) <= small_sample:
-        return df.groupBy(*groups).agg(
-            *[F.percentile(value, F.lit(p)).alias(n) for n, p in probabilities.items()]
-        )
-
     counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_total(counts, [*groups, value], "_n", "_upto")
     start, picks = 0, {name: [] for name in probabilities}

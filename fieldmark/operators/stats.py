@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmark.operators.neighbors import nearest, row_medians
-from fieldmark.operators.ranking import SMALL_SAMPLE, exact_quantiles, group_sizes
+from fieldmark.operators.ranking import exact_quantiles, group_sizes
 from fieldmark.sources.staging import stage
 
 
@@ -40,7 +40,6 @@ def distance_summaries(
     distances: DataFrame,
     value: str = "distance",
     by: str | None = None,
-    small_sample: int = SMALL_SAMPLE,
 ) -> DataFrame:
     """min, max, mean, population deviation, quartiles, IQR and MAD.
 
@@ -52,7 +51,7 @@ def distance_summaries(
     sizes = group_sizes(distances, value, by)
     quartiles = exact_quantiles(
         distances, value, {"q1": 0.25, "median": 0.5, "q3": 0.75},
-        by=by, small_sample=small_sample, sizes=sizes,
+        by=by, sizes=sizes,
     )
     moments = distances.groupBy(*groups).agg(
         F.min(value).alias("min_distance"),
@@ -75,9 +74,7 @@ def distance_summaries(
     else:
         centred = distances.withColumn("median", F.lit(first.first()["median"]))
     gaps = centred.select(*groups, F.abs(F.col(value) - F.col("median")).alias("_gap"))
-    mad = exact_quantiles(
-        gaps, "_gap", {"mad": 0.5}, by=by, small_sample=small_sample, sizes=sizes
-    ).collect()
+    mad = exact_quantiles(gaps, "_gap", {"mad": 0.5}, by=by, sizes=sizes).collect()
     mads = {(r[by] if by else None): r["mad"] for r in mad}
     columns = [
         *groups, "min_distance", "max_distance", "mean_distance", "std_distance",
@@ -94,19 +91,16 @@ def distance_summaries(
     return spark.createDataFrame(rows, T.StructType(kinds))
 
 
-def distance_summary(
-    distances: DataFrame, value: str = "distance", small_sample: int = SMALL_SAMPLE
-) -> DataFrame:
+def distance_summary(distances: DataFrame, value: str = "distance") -> DataFrame:
     """One row with the nine statistics of ``distance_summaries``."""
-    return distance_summaries(distances, value, small_sample=small_sample)
+    return distance_summaries(distances, value)
 
 
 def median_and_mad(
     distances: DataFrame,
     value: str = "distance",
     by: str | None = "num_neighbors",
-    small_sample: int = SMALL_SAMPLE,
 ) -> DataFrame:
     """Median and median absolute deviation (unscaled), one row per ``by``."""
     kept = [by, "median", "mad"] if by else ["median", "mad"]
-    return distance_summaries(distances, value, by, small_sample).select(*kept)
+    return distance_summaries(distances, value, by).select(*kept)

@@ -28,18 +28,19 @@ def _absolute(path: str) -> str:
 
 
 def prepare_images(
-    spark: SparkSession, input_root: str, output_root: str, num_partitions: int = 20
+    spark: SparkSession, input_root: str, output_root: str, num_partitions: int | None = None
 ) -> None:
     """Turn ``metadata.csv`` and ``images/`` into two Parquet tables.
 
     ``metadata`` keeps the CSV; ``images`` holds the file bytes with image_id,
-    in ``dataset=/split=`` directories. Fails if the row counts differ.
+    in ``dataset=/split=`` directories. Without ``num_partitions`` their tasks
+    follow size. Fails if the row counts differ.
     """
     root = _absolute(input_root)
     metadata_path = f"{output_root}/parquet/metadata"
     images_path = f"{output_root}/parquet/images"
     metadata = read_metadata(spark, f"{root}/metadata.csv")
-    write_files(metadata, metadata_path, 4)
+    write_files(metadata, metadata_path)
 
     images = read_files(spark, f"{root}/images").withColumn("path", relative_path("path", root))
     keys = read_columns(spark, metadata_path, ["image_id", "path", "dataset", "split"])
@@ -58,7 +59,7 @@ def embed_images(
     embedder: Transformer,
     sample_id: int | None = None,
     num_sample_ids: int = 10,
-    num_partitions: int = 5,
+    num_partitions: int | None = None,
 ) -> str:
     """Run an embedding stage over an image table and write (image_id, output).
 

@@ -52,20 +52,26 @@ def read_records(
     return reader.json(pattern).select("*", F.col("_metadata.file_path").alias("filename"))
 
 
-def write_files(df: DataFrame, path: str, files: int) -> None:
-    """Overwrite a Parquet table with a fixed number of files."""
-    df.repartition(files).write.mode("overwrite").parquet(path)
+def write_files(df: DataFrame, path: str, files: int | None = None) -> None:
+    """Overwrite a Parquet table with ``files`` files, or as many as its size asks for."""
+    dealt = df.hint("rebalance") if files is None else df.repartition(files)
+    dealt.write.mode("overwrite").parquet(path)
 
 
 def write_partitioned(
-    df: DataFrame, path: str, keys: Sequence[str], partitions: int, spread: str | None = None
+    df: DataFrame, path: str, keys: Sequence[str], partitions: int | None = None, spread: str | None = None
 ) -> None:
     """Overwrite a Parquet table laid out in directories by ``keys``.
 
-    Rows are hash-distributed by the keys first. A directory that holds a large
-    share of all rows would then be one task; name a unique ``spread`` column
-    to let each directory be written by several tasks.
+    Rows are hash-distributed by the keys first, and without ``partitions`` tasks
+    are split or merged to Spark's advisory size, so a directory that holds a large
+    share of all rows is written by several. With a fixed number of ``partitions``
+    it would be one task; name a unique ``spread`` column to avoid that.
     """
+    if partitions is None:
+        dealt = df.hint("rebalance", *keys)
+        dealt.write.mode("overwrite").partitionBy(*keys).parquet(path)
+        return
     by = [F.col(k) for k in keys]
     if spread:
         by.append(F.pmod(F.xxhash64(spread), F.lit(partitions)))
@@ -83,10 +89,13 @@ def sample_path(path: str, sample_id: int) -> str:
 
 
 def write_samples(df: DataFrame, path: str, key: str, buckets: int) -> None:
-    """Write every sample of ``df`` in one job, replacing only the samples it holds."""
+    """Write every sample of ``df`` in one job, replacing only the samples it holds.
+
+    Tasks follow size: a bucket that holds many rows is written by several.
+    """
     (
         df.withColumn("sample_id", hash_bucket(key, buckets))
-        .repartition(buckets, "sample_id")
+        .hint("rebalance", "sample_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("sample_id")

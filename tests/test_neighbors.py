@@ -118,17 +118,15 @@ def test_row_medians_and_null_statistics(rows):
         got = distances.where(F.col("num_neighbors") == k).toPandas().set_index("image_id")["distance"]
         np.testing.assert_allclose(got.sort_index(), want.sort_index(), rtol=1e-12)
         median = np.median(want)
-        for small in (10**6, 0):
-            stats = median_and_mad(distances, small_sample=small).where(F.col("num_neighbors") == k).first()
-            assert stats["median"] == pytest.approx(median, rel=1e-12)
-            assert stats["mad"] == pytest.approx(np.median(np.abs(want - median)), rel=1e-12)
+        stats = median_and_mad(distances).where(F.col("num_neighbors") == k).first()
+        assert stats["median"] == pytest.approx(median, rel=1e-12)
+        assert stats["mad"] == pytest.approx(np.median(np.abs(want - median)), rel=1e-12)
 
 
-@pytest.mark.parametrize("small", [10**6, 0])
-def test_distance_summary(spark, small):
+def test_distance_summary(spark):
     values = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0, 5.0, 3.0, 5.0, 5.0, 5.0, 5.0]
     df = spark.createDataFrame([(v,) for v in values], "distance double").repartition(5)
-    row = distance_summary(df, small_sample=small).first().asDict()
+    row = distance_summary(df).first().asDict()
     a = np.array(values)
     q1, q2, q3 = np.percentile(a, [25, 50, 75])
     want = dict(

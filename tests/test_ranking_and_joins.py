@@ -54,13 +54,12 @@ def test_running_total_and_label_codes(spark):
     assert {(r[0], r[1]) for r in encode_labels(labels, "label").collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
-@pytest.mark.parametrize("small", [10**6, 0])
-def test_exact_quantiles_by_group(spark, small):
+def test_exact_quantiles_by_group(spark):
     rng = np.random.default_rng(3)
     data = [(g, float(v)) for g, n in ((1, 41), (2, 100), (5, 1)) for v in rng.integers(0, 9, n)]
     df = spark.createDataFrame(data, "g int, v double")
     probs = {"low": 0.1, "mid": 0.5, "high": 1.0}
-    got = {r["g"]: r for r in exact_quantiles(df, "v", probs, by="g", small_sample=small).collect()}
+    got = {r["g"]: r for r in exact_quantiles(df, "v", probs, by="g").collect()}
     for g in (1, 2, 5):
         values = [v for h, v in data if h == g]
         for name, p in probs.items():

@@ -85,6 +85,19 @@ def test_samples(spark, tmp_path):
     assert spark.read.parquet(whole).count() == 200
 
 
+def test_hot_sample_is_written_by_several_tasks(spark, tmp_path):
+    path = str(tmp_path / "t")
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(setting, "16k")
+    try:
+        df = spark.range(0, 40_000, 1, 8).select(F.lit(7).alias("id"), F.xxhash64("id").alias("v"))
+        write_samples(df, path, "id", 4)
+    finally:
+        spark.conf.unset(setting)
+    (folder,) = [f for f in os.listdir(path) if f.startswith("sample_id=")]
+    assert len(files_in(f"{path}/{folder}")) > 1 and spark.read.parquet(path).count() == 40_000
+
+
 def test_records_and_csv(spark, tmp_path):
     for model, epoch, score in (("linear", "epoch=010", 0.25), ("other", "last", 0.5)):
         folder = tmp_path / model / epoch
