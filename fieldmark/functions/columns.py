@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: the label of a row that matches no known individual.
 NEW_INDIVIDUAL = "new_individual"
 
 # Identity prefixes that a submission may use.

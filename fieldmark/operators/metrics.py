@@ -95,9 +95,10 @@ def submission_violations(
     """
     for column in (key, "identity"):
         if column not in submission.columns:
-            raise SubmissionError(f"the submission must have column {column}")
-    if not isinstance(submission.schema["identity"].dataType, T.StringType):
-        raise SubmissionError("submission column identity must be a string")
+            raise SubmissionError(f"no column {column} among {', '.join(submission.columns)}")
+    kind = submission.schema["identity"].dataType
+    if not isinstance(kind, T.StringType):
+        raise SubmissionError(f"labels in column identity are {kind.simpleString()}; each must be a string")
     counts = (
         solution.select(key, F.lit(1).alias("_side"), F.lit(True).alias("_valid"))
         .unionByName(

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmark.operators import kernels
 from fieldmark.operators.grid import even_block, plan_blocks, run_tiles, vector_width
 from fieldmark.operators.joins import attach_by_key
+from fieldmark.operators.ranking import running_total
 from fieldmark.sources.staging import stage
 
 
@@ -214,13 +215,9 @@ def silhouette_samples(
 
 
 def _piece_starts(sizes, label, big, pieces, first) -> DataFrame:
-    """First block of each large label; there are at most four per grid block."""
-    earlier = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.where(big).select(
-        label,
-        pieces.alias("_pieces"),
-        (F.lit(first) + F.coalesce(F.sum(pieces).over(earlier), F.lit(0))).alias("_start"),
-    )
+    """First block of each large label."""
+    large = running_total(sizes.where(big).select(label, pieces.alias("_pieces")), [label], "_pieces", "_upto")
+    return large.select(label, "_pieces", (F.lit(first) + F.col("_upto") - F.col("_pieces")).alias("_start"))
 
 
 def silhouette_score(df: DataFrame, label: str, **names) -> DataFrame:
