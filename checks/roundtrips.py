@@ -160,7 +160,7 @@ REGISTERED = (
 
 RUNS = """
 WITH runs AS (
-  SELECT 'model=' || lang AS model, 'epoch=' || (doc_id % 5) AS epoch, (doc_id % 5)::BIGINT AS number,
+  SELECT 'model=' || lang AS model, 'epoch=' || (doc_id % 5) AS epoch, (doc_id % 5)::INT AS number,
          avg(quality) AS score, count(*) AS rows
   FROM labels JOIN documents USING (doc_id) GROUP BY ALL)"""
 
@@ -178,7 +178,7 @@ SELECT model, number AS epoch_number, round(score, 6) AS score FROM runs WHERE m
     "partitioned_roundtrip": "SELECT doc_id, lang, source, n_chars FROM documents",
     "samples_roundtrip": f"""
 WITH s AS ({oracles.CRC_BUCKET.replace("vec_id", "doc_id").replace("FROM embeddings", "FROM labels")})
-SELECT doc_id, quality, toxic, sample_id FROM labels JOIN s ON image_id = doc_id""",
+SELECT doc_id, quality, toxic, sample_id::INT AS sample_id FROM labels JOIN s ON image_id = doc_id""",
     "reconcile": """
 SELECT doc_id, coalesce(a, 0) AS left_rows, coalesce(b, 0) AS right_rows
 FROM (SELECT doc_id, count(*) AS a FROM documents GROUP BY 1)
