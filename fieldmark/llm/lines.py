@@ -1,17 +1,17 @@
 """Removal of repeated lines by an exact set-similarity join.
 
-A line is the set of its shingles, runs of ``size`` words. Shingles are ordered by rarity over the whole corpus:
-words are counted in cells, and a shingle is numbered by the rank of its rarest word's cell and its own
-fingerprint, so that sorting numbers sorts by rarity without a join. Lines with equal sets are one class,
-known by its first line in the order of (id, line number). Two classes that are similar enough share a shingle
-within the rare ends (prefixes) of both, so classes meet in the buckets of prefix shingles; the length filter and
-the position filter drop most pairs before the remaining lines are fetched and their Jaccard similarity is
-computed. A class needs one earlier partner only: in each bucket all meet the earliest class first, then the
-earliest that is not similar to it, and only classes that are still open meet all earlier ones. So a group of
-thousands of near copies costs a few comparisons a member, and no removal is missed.
+A line is the set of its words. Words are ordered by rarity over the whole corpus: they are counted in cells, and
+a word is numbered by the rank of its cell and its own fingerprint, so that sorting numbers sorts by rarity without
+a join. Lines with equal sets are one class, known by its first line in the order of (id, line number). Two
+classes that are similar enough share a word within the rare ends (prefixes) of both, so classes meet in the
+buckets of prefix words; the length filter and the position filter drop most pairs before the remaining lines are
+fetched and their Jaccard similarity is computed. Sets so small that one word more or less is too much have equal
+sets only, and no bucket. A class needs one earlier partner only: in each bucket all meet the earliest class first,
+then the earliest that is not similar to it, and only classes that are still open meet all earlier ones. So a group
+of thousands of near copies costs a few comparisons a member, and no removal is missed.
 
 A line goes if an equal or similar line comes earlier in the input, whether that one stays or not; so the
-outcome does not depend on the order of work. Lines of fewer than ``size`` words are left alone.
+outcome does not depend on the order of work. Lines of fewer than ``least_words`` distinct words are left alone.
 
 Only built-in functions run. Copies are counted before the shuffle and are one row after it, so a line that a
 third of all documents have is one class. Joins are keyed on one row per key on one side, so that Spark can
@@ -30,7 +30,7 @@ from fieldmark.sources.staging import stage
 
 #: Cells in which words are counted; a power of two.
 CELL_BITS = 16
-#: Bits of the fixed-size filters of lines to be fetched and of shingles with company, kept in 64-bit words.
+#: Bits of the fixed-size filters of lines to be fetched and of words with company, kept in 64-bit words.
 FILTER_BITS = 20
 SHARED_BITS = 22
 HUB_ROUNDS = 2
@@ -69,35 +69,14 @@ def numbered_words(codes: str, ranks: Column) -> Column:
     )
 
 
-def joined_runs(a: Column, b: Column) -> Column:
-    """Numbers of runs made of two parts: the rarest word's rank in front, a fingerprint of both behind it."""
-    front = F.lit(-(1 << (63 - CELL_BITS)))
-    return F.least(a, b).bitwiseAND(front).bitwiseOR(F.shiftrightunsigned(F.xxhash64(a, b), CELL_BITS + 1))
+def with_words(lines: DataFrame, content: str, ranks: Column, *carried: str) -> DataFrame:
+    """``carried`` and ``words``, the distinct words of a line as numbers, rarest first.
 
-
-def with_grams(lines: DataFrame, content: str, ranks: Column, size: int, *carried: str) -> DataFrame:
-    """``carried`` and ``grams``, the distinct shingles of a line, rarest first; null for a line of fewer words.
-
-    Neighbouring runs are joined in steps that double their length, with a step by one word where a length is
-    odd. Runs that leave the line come last and are cut off. There is no filter on the number of words here: it
-    would be pushed down and hash every word once more.
+    There is no filter on the number of words here: it would be pushed down and hash every word once more.
     """
     codes = F.transform(words_of(F.col(content)), lambda word: F.xxhash64(word))
-    df = lines.select(*carried, codes.alias("codes")).select(*carried, numbered_words("codes", ranks).alias("numbers"))
-    df = df.select(*carried, "numbers", F.col("numbers").alias("runs"))
-    length = 1
-    for digit in f"{size:b}"[1:]:
-        after = F.slice("runs", F.lit(length + 1), F.size("numbers"))
-        df = df.select(*carried, "numbers", F.zip_with("runs", after, joined_runs).alias("runs"))
-        length *= 2
-        if digit == "1":
-            word = F.slice("numbers", F.lit(length + 1), F.size("numbers"))
-            df = df.select(*carried, "numbers", F.zip_with("runs", word, joined_runs).alias("runs"))
-            length += 1
-    whole = F.slice("runs", F.lit(1), F.greatest(F.size("numbers") - (size - 1), F.lit(0)))
-    return df.select(
-        *carried, F.when(F.size("numbers") >= size, F.sort_array(F.array_distinct(whole))).alias("grams")
-    )
+    df = lines.select(*carried, codes.alias("codes"))
+    return df.select(*carried, F.sort_array(F.array_distinct(numbered_words("codes", ranks))).alias("words"))
 
 
 def _in_filter(table: Column, code: Column, bits: int) -> Column:
@@ -119,7 +98,7 @@ def _filter_of(codes: DataFrame, bits: int) -> Column:
 
 
 def removed_lines(
-    docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, percent: int = 90, least_words: int = 5, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """k1, k2 (of the row) and ``removed``: numbers of the lines that go, from 0. Other rows are not listed."""
     slim = docs.where(F.col(f"`{text}`").isNotNull()).select(
@@ -129,14 +108,15 @@ def removed_lines(
     lines = slim.select("key", "k2", F.posexplode(F.split("body", "\n")).alias("line", "content"))
     lines = lines.where(F.btrim("content", F.lit(SPACES)) != "")
     where = F.struct("key", "k2", "line")
-    sets = with_grams(lines, "content", ranks, size, "key", "k2", "line")
-    n = F.size("grams")
-    prefix = F.slice("grams", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
-    set_id = F.when(F.col("grams").isNotNull(), F.xxhash64("grams"))
+    sets = with_words(lines, "content", ranks, "key", "k2", "line")
+    n = F.size("words")
+    prefix = F.slice("words", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
+    prefix = F.when(100 * n >= percent * (n + 1), prefix).otherwise(F.array().cast("array<bigint>"))
+    set_id = F.when(n >= least_words, F.xxhash64("words"))
     listed = stage(sets.select(where.alias("where"), set_id.alias("set_id"), n.alias("n"), prefix.alias("prefix")))
     listed = listed.where("set_id IS NOT NULL")
     classes = stage(listed.groupBy("set_id", "n").agg(F.min("where").alias("first")))
-    # Copies are combined before the shuffle; a shingle that one line holds meets nothing and goes no further.
+    # Copies are combined before the shuffle; a word in the prefix of one line meets nothing and goes no further.
     shared = stage(
         listed.select(F.explode("prefix").alias("word"))
         .groupBy("word")
@@ -156,23 +136,23 @@ def removed_lines(
     buckets = stage(buckets.join(classes.select("set_id", "first"), "set_id"))
 
     def lines_of(pairs: DataFrame) -> DataFrame:
-        """Shingles of the classes in ``pairs``, from the one line that stands for each."""
+        """Words of the classes in ``pairs``, from the one line that stands for each."""
         wanted = pairs.select(F.explode(F.array("early", "late")).alias("set_id")).distinct()
         wanted = stage(wanted.join(classes.select("set_id", "first"), "set_id").withColumn("code", F.xxhash64("first")))
         chosen = lines.withColumn("code", F.xxhash64(where)).where(
             _in_filter(_filter_of(wanted.select("code"), FILTER_BITS), F.col("code"), FILTER_BITS)
         )
         chosen = chosen.select("code", where.alias("first"), "content").join(wanted, ["code", "first"])
-        return stage(with_grams(chosen, "content", ranks, size, "set_id").dropDuplicates(["set_id"]))
+        return stage(with_words(chosen, "content", ranks, "set_id").dropDuplicates(["set_id"]))
 
     def later_of(pairs: DataFrame, decided: DataFrame | None) -> DataFrame:
         """``decided`` and those ``late`` classes of ``pairs`` that are similar to their ``early`` one."""
         pairs = stage(pairs)
-        grams = lines_of(pairs)
-        a = grams.select(F.col("set_id").alias("early"), F.col("grams").alias("grams_a"))
-        b = grams.select(F.col("set_id").alias("late"), F.col("grams").alias("grams_b"))
-        both = F.size(F.array_intersect("grams_a", "grams_b"))
-        either = F.size("grams_a") + F.size("grams_b") - both
+        words = lines_of(pairs)
+        a = words.select(F.col("set_id").alias("early"), F.col("words").alias("words_a"))
+        b = words.select(F.col("set_id").alias("late"), F.col("words").alias("words_b"))
+        both = F.size(F.array_intersect("words_a", "words_b"))
+        either = F.size("words_a") + F.size("words_b") - both
         found = pairs.join(a, "early").join(b, "late").where(100 * both >= percent * either)
         found = found.select(F.col("late").alias("set_id"))
         return stage((found if decided is None else found.unionByName(decided)).distinct())
@@ -215,12 +195,12 @@ def removed_lines(
 
 
 def drop_repeated_lines(
-    docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text",
+    docs: DataFrame, percent: int = 90, least_words: int = 5, key: str = "doc_id", text: str = "text",
     out: str | None = None,
 ) -> DataFrame:
     """``docs`` with ``text`` less its repeated lines, and with ``out`` the numbers of the removed lines."""
     k1, k2, removed = fresh(docs, "k1", "k2", "removed")
-    found = removed_lines(docs, size, percent, key, text).select(
+    found = removed_lines(docs, percent, least_words, key, text).select(
         F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("removed").alias(removed)
     )
     marked = docs.withColumns({k1: F.xxhash64(F.col(f"`{key}`")), k2: F.xxhash64(F.col(f"`{text}`"))})

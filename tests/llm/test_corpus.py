@@ -98,6 +98,38 @@ def test_repeated_lines_go(spark, nothing):
     assert lines.drop_repeated_lines(nothing).count() == 0
 
 
+def repeated_lines(texts, least):
+    """Numbers of the lines that go, by comparing the word sets of all lines, for (id, text) in order."""
+    seen, gone = [], {}
+    for d, text in texts:
+        gone[d] = []
+        for i, line in enumerate((text or "").split("\n")):
+            words = set(line.split())
+            if len(words) >= least:
+                if any(100 * len(words & s) >= 90 * len(words | s) for s in seen):
+                    gone[d].append(i)
+                seen.append(words)
+    return gone
+
+
+def line_samples():
+    rng = random.Random(9)
+    line = [f"v{i}" for i in range(20)]
+    edited = [" ".join("new" if i == at else w for i, w in enumerate(line)) for at in (3, 10, 19)]
+    short = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 12))) for _ in range(80)]
+    texts = [(1, " ".join(line)), (2, "\n".join(edited)), (3, " ".join(reversed(line)) + "\n" + " ".join(line[:18]))]
+    return texts + [(4, None), (5, "\n \n")] + [(10 + i, "\n".join(short[i::8] + short[i : i + 2])) for i in range(8)]
+
+
+def test_lines_are_compared_as_word_sets(spark):
+    texts = line_samples()
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = lines.drop_repeated_lines(frame, out="removed").collect()
+    want = repeated_lines(texts, 5)
+    assert {r.doc_id: sorted(r.removed) for r in rows} == want
+    assert want[2] == [0, 1, 2] and want[3] == [0, 1]  # one word of twenty, the order, two words fewer
+
+
 def test_token_counts_and_prefixes(docs, nothing):
     from tokenizers import Tokenizer
 
