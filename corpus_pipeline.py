@@ -43,7 +43,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (removed,) = fresh(docs, "removed")
-    rows = lines.drop_repeated_lines(docs, out=removed)
+    rows = lines.drop_repeated_lines(docs, least_words=1, out=removed)
     left = (F.size(removed) == 0) | (F.btrim("text", F.lit(lines.SPACES)) != "")
     return counted(rows.where(left).drop(removed))
 

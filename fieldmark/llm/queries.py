@@ -82,7 +82,8 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = lines.drop_repeated_lines(docs.withColumn("before", F.size(F.split("text", "\n"))), out="removed")
+    counted = docs.withColumn("before", F.size(F.split("text", "\n")))
+    rows = lines.drop_repeated_lines(counted, least_words=1, out="removed")
     return rows.select(
         "doc_id", F.coalesce("before", F.lit(0)).cast("long").alias("n_lines"),
         F.size("removed").cast("long").alias("n_removed"),

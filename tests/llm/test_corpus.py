@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fieldmark.sources.staging import stage
-from fieldmark.llm import jaccard, lines, multi_index, packing, pieces, quality, secrets, suffix, tokens, toxicity
+from fieldmark.llm import (
+    jaccard, lines, multi_index, packing, pieces, quality, queries, secrets, suffix, tokens, toxicity,
+)
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -130,6 +132,18 @@ def test_lines_are_compared_as_word_sets(spark):
     assert want[2] == [0, 1, 2] and want[3] == [0, 1]  # one word of twenty, the order, two words fewer
 
 
+def test_short_lines_go_in_the_query_and_the_pipeline(spark, tmp_path):
+    texts = [*line_samples(), (30, "Of.\nx y\nown words of thirty"), (31, "y x\nOf.\nown words of more"), (32, " Of. ")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    want = repeated_lines(texts, 1)
+    assert want[31] == [0, 1] and want[32] == [0]
+    got = queries.op9_line_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {d: len(gone) for d, gone in want.items()}
+    rows = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame, str(tmp_path)).collect()}
+    assert rows[31] == "own words of more" and 32 not in rows
+
+
 def test_token_counts_and_prefixes(docs, nothing):
     from tokenizers import Tokenizer
 
