@@ -164,7 +164,8 @@ def search(
     indexed = stage(assign(good, quantiser))
     sizes = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = lay_out(sizes)
-    wanted = int(np.ceil(share * total)) + 1
+    # One more than asked for: the query is in one of the cells.
+    wanted = max(int(np.ceil(share * total)), k) + 1
 
     def to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -238,6 +238,17 @@ def test_search_recall_and_bad_vectors(spark):
     assert multi_index.search(frame.limit(0), lambda v: v % 100 == 0).count() == 0
 
 
+def test_search_finds_all_of_few_vectors(spark):
+    rng = np.random.default_rng(2)
+    for n in (4, 11, 12):
+        good = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(n)]
+        frame = spark.createDataFrame(good, "vec_id long, embedding array<double>")
+        found = {}
+        for r in multi_index.search(frame, lambda v: v >= 0).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        assert {q: len(ids) for q, ids in found.items()} == {q: min(10, n - 1) for q in range(n)}
+
+
 def test_severity_is_learned_and_ordered(spark):
     rng = random.Random(4)
     bad = ["vile", "nasty", "rotten"]
