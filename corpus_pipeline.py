@@ -53,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ledger = secrets.extend_ledger(None, secrets.scan_blobs(docs, RULE_VERSION))
+    ledger = secrets.build_ledger(docs, RULE_VERSION)
     return counted(secrets.redact_found(docs, ledger, RULE_VERSION))
 
 

@@ -65,7 +65,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = secrets.extend_ledger(None, secrets.scan_blobs(docs, rule_version=2))
+    ledger = secrets.build_ledger(docs, rule_version=2)
     rows = secrets.join_findings(docs, ledger, rule_version=2)
     return rows.select(
         "doc_id",

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.llm.frames import fresh
+from fieldmark.sources.staging import stage
 
 #: Kinds in the order in which findings at one place are listed: pattern, group that is measured, least
 #: length. Version 1 holds the first three, version 2 all.
@@ -79,7 +80,8 @@ def scan_blobs(
     """Findings of the blobs that ``ledger`` lacks under this version: blob, rule_version, spans.
 
     ``spans`` is an array of (start, place in KINDS, end), by start and place. Blobs without a finding are
-    listed too, with no span: they have been scanned.
+    listed too, with no span: they have been scanned. Of a blob that ``ledger`` has under an earlier version
+    only the kinds that this version adds are scanned; what was found is kept.
     """
     path = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
     slim = docs.select(path.alias("path"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
@@ -88,8 +90,17 @@ def scan_blobs(
     if ledger is not None:
         seen = ledger.where(F.col("rule_version") == rule_version).select("blob")
         unseen = unseen.join(seen, "blob", "left_anti")
+    base = max((v for v in RULES if v < rule_version and set(RULES[v]) <= set(RULES[rule_version])), default=None)
+    if ledger is not None and base is not None:
+        known = ledger.where(F.col("rule_version") == base).select("blob", F.col("spans").alias("known"))
+        unseen = unseen.join(known, "blob", "left")
     standing = slim.join(unseen.hint("shuffle_hash"), ["path", "blob"])
-    found = F.flatten(F.array(*(_spans("body", kind) for kind in RULES[rule_version])))
+    if "known" in standing.columns:
+        old = F.flatten(F.array(*(_spans("body", kind) for kind in RULES[base])))
+        added = [_spans("body", kind) for kind in RULES[rule_version] if kind not in RULES[base]]
+        found = F.concat(F.coalesce(F.col("known"), old), *added)
+    else:
+        found = F.flatten(F.array(*(_spans("body", kind) for kind in RULES[rule_version])))
     scanned = standing.select("blob", F.array_sort(found).alias("spans"))
     # A path that is listed twice with one text stands twice for its blob.
     return scanned.groupBy("blob").agg(F.first("spans").alias("spans")).select(
@@ -102,6 +113,15 @@ def extend_ledger(ledger: DataFrame | None, findings: DataFrame) -> DataFrame:
     return findings if ledger is None else ledger.unionByName(findings)
 
 
+def build_ledger(docs: DataFrame, rule_version: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger after a run of each version up to ``rule_version``; earlier ones are written before the next."""
+    ledger = None
+    for version in sorted(v for v in RULES if v <= rule_version):
+        ledger = stage(ledger) if ledger is not None else None
+        ledger = extend_ledger(ledger, scan_blobs(docs, version, ledger, key, text))
+    return ledger
+
+
 def join_findings(docs: DataFrame, ledger: DataFrame, rule_version: int, text: str = "text") -> DataFrame:
     """``docs`` without its texts, and the ``spans`` that the ledger has for each row's blob."""
     blob, spans = fresh(docs, "blob", "spans")
