@@ -1,5 +1,6 @@
 """The registered queries and their SQL: names agree, and a sample of both runs."""
 
+import importlib.util
 import os
 
 import duckdb
@@ -27,6 +28,19 @@ def test_every_query_has_its_sql():
     assert own <= set(sql)
 
 
+@pytest.mark.parametrize("absent", entry.CORPUS_PART)
+def test_entry_works_without_the_corpus_part(monkeypatch, absent):
+    find = importlib.util.find_spec
+
+    def hidden(name, *package):
+        return None if name == absent else find(name, *package)
+
+    monkeypatch.setattr(importlib.util, "find_spec", hidden)
+    registered = (*entry.registered.REGISTERED, *entry.roundtrips.REGISTERED)
+    assert set(entry.queries()) == {query.__name__ for query in registered}
+    assert set(entry.oracle_sql()) == set(entry.queries())
+
+
 def plain(value):
     if value is None or isinstance(value, (bool, str)):
         return str(value)
