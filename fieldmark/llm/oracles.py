@@ -111,8 +111,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN least ON a = d.doc_id
 
 LINES = rf"""
 WITH l AS (
-    SELECT doc_id, i, line, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(
-               generate_series(1, len(w) - 4), lambda j: array_to_string(w[j : j + 4], ' ')))) END AS words
+    SELECT doc_id, i, line, CASE WHEN len(w) > 0 THEN list_sort(list_distinct(w)) END AS words
     FROM (
         SELECT doc_id, i, parts[i] AS line, regexp_extract_all(parts[i], '{WORD}') AS w FROM (
             SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i
@@ -127,12 +126,12 @@ c AS (
 t AS (SELECT id, n, unnest(words) AS word FROM c),
 shared AS (
     SELECT a.id AS a, b.id AS b, count(*) AS o FROM t a
-    JOIN t b ON a.word = b.word AND a.id <> b.id AND 100 * b.n >= 75 * a.n AND 100 * a.n >= 75 * b.n
+    JOIN t b ON a.word = b.word AND a.id <> b.id AND 100 * b.n >= 90 * a.n AND 100 * a.n >= 90 * b.n
     GROUP BY ALL
 ),
 later AS (
     SELECT DISTINCT x.words FROM shared JOIN c x ON x.id = a JOIN c y ON y.id = b
-    WHERE 100 * o >= 75 * (x.n + y.n - o) AND y.first < x.first
+    WHERE 100 * o >= 90 * (x.n + y.n - o) AND y.first < x.first
 ),
 fate AS (
     SELECT l.doc_id, l.i, l.line,
