@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import jaccard, lines, multi_index, packing, pieces, quality, secrets, suffix, tokens, toxicity
+from fieldmark.llm import (
+    jaccard, lines, multi_index, packing, pieces, quality, resampling, secrets, sharding, suffix, tokens, toxicity, whitening,
+)
 
 CAPACITY = 2_048
 TOKEN_LIMIT = 512
+SHARDS = 24
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +99,21 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (read(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return resampling.resample(docs, target, percent=5, least_words=20, buckets=10_000, seed=42)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.equal_shards(read(spark, sf_dir, "documents"), SHARDS)
+    return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(read(spark, sf_dir, "embeddings"), components=32)
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_toxicity,
     op2_multi_index,
@@ -107,4 +125,7 @@ REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op8_ngram_jaccard,
     op9_line_dedup,
     op10_sentence_pieces,
+    op11_importance_resampling,
+    op12_sharding,
+    op13_whitening,
 )
