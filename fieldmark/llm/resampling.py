@@ -22,17 +22,16 @@ results, an empty target is one without runs. Other columns are ignored, whateve
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldmark.llm.hashing import SPARE, crc32, words_at, xxhash64
 from fieldmark.operators.ranking import running_total
 from fieldmark.sources.staging import stage
 
@@ -73,7 +72,7 @@ class Words:
         self.lengths = np.flatnonzero(closes) + 1 - first
         self.starts = np.cumsum(self.lengths + 1) - self.lengths - 1
         self.text = np.searchsorted(offsets, first, side="right") - 1
-        self.data = np.full(int((self.lengths + 1).sum()), 0x20, dtype=np.uint8)
+        self.data = np.full(int((self.lengths + 1).sum()) + SPARE, 0x20, dtype=np.uint8)
         self.data[np.arange(int(self.lengths.sum())) + np.repeat(np.arange(len(first)), self.lengths)] = folded[inside]
 
     def __len__(self) -> int:
@@ -90,11 +89,8 @@ class Words:
 
 
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Whether ``data`` holds the same bytes from ``a`` on and from ``b`` on; eight bytes at a time.
-
-    ``data`` has seven spare bytes at its end.
-    """
-    eights = np.ndarray((max(len(data) - 7, 0),), dtype="<u8", buffer=data, strides=(1,))
+    """Whether ``data`` holds the same bytes from ``a`` on and from ``b`` on; eight bytes at a time."""
+    eights = words_at(data, "<u8")
     same = np.ones(len(a), dtype=bool)
     left = np.flatnonzero(lengths > 0)
     done = 0
@@ -110,16 +106,12 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarr
 class RunTable:
     """Open-addressed table of distinct runs: ``bucket`` and ``count`` by slot, ``slots`` by occurrence."""
 
-    def __init__(self, data: bytes, starts: np.ndarray, ends: np.ndarray, buckets: int) -> None:
-        padded = np.frombuffer(data + bytes(7), dtype=np.uint8)
-        hashes = np.fromiter(
-            (xxhash.xxh64_intdigest(data[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)),
-            dtype=np.uint64, count=len(starts),
-        )
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int) -> None:
+        lengths = ends - starts
+        hashes = xxhash64(data, starts, lengths)
         size = 1 << max(4, (2 * len(starts)).bit_length())
         self.owner = np.full(size, -1, dtype=np.int64)
         self.slots = (hashes & np.uint64(size - 1)).astype(np.int64)
-        lengths = ends - starts
         waiting = np.arange(len(starts))
         while len(waiting):
             slot = self.slots[waiting]
@@ -129,25 +121,21 @@ class RunTable:
             owner = self.owner[slot]
             alike = (hashes[owner] == hashes[waiting]) & (lengths[owner] == lengths[waiting])
             told = np.flatnonzero(alike & (owner != waiting))
-            alike[told] = same_bytes(padded, starts[owner[told]], starts[waiting[told]], lengths[waiting[told]])
+            alike[told] = same_bytes(data, starts[owner[told]], starts[waiting[told]], lengths[waiting[told]])
             waiting = waiting[~alike]
             self.slots[waiting] = (self.slots[waiting] + 1) & (size - 1)
         self.count = np.bincount(self.slots, minlength=size)
         used = np.flatnonzero(self.owner >= 0)
         first = self.owner[used]
         self.bucket = np.zeros(size, dtype=np.int64)
-        self.bucket[used] = np.fromiter(
-            (zlib.crc32(data[s:e]) % buckets for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)),
-            dtype=np.int64, count=len(used),
-        )
+        self.bucket[used] = crc32(data, starts[first], lengths[first]) % buckets
 
 
 def tables(words: Words, buckets: int) -> Iterator[tuple[RunTable, np.ndarray]]:
     """A table for each slice of words, and the text of each of its occurrences."""
     for begin in range(0, len(words), SLICE_WORDS):
         starts, ends, text = words.runs(begin, begin + SLICE_WORDS)
-        low, high = int(starts.min()), int(ends.max())
-        yield RunTable(words.data[low:high].tobytes(), starts - low, ends - low, buckets), text
+        yield RunTable(words.data, starts, ends, buckets), text
 
 
 def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

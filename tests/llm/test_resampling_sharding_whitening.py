@@ -9,8 +9,9 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
-from fieldmark.llm import resampling, sharding, whitening
+from fieldmark.llm import hashing, resampling, sharding, whitening
 
 SCHEMA = "doc_id long, text string, rank int, shard int, class string, `key` string, slice int, n_words int"
 EXTRA = (7, 8, "c", "k", 9, 10)
@@ -96,7 +97,7 @@ def test_resampling_equals_brute_force(docs, target, monkeypatch, percent, slice
 
 
 def test_runs_with_one_hash_are_told_apart(monkeypatch):
-    monkeypatch.setattr(resampling.xxhash, "xxh64_intdigest", lambda data: 5)
+    monkeypatch.setattr(resampling, "xxhash64", lambda data, starts, lengths: np.full(len(starts), 5, dtype=np.uint64))
     words = resampling.Words(resampling.pa.array(["a b a b", "c abcdefgh1 abcdefgh2 abcdefgh1", ""]))
     ((table, text),) = resampling.tables(words, 1 << 30)
     runs = [run for t in ("a b a b", "c abcdefgh1 abcdefgh2 abcdefgh1") for run in runs_of(t)[1]]
@@ -106,6 +107,18 @@ def test_runs_with_one_hash_are_told_apart(monkeypatch):
     assert np.bincount(text).tolist() == [9, 9]
 
 
+def test_hashes_equal_the_libraries():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 4000, dtype=np.uint8)
+    lengths = np.concatenate([np.arange(300), rng.integers(0, 3000, 50)])
+    starts = rng.integers(0, 3990 - lengths)
+    raw = [data[s : s + n].tobytes() for s, n in zip(starts, lengths)]
+    assert hashing.xxhash64(data, starts, lengths).tolist() == [xxhash.xxh64_intdigest(x) for x in raw]
+    assert hashing.crc32(data, starts, lengths).tolist() == [zlib.crc32(x) for x in raw]
+    none = np.empty(0, dtype=np.int64)
+    assert len(hashing.xxhash64(data, none, none)) == len(hashing.crc32(data, none, none)) == 0
+
+
 def test_resampling_of_nothing(spark, docs, target):
     nothing = spark.createDataFrame([], SCHEMA)
     assert resampling.resample(nothing, target).count() == 0
