@@ -46,11 +46,16 @@ def plan_blocks(
     """
     rows = df.count() if rows is None else rows
     parallel = max(1, math.isqrt(df.sparkSession.sparkContext.defaultParallelism))
-    fits = max(1, min(MAX_BLOCK_ROWS, (block_bytes or BLOCK_BYTES) // (4 * max(width, 1))))
+    fits = block_rows_of(width, block_bytes)
     target = min(fits, max(MIN_BLOCK_ROWS, math.ceil(rows / parallel)))
     return Blocks(rows, max(1, math.ceil(rows / target)))
 
 
+def block_rows_of(width: int, block_bytes: int | None = None) -> int:
+    """Rows of this width that fit one block."""
+    return max(1, min(MAX_BLOCK_ROWS, (block_bytes or BLOCK_BYTES) // (4 * max(width, 1))))
+
+
 def even_block(key: str, blocks: Blocks) -> Column:
     """Block number from the hash of a unique key: blocks of even size."""
     return F.pmod(F.xxhash64(key), F.lit(blocks.count)).cast("int")
@@ -64,34 +69,22 @@ def run_tiles(
     tile: Callable,
     schema: T.StructType,
     columns: tuple[Sequence[str], Sequence[str]],
-    triangle: bool = False,
 ) -> DataFrame:
-    """Apply ``tile(left_table, right_table, mirrored)`` to every pair of blocks.
+    """Apply ``tile(left_table, right_table)`` to every pair of blocks.
 
     The frames carry their block in ``_lb`` and ``_rb``. Every row is copied
-    to each block of the other side. Right blocks form groups ``_rg``, and one
+    to each block of the other side. Right blocks form groups, and one
     partition holds the tiles of a left block with one group, one in memory at
     a time. As long as there are few tiles a group is a single block; a larger
     grid shares ``MAX_PARTITIONS`` partitions, and what its tiles emit can then
-    be combined per partition before the next shuffle.
-
-    The explicit partition number keeps adaptive execution from merging tiles,
-    whose bytes say little about their work; while tiles are fewer than the
-    cluster's slots, spare partitions keep two of them from sharing one.
-
-    With ``triangle``, left and right are one table in the same blocks: only
-    pairs with ``_lb <= _rb`` are formed, which halves the copies, and ``tile``
-    answers for both sides where ``mirrored`` is true.
+    be combined per partition before the next shuffle. Tiles are dealt to
+    partitions by number, so that none is empty and none has two groups.
     """
     groups = max(1, min(right_blocks, MAX_PARTITIONS // left_blocks))
-    filled = left_blocks * groups
-    slots = 4 * left.sparkSession.sparkContext.defaultParallelism
-    partitions = max(filled, min(4 * filled, slots)) if filled > 1 else 1
+    partitions = left_blocks * groups
 
     def spread(df: DataFrame, side: str, own: str, other: str, n: int, names: Sequence[str]) -> DataFrame:
-        first = F.col(own) if triangle and side == "l" else F.lit(0)
-        last = F.col(own) if triangle and side == "r" else F.lit(n - 1)
-        copies = F.explode(F.sequence(first, last)) if n > 1 else F.lit(0)
+        copies = F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
         mine = [F.col(c).alias(f"{side}_{c}") for c in names]
         return df.select(*mine, own, copies.alias(other))
 
@@ -109,12 +102,11 @@ def run_tiles(
         is_left = group["_left"]
         rows = group.filter(is_left).select([f"l_{c}" for c in left_names])
         block = group.filter(pc.invert(is_left)).select([f"r_{c}" for c in right_names])
-        mirrored = triangle and group["_lb"][0].as_py() != group["_rb"][0].as_py()
-        return tile(rows.rename_columns(left_names), block.rename_columns(right_names), mirrored)
+        return tile(rows.rename_columns(left_names), block.rename_columns(right_names))
 
     return (
-        both.withColumn("_rg", F.col("_rb") % groups)
-        .repartition(partitions, "_lb", "_rg")
-        .groupBy("_lb", "_rg", "_rb")
+        both.withColumn("_place", (F.col("_lb") * groups + F.col("_rb") % groups).cast("int"))
+        .repartitionById(partitions, F.col("_place"))
+        .groupBy("_place", "_rb")
         .applyInArrow(on_both, schema)
     )

@@ -7,6 +7,7 @@ is decided by the operators that call these functions.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -177,6 +178,134 @@ def _best(part, pool, keep, row, col, k, start):
     return row[top] + start, place[top], rank[top], distance[top]
 
 
+@dataclass(frozen=True)
+class Pivots:
+    """Gallery rows around which the gallery is cut into cells: a row is in the cell of its nearest one.
+
+    ``inner`` and ``outer`` are the least and the largest distance of a cell's rows to its pivot. ``labels``
+    and ``roles`` are those of the pivots, which count as gallery rows themselves.
+    """
+
+    vectors: np.ndarray
+    labels: pa.Array
+    roles: pa.Array
+    inner: np.ndarray
+    outer: np.ndarray
+
+    def distances(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Plain distances of rows to pivots, and per row how far off they may be."""
+        rows = rows.astype(np.float64)
+        own = np.einsum("ij,ij->i", rows, rows)
+        norm = np.einsum("ij,ij->i", self.vectors, self.vectors)
+        squared = own[:, None] - 2.0 * (rows @ self.vectors.T) + norm
+        # The product is off by a few units of the squared lengths, and a root near zero by the root of that.
+        off = np.sqrt(1e-15 * (rows.shape[1] + 16)) * (np.sqrt(own) + np.sqrt(norm.max(initial=0.0)))
+        return np.sqrt(np.maximum(squared, 0.0)), off
+
+    def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each row and its distance to the pivot."""
+        cell = np.empty(len(rows), dtype=np.int32)
+        distance = np.empty(len(rows))
+        step = max(1, CELLS // len(self.vectors))
+        for s in range(0, len(rows), step):
+            found, _ = self.distances(rows[s : s + step])
+            cell[s : s + step] = found.argmin(axis=1)
+            distance[s : s + step] = found.min(axis=1)
+        return cell, distance
+
+    def needed(self, rows: np.ndarray, cell: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Which cells may hold a row within ``reach`` of each row, itself of ``cell``: a boolean matrix.
+
+        A gallery row ``g`` of cell ``c`` is between ``inner`` and ``outer`` from its pivot, and no nearer to the
+        pivot of ``cell``; the triangle inequality turns both into a least distance of ``g``.
+        """
+        out = np.empty((len(rows), len(self.vectors)), dtype=bool)
+        between, _ = self.distances(self.vectors)
+        step = max(1, CELLS // len(self.vectors))
+        for s in range(0, len(rows), step):
+            to, off = self.distances(rows[s : s + step])
+            home = cell[s : s + step]
+            own = to[np.arange(len(to)), home][:, None]
+            least = np.maximum(to - self.outer, self.inner - to)
+            gap = between[home]
+            # Pivots close together say nothing reliable.
+            apart = gap > 1e3 * off[:, None]
+            half = np.divide(to * to - own * own, 2.0 * gap, out=np.full_like(gap, -np.inf), where=apart)
+            np.maximum(least, half, out=least)
+            out[s : s + step] = least <= (reach[s : s + step] * (1 + 1e-9) + 8 * off)[:, None]
+        return out
+
+
+@dataclass(frozen=True)
+class Wanted:
+    """One kind of neighbour list: the roles that ask and that answer (None: all), and whether labels must differ."""
+
+    name: str
+    queries: frozenset[str] | None = None
+    gallery: frozenset[str] | None = None
+    other_label_only: bool = False
+
+
+def with_role(column, roles: frozenset[str] | None, n: int) -> np.ndarray:
+    """Positions of the rows with one of the roles."""
+    if roles is None:
+        return np.arange(n)
+    return np.flatnonzero(pc.is_in(column, pa.array(sorted(roles))).to_numpy(zero_copy_only=False))
+
+
+def nearest_lists(q: pa.Table, g: pa.Table, k: int, wanted, key: str, vector: str, label: str):
+    """Per wanted list: query positions, gallery positions, ranks and squared distances of one tile.
+
+    Gallery positions are those in ``g``; ties go to the smaller key.
+    """
+    nothing = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    if not q.num_rows or not g.num_rows:
+        return [nothing for _ in wanted]
+    order = pc.sort_indices(g[key]).to_numpy(zero_copy_only=False)
+    asked, answers = matrix(q[vector]), matrix(g[vector])
+    out = []
+    for one in wanted:
+        rows = with_role(q["_role"] if one.queries else None, one.queries, q.num_rows)
+        pool = with_role(g["_role"] if one.gallery else None, one.gallery, g.num_rows)
+        pool = order[np.isin(order, pool)] if one.gallery else order
+        if not len(rows) or not len(pool):
+            out.append(nothing)
+            continue
+        codes = (None, None)
+        if one.other_label_only:
+            codes = same_code(q[label].take(pa.array(rows)), g[label].take(pa.array(pool)))
+        row, place, rank, distance = nearest_in_tile(asked[rows], answers[pool], k, *codes)
+        out.append((rows[row], pool[place], rank, distance))
+    return out
+
+
+def reaches(q: pa.Table, found, pivots: Pivots, k: int, wanted, vector: str, label: str) -> np.ndarray:
+    """Per query row a plain distance within which its ``k`` neighbours of every list lie.
+
+    Lists of ``k`` rows are found already; for others the pivots, gallery rows too, give a bound.
+    """
+    out = np.zeros(q.num_rows)
+    asked = matrix(q[vector])
+    for one, (row, _, rank, distance) in zip(wanted, found, strict=True):
+        rows = with_role(q["_role"] if one.queries else None, one.queries, q.num_rows)
+        bound = np.full(q.num_rows, np.inf)
+        full = rank == k
+        bound[row[full]] = np.sqrt(distance[full])
+        pool = with_role(pivots.roles, one.gallery, len(pivots.vectors))
+        if len(pool) >= k:
+            step = max(1, CELLS // len(pool))
+            for s in range(0, len(rows), step):
+                some = rows[s : s + step]
+                to, off = pivots.distances(asked[some])
+                to = to[:, pool] + off[:, None]
+                if one.other_label_only:
+                    mine, theirs = same_code(q[label].take(pa.array(some)), pa.chunked_array([pivots.labels.take(pa.array(pool))]))
+                    to[mine[:, None] == theirs] = np.inf
+                bound[some] = np.minimum(bound[some], np.partition(to, k - 1, axis=1)[:, k - 1])
+        out[rows] = np.maximum(out[rows], bound[rows])
+    return out
+
+
 def distances_to_labels(rows: np.ndarray, block: np.ndarray, codes: np.ndarray):
     """Sum of plain distances from every row to the block rows of each code.
 

@@ -2,9 +2,10 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fieldmark.operators import grid, kernels
-from fieldmark.operators.neighbors import nearest, row_medians
+from fieldmark.operators import cells, grid, kernels
+from fieldmark.operators.neighbors import Wanted, nearest, nearest_lists, row_medians
 from fieldmark.operators.stats import distance_summary, median_and_mad, null_distances
 
 
@@ -32,18 +33,18 @@ def same(a, b):
     np.testing.assert_allclose([x[2] for x in a], [x[2] for x in b], rtol=1e-12, atol=1e-12)
 
 
-@pytest.mark.parametrize("block_rows, partitions", [(65_536, 1000), (37, 1000), (37, 10)])
+@pytest.mark.parametrize("block_rows, partitions", [(65_536, 1000), (37, 1000), (37, 5)])
 @pytest.mark.parametrize("other", [False, True])
 def test_nearest_matches_brute_force(rows, monkeypatch, block_rows, partitions, other):
-    """One tile; one tile per partition; several tiles of a left block per partition."""
+    """One cell; many cells, a tile per partition; several tiles per partition."""
     monkeypatch.setattr(grid, "MAX_BLOCK_ROWS", block_rows)
-    monkeypatch.setattr(grid, "MAX_PARTITIONS", partitions)
+    monkeypatch.setattr(cells, "MAX_PARTITIONS", partitions)
     known = rows.where("identity is not null")
     queries = known if other else rows.where("identity is null")
     found = nearest(queries, known, 4, other_label_only=other)
     same(as_list(found), brute(queries.toPandas(), known.toPandas(), 4, other))
     if other:
-        # The same rows as two tables take the full grid instead of the triangle.
+        # The same rows as two tables.
         apart = nearest(known.select("*"), known, 4, other_label_only=True, query_columns=["dataset"])
         assert sorted(as_list(apart)) == sorted(as_list(found))
         carried = nearest(known, known, 4, other_label_only=True, query_columns=["dataset", "identity"])
@@ -67,6 +68,72 @@ def test_copies_and_ties_go_to_the_smaller_id(spark, monkeypatch):
         same(as_list(found), brute(queries.toPandas(), gallery.toPandas(), 5, other))
 
 
+@pytest.fixture(scope="module")
+def clusters(spark):
+    """Twenty groups far apart, each of one identity; the first has a third of all rows and many copies."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 8)) * 10
+    data = []
+    for i in range(900):
+        group = 0 if i % 3 == 0 else 1 + i % 19
+        vector = centres[group] + rng.normal(size=8) * (0.0 if i % 6 == 0 else 0.1)
+        role = ["a", "b", "c"][i % 5 % 3]
+        data.append((i, None if i % 11 == 0 else f"id{group}", role, [float(x) for x in vector]))
+    return spark.createDataFrame(data, "image_id long, identity string, role string, embeddings array<double>")
+
+
+@pytest.mark.parametrize("other", [False, True])
+def test_clusters_leave_most_pairs_out(spark, clusters, monkeypatch, other):
+    monkeypatch.setattr(grid, "MAX_BLOCK_ROWS", 40)
+    pairs = spark.sparkContext.accumulator(0)
+    found = nearest_lists(clusters, clusters, 3, [Wanted("all", other_label_only=other)], pairs=pairs)
+    same(as_list(found), brute(clusters.toPandas(), clusters.toPandas(), 3, other))
+    # Copies of the hot group are pairs of their own, so they are not counted as saved.
+    assert 0 < pairs.value < 0.5 * 900 * 900
+
+
+def test_lists_by_role(clusters, monkeypatch):
+    wanted = [
+        Wanted("plain", frozenset("a"), frozenset("b")), Wanted("other", frozenset("ab"), frozenset("ab"), True),
+        Wanted("none", frozenset("c"), frozenset("x")), Wanted("all", None, frozenset("c")),
+    ]
+    pdf = clusters.toPandas()
+    for rows in (65_536, 40):
+        monkeypatch.setattr(grid, "MAX_BLOCK_ROWS", rows)
+        got = nearest_lists(clusters, clusters, 2, wanted, role="role", query_columns=["role"])
+        got = got.cache()
+        for one in wanted:
+            asked = pdf[pdf.role.isin(one.queries or set("abc"))]
+            answers = pdf[pdf.role.isin(one.gallery or set("abc"))]
+            same(as_list(got.where(F.col("list") == one.name)), brute(asked, answers, 2, one.other_label_only))
+        got.unpersist()
+
+
+def test_queries_far_from_every_cell(spark, clusters, monkeypatch):
+    monkeypatch.setattr(grid, "MAX_BLOCK_ROWS", 50)
+    far = [(10_000 + i, "id1", [float(100 * i)] * 8) for i in range(-3, 4)] + [(99, None, None)]
+    queries = spark.createDataFrame(far, "image_id long, identity string, embeddings array<double>")
+    gallery = clusters.where("role <> 'b'")
+    for other in (False, True):
+        found = nearest(queries, gallery, 4, other_label_only=other)
+        same(as_list(found), brute(queries.where("embeddings is not null").toPandas(), gallery.toPandas(), 4, other))
+
+
+def test_tiles_fill_their_partitions(spark):
+    left = spark.range(400).selectExpr("id as k", "id % 23 as _tile")
+    right = spark.range(230).selectExpr("id as k", "id % 23 as _tile")
+    schema = "l long, r long, tile_rows long"
+
+    def tile(q, g):
+        import pyarrow as pa
+
+        return pa.table({"l": [q.num_rows], "r": [g.num_rows], "tile_rows": [q.num_rows * g.num_rows]})
+
+    done = cells.on_tiles(left, right, 23, tile, T._parse_datatype_string(schema))
+    held = done.groupBy(F.spark_partition_id()).count().collect()
+    assert sorted(row["count"] for row in held) == [1] * 23
+
+
 def test_fewer_than_k(spark):
     gallery = spark.createDataFrame(
         [(1, "a", [0.0]), (2, "b", [1.0])], "image_id long, identity string, embeddings array<float>"
