@@ -340,6 +340,18 @@ def distances_to_labels(rows: np.ndarray, block: np.ndarray, codes: np.ndarray):
     return out
 
 
+def ordered_bits(values: np.ndarray) -> np.ndarray:
+    """Doubles as whole numbers in the same order: equal values are equal, NaN is the largest."""
+    bits = (values.astype(np.float64) + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
+
+
+def from_ordered_bits(bits: int) -> float:
+    """The double that ``ordered_bits`` made into ``bits``."""
+    plain = np.array([bits], dtype=np.int64)
+    return float(np.where(plain < 0, plain ^ np.int64(0x7FFFFFFFFFFFFFFF), plain).view(np.float64)[0])
+
+
 def erf(x: np.ndarray) -> np.ndarray:
     """Error function by its series of positive terms; beyond 6 it is 1 in double precision."""
     inside = np.clip(x, -6.0, 6.0)

@@ -131,7 +131,7 @@ def nearest_lists(
     gallery_rows = gallery.count() if gallery_rows is None else gallery_rows
     query_rows = gallery_rows if itself else queries.count() if query_rows is None else query_rows
     block_rows = block_rows_of(width, block_bytes)
-    slots = 2 * gallery.sparkSession.sparkContext.defaultParallelism
+    slots = gallery.sparkSession.sparkContext.defaultParallelism
     asked, answers = asking(queries), answering(gallery)
     wide = min(cells.MAX_CELLS, -(-gallery_rows // block_rows))
     pivots = cells.one_cell(width)
@@ -238,13 +238,27 @@ def _named(found: DataFrame, wanted: Sequence[Wanted], out_columns: list[str], b
     return found.select(*out_columns, name, *[c for c in best_names if c != "list"])
 
 
-def row_medians(neighbors: DataFrame, ks: Sequence[int], key: str = "image_id") -> DataFrame:
+def row_medians(
+    neighbors: DataFrame, ks: Sequence[int], key: str = "image_id", by: Sequence[str] = ()
+) -> DataFrame:
     """Median distance over the first k neighbours of each row, per k in ``ks``.
 
-    One neighbour join with the largest k serves every smaller one.
+    One neighbour join with the largest k serves every smaller one; the distances of a row, at most that many,
+    are one array. ``by`` names further columns that tell lists of one row apart.
     """
-    per_k = neighbors.select(
-        key, "rank", "distance", F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("num_neighbors")
-    ).where(F.col("rank") <= F.col("num_neighbors"))
-    # At most max(ks) rows per group.
-    return per_k.groupBy(key, "num_neighbors").agg(F.median("distance").alias("distance"))
+    who = [*by, key]
+    rows = neighbors.where(F.col("rank") <= max(ks)).groupBy(*who).agg(
+        F.sort_array(F.collect_list("distance")).alias("_sorted")
+    )
+
+    def median(k: int):
+        n = F.least(F.size("_sorted"), F.lit(int(k)))
+        middle = (n / 2).cast("int")
+        upper = F.get("_sorted", middle)
+        lower = F.get("_sorted", middle - 1)
+        # The mean of the two middle ones as their linear interpolation.
+        value = F.when(n % 2 == 1, upper).otherwise(lower * F.lit(0.5) + upper * F.lit(0.5))
+        return F.struct(F.lit(int(k)).alias("num_neighbors"), value.alias("distance"))
+
+    medians = F.explode(F.array(*[median(k) for k in ks])).alias("_m")
+    return rows.select(*who, medians).select(*who, "_m.num_neighbors", "_m.distance")

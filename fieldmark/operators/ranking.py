@@ -2,16 +2,20 @@
 
 Two orders are needed. A *hash order* stands in for a seeded shuffle; because
 hashes are evenly spread, a prefix of the hash cuts any group, however large,
-into even slices. A *value order* has no such property and is sorted by range.
+into even slices. A *value order* has no such property and is sorted by range; single
+order statistics are selected by histograms, without a sort.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fieldmark.operators import kernels
 from fieldmark.sources.staging import stage
 
 # Four hex digits of the hash: at most 65,536 slices per group.
@@ -122,49 +126,94 @@ def encode_labels(df: DataFrame, label: str, out: str = "label_id") -> DataFrame
     return ranked.withColumn(out, F.col(out) - 1)
 
 
-def group_sizes(df: DataFrame, value: str, by: str | None = None) -> dict:
-    """Non-NULL values per group of ``by``; one entry under None without it."""
-    counts = df.groupBy(*([by] if by else [])).agg(F.count(value).alias("n"))
-    return {(r[by] if by else None): r["n"] for r in counts.collect()}
+#: Bits of a value that one histogram tells apart.
+DIGIT_BITS = 16
+
+
+def as_ordered_bits(value: str) -> Column:
+    """Doubles as longs in the same order."""
+
+    def bits(values: pd.Series) -> pd.Series:
+        return pd.Series(kernels.ordered_bits(values.to_numpy()))
+
+    return F.pandas_udf(bits, "long")(F.col(value).cast("double"))
 
 
 def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probabilities: dict[str, float],
-    *,
-    by: str | None = None,
-    sizes: dict | None = None,
+    df: DataFrame, value: str, probabilities: dict[str, float], *, by: str | None = None
 ) -> DataFrame:
     """Linearly interpolated quantiles, one column per name.
 
     ``by`` (few distinct values, such as neighbour counts) gives one row per
-    value. ``df`` is counted first, unless ``sizes`` says what ``group_sizes``
-    would. One range sort of the distinct values serves all groups, and the order
-    statistics are read off at their exact positions.
+    value. Order statistics are found digit by digit: a histogram of the
+    leading 16 bits says which bin each of them is in, and the next pass
+    counts only inside these bins. A bin of equal values needs no further pass, and
+    after four passes every bin is one. Each pass is one aggregate for all groups and
+    quantiles, combined before its shuffle; it returns at most 2**16 bins for each bin
+    that was open. Nothing is sorted and nothing written. ``df`` is read once
+    a pass: stage it if it is costly.
     """
-    df = df.where(F.col(value).isNotNull())
     groups = [by] if by else []
-    sizes = group_sizes(df, value, by) if sizes is None else sizes
-    counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_total(counts, [*groups, value], "_n", "_upto")
-    start, picks = 0, {name: [] for name in probabilities}
-    for group in sorted(sizes, key=lambda g: (g is not None, g)):
-        mine = F.col(by) == F.lit(group) if by else F.lit(True)
-        for name, p in probabilities.items():
-            place = p * (sizes[group] - 1)
-            low = int(place)
-            high = min(low + 1, sizes[group] - 1)
-            picks[name].append((mine, start + low, start + high, place - low))
-        start += sizes[group]
-
-    def pick(name: str) -> Column:
-        expr = None
-        for mine, low, high, share in picks[name]:
-            at_low = F.min(F.when(mine & (F.col("_upto") > low), F.col(value)))
-            at_high = F.min(F.when(mine & (F.col("_upto") > high), F.col(value)))
-            here = at_low + (at_high - at_low) * F.lit(share)
-            expr = here if expr is None else F.coalesce(expr, here)
-        return expr.alias(name)
-
-    return ranked.groupBy(*groups).agg(*[pick(name) for name in probabilities])
+    bits = df.where(F.col(value).isNotNull()).select(*groups, as_ordered_bits(value).alias("_bits"))
+    found: dict = {}
+    shares: dict = {}
+    # Open bins: (group, leading bits) with the places, counted from the bin's start, that are looked for in it.
+    open_bins: dict = {}
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        digit = F.shiftright("_bits", shift).alias("_digit")
+        inside = bits
+        if shift < 64 - DIGIT_BITS:
+            if not open_bins:
+                break
+            wanted = F.lit(False)
+            for group, prefixes in _by_group(open_bins).items():
+                mine = F.col(by).eqNullSafe(F.lit(group)) if by else F.lit(True)
+                wanted = wanted | (mine & F.shiftright("_bits", shift + DIGIT_BITS).isin(prefixes))
+            inside = bits.where(wanted)
+        counted = inside.groupBy(*groups, digit).agg(
+            F.count(F.lit(1)).alias("n"), F.min("_bits").alias("low"), F.max("_bits").alias("high")
+        )
+        bins: dict = {}
+        for row in counted.collect():
+            group = row[by] if by else None
+            prefix = row["_digit"] >> DIGIT_BITS if open_bins else None
+            bins.setdefault((group, prefix), []).append((row["_digit"], row["n"], row["low"], row["high"]))
+        if not open_bins:
+            for group, _ in bins:
+                n = sum(b[1] for b in bins[group, None])
+                places = set()
+                for name, p in probabilities.items():
+                    place = p * (n - 1)
+                    low = int(place)
+                    high = min(low + 1, n - 1)
+                    shares[group, name] = (low, high, place - low)
+                    places |= {low, high}
+                open_bins[group, None] = [(place, place) for place in places]
+        still_open: dict = {}
+        for at, places in open_bins.items():
+            group, before = at[0], 0
+            places = sorted(places)
+            for digit_value, n, low, high in sorted(bins[at]):
+                here = [(place - before, name) for place, name in places if before <= place < before + n]
+                if low == high:
+                    found.update({(group, name): kernels.from_ordered_bits(low) for _, name in here})
+                elif here:
+                    still_open[group, digit_value] = here
+                before += n
+        open_bins = still_open
+    rows = {}
+    for (group, name), (low, high, share) in shares.items():
+        at_low, at_high = found[group, low], found[group, high]
+        rows.setdefault(group, {})[name] = at_low + (at_high - at_low) * share
+    if not by and not rows:
+        rows[None] = dict.fromkeys(probabilities)
+    fields = [df.schema[c] for c in groups] + [T.StructField(name, T.DoubleType()) for name in probabilities]
+    table = [(*([group] if by else []), *(values[name] for name in probabilities)) for group, values in rows.items()]
+    return df.sparkSession.createDataFrame(table, T.StructType(fields))
+
+
+def _by_group(open_bins: dict) -> dict:
+    prefixes: dict = {}
+    for group, prefix in open_bins:
+        prefixes.setdefault(group, []).append(prefix)
+    return prefixes

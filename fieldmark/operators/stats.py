@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmark.operators.neighbors import nearest, row_medians
-from fieldmark.operators.ranking import exact_quantiles, group_sizes
+from fieldmark.operators.ranking import exact_quantiles
 from fieldmark.sources.staging import stage
 
 
@@ -44,51 +44,43 @@ def distance_summaries(
     """min, max, mean, population deviation, quartiles, IQR and MAD.
 
     One row, or one per value of ``by`` (few values, such as neighbour counts).
-    Two passes over the values, because the MAD needs the median first; a row
-    of statistics per group is all that passes through the driver.
+    The MAD needs the median first. A row of statistics per group is all that
+    is computed on the driver.
     """
     groups = [by] if by else []
-    sizes = group_sizes(distances, value, by)
-    quartiles = exact_quantiles(
-        distances, value, {"q1": 0.25, "median": 0.5, "q3": 0.75},
-        by=by, sizes=sizes,
-    )
     moments = distances.groupBy(*groups).agg(
         F.min(value).alias("min_distance"),
         F.max(value).alias("max_distance"),
         F.avg(value).alias("mean_distance"),
         F.stddev_pop(value).alias("std_distance"),
     )
-    if by:
-        first = moments.join(F.broadcast(quartiles), by)
-    else:
-        first = moments.select(
-            "*", quartiles.select(F.struct(*quartiles.columns)).scalar().alias("_q")
-        ).select(*moments.columns, "_q.*")
-    spark = distances.sparkSession
-    first = spark.createDataFrame(first.collect(), first.schema)
-
-    if by:
-        # One row per group.
-        centred = distances.join(F.broadcast(first.select(by, "median")), by)
-    else:
-        centred = distances.withColumn("median", F.lit(first.first()["median"]))
-    gaps = centred.select(*groups, F.abs(F.col(value) - F.col("median")).alias("_gap"))
-    mad = exact_quantiles(gaps, "_gap", {"mad": 0.5}, by=by, sizes=sizes).collect()
-    mads = {(r[by] if by else None): r["mad"] for r in mad}
+
+    def rows(df: DataFrame) -> dict:
+        return {(r[by] if by else None): r.asDict() for r in df.collect()}
+
+    statistics = rows(moments)
+    quartiles = rows(exact_quantiles(distances, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=by))
+    nothing = {"q1": None, "median": None, "q3": None}
+    medians = {group: quartiles.get(group, nothing)["median"] for group in statistics}
+    # One branch per group.
+    median = F.lit(None).cast("double")
+    for group, centre in medians.items():
+        mine = F.col(by).eqNullSafe(F.lit(group)) if by else F.lit(True)
+        median = F.when(mine, F.lit(centre)).otherwise(median)
+    gaps = distances.select(*groups, F.abs(F.col(value) - median).alias("_gap"))
+    mads = rows(exact_quantiles(gaps, "_gap", {"mad": 0.5}, by=by))
     columns = [
         *groups, "min_distance", "max_distance", "mean_distance", "std_distance",
         "iqr", "q1", "q3", "median", "mad",
     ]
-    rows = []
-    for r in first.collect():
-        row = r.asDict()
-        spread = None if row["median"] is None else row["q3"] - row["q1"]
-        row |= {"iqr": spread, "mad": mads[row[by] if by else None]}
-        rows.append(tuple(row[c] for c in columns))
+    table = []
+    for group, row in statistics.items():
+        row = row | quartiles.get(group, nothing) | {"mad": mads.get(group, {"mad": None})["mad"]}
+        row["iqr"] = None if row["median"] is None else row["q3"] - row["q1"]
+        table.append(tuple(row[c] for c in columns))
     kinds = [T.StructField(c, distances.schema[c].dataType) for c in groups]
     kinds += [T.StructField(c, T.DoubleType()) for c in columns[len(groups) :]]
-    return spark.createDataFrame(rows, T.StructType(kinds))
+    return distances.sparkSession.createDataFrame(table, T.StructType(kinds))
 
 
 def distance_summary(distances: DataFrame, value: str = "distance") -> DataFrame:

@@ -10,17 +10,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.functions.columns import crossover, geometric_mean, linspace, within_gate
-from fieldmark.operators.neighbors import nearest
-from fieldmark.operators.stats import distance_summaries, null_distances
+from fieldmark.operators.kernels import Wanted
+from fieldmark.operators.neighbors import nearest_lists, row_medians
+from fieldmark.operators.stats import distance_summaries
+from fieldmark.sources.staging import stage
 
 # The default threshold grid and neighbour counts.
 DEFAULT_GRID = (-8.0, 8.0, 100)
 DEFAULT_KS = (1, 3, 5, 10, 20)
 
+# Parts of an experiment and its neighbour lists.
+GALLERY, ASKING = "gallery", "asking"
+CALIBRATE, APPLY = "calibrate", "apply"
+
 
 def _doubles(values: Sequence[float]) -> Column:
     """Array literal; one parsed expression is cheaper than a call per element."""
@@ -28,60 +34,86 @@ def _doubles(values: Sequence[float]) -> Column:
 
 
 def _first_accepting(grid: Sequence[float], accepts: Callable[[Column], Column]) -> Column:
-    """Position of the first threshold of ``grid`` that accepts the row."""
-    return F.size(F.filter(_doubles(grid), lambda t: ~accepts(t)))
+    """Position of the first threshold of the sorted ``grid`` that accepts, found by halving.
 
+    What a threshold accepts, every larger one accepts too.
+    """
+    values = _doubles(grid)
+    steps = [1 << b for b in reversed(range(len(grid).bit_length()))]
+
+    def step(place: Column, by: Column) -> Column:
+        ahead = place + by
+        rejected = ~accepts(F.get(values, F.least(ahead, F.lit(len(grid))) - 1))
+        return F.when((ahead <= len(grid)) & rejected, ahead).otherwise(place)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
 
-def _correct_intervals(neighbors: DataFrame, n: int, key: str, label: str) -> DataFrame:
-    """(num_neighbors, label, side, start, stop): threshold positions where a row is right.
 
-    The winner of a prefix is the running maximum of (votes so far of the
-    label, its first place, the label), for ties the label met first. All
-    windows share one partitioning by row, which the join already has when it
-    merged several blocks.
+def running_winners(labels: Column) -> Column:
+    """The winner of the vote among the first 1, 2, ... of an array of labels; ties go to the label met first.
+
+    One fold: only the votes of the label just met change, so it is compared with the winner so far.
     """
-    who = ["num_neighbors", key]
-    in_order = Window.partitionBy(*who).orderBy("rank")
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mine = F.col("neighbor_identity")
-    step = neighbors.select(
-        *who, label, "rank", "start", "neighbor_identity",
-        F.collect_list("neighbor_identity").over(so_far).alias("_seen"),
-        F.lead("start", 1, n).over(in_order).alias("_next"),
-    ).withColumn(
-        "_standing",
-        F.struct(
-            F.size(F.filter("_seen", lambda x: x == mine)).alias("votes"),
-            (-F.array_position("_seen", mine)).alias("first"),
-            mine.alias("label"),
-        ),
-    )
-    step = step.select(
-        *who, label, "rank", "start", "_next",
-        F.max("_standing").over(so_far).getField("label").alias("_winner"),
-    )
-    as_known = F.when(
-        F.col("_winner") == F.col(label),
-        F.struct(F.lit("known").alias("side"), "start", F.col("_next").alias("stop")),
-    )
-    as_new = F.when(
-        F.col("rank") == 1,
-        F.struct(F.lit("unknown").alias("side"), F.lit(0).alias("start"), F.col("start").alias("stop")),
-    )
-    return (
-        step.select("num_neighbors", label, F.explode(F.array_compact(F.array(as_known, as_new))).alias("_i"))
-        .select("num_neighbors", label, "_i.*")
-        .where(F.col("start") < F.col("stop"))
+    nobody = F.struct(
+        F.slice(labels, F.lit(1), F.lit(0)).alias("seen"), F.slice(labels, F.lit(1), F.lit(0)).alias("winners"),
+        F.lit(0).alias("votes"), F.lit(0).alias("first"),
     )
 
+    def meet(state: Column, label: Column) -> Column:
+        seen = F.array_append(state["seen"], label)
+        votes = F.size(F.filter(seen, lambda x: x == label))
+        first = F.array_position(seen, label).cast("int")
+        ahead = (votes > state["votes"]) | ((votes == state["votes"]) & (first < state["first"]))
+        winner = F.when(ahead, label).otherwise(F.get(state["winners"], F.size(state["winners"]) - 1))
+        return F.struct(
+            seen.alias("seen"), F.array_append(state["winners"], winner).alias("winners"),
+            F.when(ahead, votes).otherwise(state["votes"]).alias("votes"),
+            F.when(ahead, first).otherwise(state["first"]).alias("first"),
+        )
+
+    return F.aggregate(labels, nobody, meet)["winners"]
+
+
+def _correct_intervals(
+    neighbors: DataFrame, counts: Sequence[int], starts: Callable[[int, Column], Column], n: int, key: str, label: str
+) -> DataFrame:
+    """(num_neighbors, label, side, start, stop): threshold positions where a row is right.
+
+    ``starts(i, distance)`` is the first position that accepts a neighbour when ``counts[i]`` of them vote.
+    The neighbours of a row, at most the largest count, become one array in rank order. Who wins among the first
+    so many depends on no statistic, so one fold serves all counts.
+    """
+    ranked = F.sort_array(F.collect_list(F.struct("rank", "distance", "neighbor_identity")))
+    rows = neighbors.groupBy(key, label).agg(ranked.alias("_near"))
+    rows = rows.select(label, "_near", running_winners(F.col("_near.neighbor_identity")).alias("_winners"))
+    def of_count(i: int, k: int) -> list[Column]:
+        begins = F.col(f"_begins{i}")
+        kind = F.lit(k).alias("num_neighbors")
+
+        def interval(begin: Column, at: Column) -> Column:
+            right = F.get("_winners", at) == F.col(label)
+            stop = F.coalesce(F.get(begins, at + 1), F.lit(n))
+            return F.struct(kind, F.when(right, "known").alias("side"), begin.alias("start"), stop.alias("stop"))
+
+        none = F.struct(
+            kind, F.lit("unknown").alias("side"), F.lit(0).alias("start"), F.get(begins, F.lit(0)).alias("stop")
+        )
+        return [F.transform(begins, interval), F.array(none)]
+
+    def begins_of(i: int, k: int) -> Column:
+        return F.transform(F.slice("_near", 1, k), lambda x: starts(i, x["distance"]))
+
+    rows = rows.withColumns({f"_begins{i}": begins_of(i, k) for i, k in enumerate(counts)})
+    every = [column for i, k in enumerate(counts) for column in of_count(i, k)]
+    found = F.filter(F.concat(*every), lambda x: x["side"].isNotNull() & (x["start"] < x["stop"]))
+    return rows.select(label, F.explode(found).alias("_i")).select("_i.num_neighbors", label, "_i.side", "_i.start", "_i.stop")
+
 
 def _score_intervals(
-    tagged: DataFrame,
+    intervals: DataFrame,
     others: DataFrame,
     train: DataFrame,
     table: DataFrame,
-    n: int,
-    key: str,
     label: str,
 ) -> DataFrame:
     """Add baks, baus, crossover_score and score to the (num_neighbors, _t) rows of ``table``."""
@@ -92,8 +124,7 @@ def _score_intervals(
     )
     # At most n * n / 2 kinds of interval per identity, combined before the shuffle.
     kinds = (
-        _correct_intervals(tagged, n, key, label)
-        .groupBy("num_neighbors", label, "side", "start", "stop")
+        intervals.groupBy("num_neighbors", label, "side", "start", "stop")
         .agg(F.count(F.lit(1)).alias("_hits"))
         .join(totals, [label, "side"])
         .groupBy("num_neighbors", "side", "_rows", "start", "stop")
@@ -154,17 +185,16 @@ def sweep_neighbors(
         [(int(k), float(m), float(d)) for k, m, d in statistics],
         "num_neighbors int, median double, mad double",
     )
-    counts = F.array(*[F.lit(int(k)) for k, _, _ in statistics])
-    # One row of statistics per neighbour count.
-    tagged = (
-        neighbors.withColumn("num_neighbors", F.explode(F.filter(counts, lambda k: k >= F.col("rank"))))
-        .join(F.broadcast(values), "num_neighbors")
-        .withColumn(
-            "start", _first_accepting(grid, lambda t: within_gate("distance", "median", "mad", t))
-        )
-    )
+
+    def starts(i: int, distance: Column) -> Column:
+        _, median, mad = statistics[i]
+        return _first_accepting(grid, lambda t: within_gate(distance, F.lit(float(median)), F.lit(float(mad)), t))
+
+    # A row's neighbours beyond the largest count say nothing.
+    used = neighbors.where(F.col("rank") <= max(int(k) for k, _, _ in statistics))
+    intervals = _correct_intervals(used, [int(k) for k, _, _ in statistics], starts, len(grid), key, label)
     table = values.select("*", F.posexplode(_doubles(grid)).alias("_t", "threshold"))
-    return _score_intervals(tagged, others, train, table, len(grid), key, label).select(
+    return _score_intervals(intervals, others, train, table, label).select(
         "threshold", "baks", "baus", "crossover_score", "score", "num_neighbors", "median", "mad"
     )
 
@@ -183,15 +213,14 @@ def sweep_distances(
     A row takes its neighbour's label where ``distance <= threshold``.
     """
     grid = sorted(float(t) for t in grid)
-    tagged = (
-        neighbors.where(F.col("rank") == 1)
-        .withColumn("num_neighbors", F.lit(1))
-        .withColumn("start", _first_accepting(grid, lambda t: F.col("distance") <= t))
+    intervals = _correct_intervals(
+        neighbors.where(F.col("rank") == 1), [1],
+        lambda _, distance: _first_accepting(grid, lambda t: distance <= t), len(grid), key, label,
     )
     table = neighbors.sparkSession.createDataFrame(
         [(1, i, t) for i, t in enumerate(grid)], "num_neighbors int, _t int, threshold double"
     )
-    return _score_intervals(tagged, others, train, table, len(grid), key, label).select(
+    return _score_intervals(intervals, others, train, table, label).select(
         "threshold", "baks", "baus", "crossover_score", "score"
     )
 
@@ -209,19 +238,27 @@ def experiment(
     """Calibrate on ``train`` and sweep ``others``, for each k of ``ks``.
 
     Returns the sweep and, per k, the summary of the distances between
-    different identities in ``train``. One join of ``train`` with itself and
-    one with ``others`` serve every k and every threshold.
+    different identities in ``train``. One pass over pairs finds the neighbours
+    of ``train`` among other identities and those of ``others``; it serves
+    every k and every threshold.
     """
     grid = linspace(*DEFAULT_GRID) if grid is None else grid
-    train_rows = train.count()
-    names = {"key": key, "vector": vector, "label": label}
-    distances = null_distances(train, ks, row_count=train_rows, **names)
-    summary = distance_summaries(distances, by="num_neighbors")
-    statistics = [(r["num_neighbors"], r["median"], r["mad"]) for r in summary.collect()]
-    found = nearest(
-        others, train, max(ks), query_columns=[label], gallery_rows=train_rows, **names
+    columns = [key, vector, label]
+    gallery = train.select(*columns, F.lit(GALLERY).alias("_part"))
+    both = gallery.unionByName(others.select(*columns, F.lit(ASKING).alias("_part")))
+    answers = frozenset([GALLERY])
+    wanted = [Wanted(CALIBRATE, answers, answers, True), Wanted(APPLY, frozenset([ASKING]), answers)]
+    found = stage(
+        nearest_lists(
+            both, gallery, max(ks), wanted, role="_part", key=key, vector=vector, label=label, query_columns=[label]
+        ),
+        partition_by=["list"],
     )
-    swept = sweep_neighbors(found, others, train, statistics, grid, key=key, label=label)
+    summary = distance_summaries(
+        row_medians(found.where(F.col("list") == CALIBRATE), ks, key), by="num_neighbors"
+    )
+    statistics = [(r["num_neighbors"], r["median"], r["mad"]) for r in summary.collect()]
+    swept = sweep_neighbors(found.where(F.col("list") == APPLY), others, train, statistics, grid, key=key, label=label)
     return swept, summary
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.functions.columns import is_frequent, is_known, key_value_int, path_part
+from fieldmark.functions.columns import is_frequent, is_known, key_value_int, linspace, path_part
 from fieldmark.operators.joins import group_count
-from fieldmark.operators.neighbors import nearest
+from fieldmark.operators.kernels import Wanted
+from fieldmark.operators.neighbors import nearest_lists, row_medians
 from fieldmark.operators.predict import complete, predict_gated, prediction_counts
 from fieldmark.operators.split import TEST, TRAIN, VAL, openset_split, split_summary
-from fieldmark.operators.stats import median_and_mad, null_distances
-from fieldmark.operators.sweep import best_row, experiment
+from fieldmark.operators.stats import distance_summaries
+from fieldmark.operators.sweep import DEFAULT_GRID, best_row, sweep_neighbors
 from fieldmark.sources.staging import stage
 from fieldmark.sources.tables import read_records, write_csv, write_record
 
@@ -49,7 +50,10 @@ def run_prediction(
     - ``{val,test}_distance_summary.json``, ``{val,test}_best_threshold.json``
     - ``test_known_counts.json`` and ``prediction.csv``
 
-    Vectors are joined once, to rows that already know their part.
+    Vectors are joined once, to rows that already know their part, and one
+    pass over pairs of rows finds the neighbours for every step: those of
+    known rows among other identities for the calibrations, those of
+    validation and test rows for the sweeps and those of the rows to label.
     """
     if dataset is not None:
         metadata = metadata.where(F.col("dataset") == dataset)
@@ -61,31 +65,55 @@ def run_prediction(
     labelled = rows.join(parts.select("image_id", "part"), "image_id", "left").select(
         "image_id", "identity", role.alias("role")
     )
-    # One folder per role: each step below reads the vectors of its roles only.
+    # One folder per role: each step below reads the rows of its roles only.
     table = stage(
         labelled.join(embeddings.select("image_id", "embeddings"), "image_id"), partition_by=["role"]
     )
+    known = table.where(F.col("role") != QUERY)
+    queries = table.where(F.col("role") == QUERY)
+    galleries = {"val": frozenset([TRAIN]), "test": frozenset([TRAIN, VAL])}
+    asking = {"val": VAL, "test": TEST}
+    every = frozenset([TRAIN, VAL, TEST, RARE])
+    wanted = [Wanted("final", frozenset([QUERY]), every)]
+    for name, gallery in galleries.items():
+        wanted += [
+            Wanted(f"{name}_null", gallery, gallery, True), Wanted(name, frozenset([asking[name]]), gallery)
+        ]
+    if recalibrate:
+        wanted.append(Wanted("known_null", every, every, True))
+    found = stage(
+        nearest_lists(table, known, num_neighbors, wanted, role="role", query_columns=["identity"]),
+        partition_by=["list"],
+    )
+    nulls = found.where(F.col("list").endswith("_null"))
+    distances = row_medians(nulls, [num_neighbors], by=["list"])
+    summaries = {r["list"]: r for r in distance_summaries(stage(distances), by="list").collect()}
+
     chosen = None
-    for name, gallery, queries in (("val", [TRAIN], VAL), ("test", [TRAIN, VAL], TEST)):
-        swept, summary = experiment(
-            table.where(F.col("role").isin(gallery)), table.where(F.col("role") == queries), [num_neighbors]
+    for name, gallery in galleries.items():
+        summary = summaries.get(f"{name}_null")
+        if summary is None:
+            raise ValueError(f"no two identities to compare in the gallery of {name}")
+        swept = stage(
+            sweep_neighbors(
+                found.where(F.col("list") == name), table.where(F.col("role") == asking[name]),
+                table.where(F.col("role").isin(*gallery)), [(num_neighbors, summary["median"], summary["mad"])],
+                linspace(*DEFAULT_GRID),
+            )
         )
-        swept = stage(swept)
         write_csv(swept.orderBy("threshold"), f"{output_path}/{name}_thresholds.csv", single_file=True)
-        write_record(summary.drop("num_neighbors"), f"{output_path}/{name}_distance_summary.json")
+        record = metadata.sparkSession.createDataFrame([summary]).drop("list")
+        write_record(record, f"{output_path}/{name}_distance_summary.json")
         chosen = best_row(swept)
         write_record(chosen, f"{output_path}/{name}_best_threshold.json")
     best = chosen.first()
     if best["score"] is None:
         raise ValueError("no threshold has a score: known and unknown test rows are both needed")
 
-    known = table.where(F.col("role") != QUERY)
     median, mad = best["median"], best["mad"]
     if recalibrate:
-        again = median_and_mad(null_distances(known, [num_neighbors])).first()
-        median, mad = again["median"], again["mad"]
-    queries = table.where(F.col("role") == QUERY)
-    gated = predict_gated(nearest(queries, known, num_neighbors), median, mad, best["threshold"])
+        median, mad = summaries["known_null"]["median"], summaries["known_null"]["mad"]
+    gated = predict_gated(found.where(F.col("list") == "final"), median, mad, best["threshold"])
     predictions = stage(complete(gated, queries).withColumnRenamed("prediction", "identity"))
     write_record(prediction_counts(predictions, "identity"), f"{output_path}/test_known_counts.json")
     write_csv(predictions, f"{output_path}/prediction.csv")

@@ -113,6 +113,25 @@ def test_sweep_matches_repeated_prediction(spark, names, mad):
         check_sweep(got[i * 33 : i * 33 + 33], lists, labels, {"a", "b", "c"}, k, median, mad, thresholds)
 
 
+def test_sweep_plan_has_no_window_and_no_copies_by_count(spark):
+    found = neighbors_frame(spark, LISTS).withColumn("identity", F.lit("a"))
+    others = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a")], "image_id long, identity string")
+    swept = sweep.sweep_neighbors(found, others, others, [(1, 1.0, 1.0), (5, 1.0, 1.0)], [0.0, 1.0])
+    plan = swept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    # Intervals, their positions and the threshold grid; never the neighbours.
+    assert plan.count("Generate ") == 3
+
+
+def test_running_winners(spark):
+    rng = np.random.default_rng(5)
+    lists = [[str(x) for x in rng.choice(list("abcd"), rng.integers(1, 12))] for _ in range(80)]
+    df = spark.createDataFrame([(x,) for x in lists], "labels array<string>")
+    for row in df.select("labels", sweep.running_winners(F.col("labels")).alias("w")).collect():
+        # Of equal counts the first that was counted stays in front.
+        assert row["w"] == [Counter(row["labels"][: i + 1]).most_common(1)[0][0] for i in range(len(row["labels"]))]
+
+
 def test_distance_sweep(spark):
     found = neighbors_frame(spark, LISTS)
     others = spark.createDataFrame([(1, "a"), (2, "x"), (3, "b")], "image_id long, identity string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions import columns as C
 from fieldmark.operators import joins, profile
+from fieldmark.operators import ranking
 from fieldmark.operators.ranking import encode_labels, exact_quantiles, rank_by_hash, running_total
 
 
@@ -66,6 +67,28 @@ def test_exact_quantiles_by_group(spark):
             assert got[g][name] == pytest.approx(np.quantile(values, p))
 
 
+def test_exact_quantiles_of_any_doubles_write_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    wide = np.concatenate([
+        rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500), np.full(400, 2.5), [-0.0, 0.0, 5e-324, -5e-324],
+        1.0 + rng.integers(0, 9, 300) * 2.0**-52,
+    ])
+    data = [(None if i % 3 == 0 else "a", float(v)) for i, v in enumerate(wide)] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    monkeypatch.setattr(ranking, "stage", None)
+    probs = {"least": 0.0, "low": 0.013, "q1": 0.25, "mid": 0.5, "q3": 0.75, "most": 1.0}
+    got = {r["g"]: r for r in exact_quantiles(df, "v", probs, by="g").collect()}
+    assert set(got) == {None, "a"}
+    got["all"] = exact_quantiles(df, "v", probs).first()
+    for g in got:
+        values = [v for h, v in data if v is not None and g in ("all", h)]
+        for name, p in probs.items():
+            assert got[g][name] == pytest.approx(np.quantile(values, p), rel=1e-12)
+    nothing = df.where("v is null")
+    assert exact_quantiles(nothing, "v", {"mid": 0.5}).collect() == [(None,)]
+    assert exact_quantiles(nothing, "v", {"mid": 0.5}, by="g").count() == 0
+
+
 def test_group_count_counts_null_keys_as_one_group(rows):
     got = joins.group_count(rows, "identity", "image_id").select("identity", "identity_count").distinct().collect()
     want = rows.groupBy("identity").count().collect()
