@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from fieldmark.operators import cells, kernels
 from fieldmark.operators.grid import block_rows_of, vector_width
 from fieldmark.operators.kernels import Wanted
-from fieldmark.sources.staging import stage
+from fieldmark.sources.staging import Owner, stage
 
 
 def nearest(
@@ -233,6 +233,13 @@ def nearest_lists(
     return _named(result, wanted, out_columns, best_names)
 
 
+def write_lists(queries: DataFrame, gallery: DataFrame, k: int, wanted: Sequence[Wanted], **options) -> DataFrame:
+    """``nearest_lists``, written with a folder per list; nothing else that it staged is left."""
+    with Owner() as mine:
+        found = nearest_lists(queries, gallery, k, wanted, **options)
+        return mine.hand_over(stage(found, partition_by=["list"]))
+
+
 def _named(found: DataFrame, wanted: Sequence[Wanted], out_columns: list[str], best_names: list[str]) -> DataFrame:
     name = F.get(F.array(*[F.lit(one.name) for one in wanted]), F.col("list")).alias("list")
     return found.select(*out_columns, name, *[c for c in best_names if c != "list"])

@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.columns import crossover, geometric_mean, linspace, within_gate
 from fieldmark.operators.kernels import Wanted
-from fieldmark.operators.neighbors import nearest_lists, row_medians
+from fieldmark.operators.neighbors import row_medians, write_lists
 from fieldmark.operators.stats import distance_summaries
-from fieldmark.sources.staging import stage
 
 # The default threshold grid and neighbour counts.
 DEFAULT_GRID = (-8.0, 8.0, 100)
@@ -248,11 +247,8 @@ def experiment(
     both = gallery.unionByName(others.select(*columns, F.lit(ASKING).alias("_part")))
     answers = frozenset([GALLERY])
     wanted = [Wanted(CALIBRATE, answers, answers, True), Wanted(APPLY, frozenset([ASKING]), answers)]
-    found = stage(
-        nearest_lists(
-            both, gallery, max(ks), wanted, role="_part", key=key, vector=vector, label=label, query_columns=[label]
-        ),
-        partition_by=["list"],
+    found = write_lists(
+        both, gallery, max(ks), wanted, role="_part", key=key, vector=vector, label=label, query_columns=[label]
     )
     summary = distance_summaries(
         row_medians(found.where(F.col("list") == CALIBRATE), ks, key), by="num_neighbors"

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from fieldmark.functions.columns import is_frequent, is_known, key_value_int, linspace, path_part
 from fieldmark.operators.joins import group_count
 from fieldmark.operators.kernels import Wanted
-from fieldmark.operators.neighbors import nearest_lists, row_medians
+from fieldmark.operators.neighbors import row_medians, write_lists
 from fieldmark.operators.predict import complete, predict_gated, prediction_counts
 from fieldmark.operators.split import TEST, TRAIN, VAL, openset_split, split_summary
 from fieldmark.operators.stats import distance_summaries
 from fieldmark.operators.sweep import DEFAULT_GRID, best_row, sweep_neighbors
-from fieldmark.sources.staging import stage
+from fieldmark.sources.staging import Owner, stage
 from fieldmark.sources.tables import read_records, write_csv, write_record
 
 # Roles beside the three parts: rows to label, and known rows too rare to split.
@@ -54,7 +54,17 @@ def run_prediction(
     pass over pairs of rows finds the neighbours for every step: those of
     known rows among other identities for the calibrations, those of
     validation and test rows for the sweeps and those of the rows to label.
+    Of what is staged only the result is left.
     """
+    with Owner() as mine:
+        predictions = _predict(metadata, embeddings, output_path, num_neighbors, dataset, recalibrate)
+        return mine.hand_over(predictions)
+
+
+def _predict(
+    metadata: DataFrame, embeddings: DataFrame, output_path: str, num_neighbors: int, dataset: str | None, recalibrate: bool
+) -> DataFrame:
+    """``run_prediction``, whose result is a staged table."""
     if dataset is not None:
         metadata = metadata.where(F.col("dataset") == dataset)
     rows = stage(analysis_rows(metadata, embeddings))
@@ -81,10 +91,7 @@ def run_prediction(
         ]
     if recalibrate:
         wanted.append(Wanted("known_null", every, every, True))
-    found = stage(
-        nearest_lists(table, known, num_neighbors, wanted, role="role", query_columns=["identity"]),
-        partition_by=["list"],
-    )
+    found = write_lists(table, known, num_neighbors, wanted, role="role", query_columns=["identity"])
     nulls = found.where(F.col("list").endswith("_null"))
     distances = row_medians(nulls, [num_neighbors], by=["list"])
     summaries = {r["list"]: r for r in distance_summaries(stage(distances), by="list").collect()}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldmark.operators import embedding
 from fieldmark.operators.neighbors import nearest
 from fieldmark.operators.split import openset_split
+from fieldmark.sources.staging import FOLDER, staging_root
 from fieldmark.plans.prediction import leaderboard, run_prediction, score_by_epoch, top_runs
 from fieldmark.plans.preparation import embed_images, prepare_images, project_embeddings
 from fieldmark.sources.tables import METADATA_COLUMNS
@@ -147,7 +148,11 @@ def test_run_prediction(rows, spark, tmp_path, recalibrate):
     center = F.when(F.col("identity").isNotNull(), F.pmod(F.xxhash64("identity"), F.lit(50))).otherwise(F.col("image_id") % 50)
     near = rows.withColumn("embeddings", F.transform("embeddings", lambda x: x * 0.05 + center.cast("double")))
     embeddings = near.select("image_id", "embeddings")
+    staged = os.path.join(staging_root(spark), FOLDER)
+    before = set(os.listdir(staged)) if os.path.isdir(staged) else set()
     predictions = run_prediction(rows.drop("embeddings"), embeddings, out, 1, recalibrate=recalibrate)
+    # Only the result is left.
+    assert len(set(os.listdir(staged)) - before) == 1
     queries = rows.where("identity is null").count()
     assert predictions.count() == queries
     assert {"prediction.csv", "reid_split_summary.csv", "val_thresholds.csv", "test_thresholds.csv"} <= set(os.listdir(out))

@@ -1,4 +1,5 @@
 import os
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -161,3 +162,42 @@ def test_staging_uses_the_session_folder(spark):
     staged = staging.stage(spark.range(3).where("id > 5"))
     assert staged.columns == ["id"] and staged.count() == 0
     assert root in staged.inputFiles()[0] if staged.inputFiles() else True
+
+
+def folders(spark):
+    root = os.path.join(staging.staging_root(spark), staging.FOLDER)
+    return set(os.listdir(root)) if os.path.isdir(root) else set()
+
+
+def test_an_owner_leaves_no_folder(spark):
+    before = folders(spark)
+    with staging.Owner() as outer:
+        kept = staging.stage(spark.range(5))
+        with staging.Owner() as inner:
+            first = staging.stage(spark.range(7))
+            second = staging.stage(first.join(kept, "id"), readers=2)
+            assert len(folders(spark) - before) == 3
+            inner.done(first)
+            inner.done(second)
+            assert len(folders(spark) - before) == 2 and second.count() == 5
+            result = inner.hand_over(staging.stage(second.where("id > 1")))
+        # What was handed over belongs to the owner outside now.
+        assert len(folders(spark) - before) == 2 and result.count() == 3
+        with pytest.raises(ValueError):
+            with staging.Owner():
+                staging.stage(spark.range(2))
+                raise ValueError
+        assert len(folders(spark) - before) == 2
+        outer.done(kept)
+        assert len(folders(spark) - before) == 1
+    assert folders(spark) == before
+
+
+def test_sessions_without_the_setting():
+    def session(master):
+        conf = {"spark.sql.warehouse.dir": "file:/w/"}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, *d: conf.get(name, *d)), sparkContext=SimpleNamespace(master=master))
+
+    assert staging.staging_root(session("local[4]")) == "file:/w"
+    with pytest.raises(ValueError, match="every executor"):
+        staging.staging_root(session("spark://host:7077"))
