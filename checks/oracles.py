@@ -580,9 +580,10 @@ FROM val v LEFT JOIN won w ON w.image_id = v.image_id AND place = 1""",
     "predict_all_rows": f"""WITH {IMAGES} SELECT image_id, 'new_individual' AS prediction FROM unknown""",
     "closed_set_1nn": f"""{VAL_NN1},
 p AS (
-  SELECT identity, identity IN (SELECT identity FROM train) AS is_known,
-         avg((neighbor_identity = identity)::INT) AS hit,
-         avg((neighbor_identity = 'unknown')::INT) AS miss FROM nn GROUP BY ALL)
+  SELECT v.identity, v.identity IN (SELECT identity FROM train) AS is_known,
+         avg((coalesce(neighbor_identity, 'unknown') = v.identity)::INT) AS hit,
+         avg((coalesce(neighbor_identity, 'unknown') = 'unknown')::INT) AS miss
+  FROM val v LEFT JOIN nn USING (image_id) GROUP BY ALL)
 SELECT round(avg(hit) FILTER (is_known), 6) AS baks, round(avg(miss) FILTER (NOT is_known), 6) AS baus FROM p""",
     "prediction_counts": f"""{VAL_NN1}, p AS (SELECT {BY_DISTANCE} AS prediction FROM nn)
 SELECT count(*) FILTER (prediction = 'new_individual') AS unknown,
@@ -615,6 +616,13 @@ WITH {PART_ROWS},{nearest('nn', 'val', 'train', 1)},
 fixed AS (SELECT 1 AS num_neighbors, NULL AS median, NULL AS mad),
 {grid(0.8, 1.6, 41)},{sweep('swept', 'nn', 'val', 'train', 'fixed', 'distance <= threshold')}
 SELECT {SWEPT} FROM swept""",
+    "mad_scaled_sweep": f"""
+WITH {PART_ROWS},{null_stats('nd', 'train', (1,))},{nearest('nn', 'val', 'train', 1)},
+{grid(-2, 2, 21)},{sweep('swept', 'nn', 'val', 'train', 'nd_s', 'distance <= median + threshold * mad')}
+SELECT round(cut, 6) AS threshold, round(baks, 6) AS baks, round(baus, 6) AS baus,
+       round(crossover_score, 6) AS crossover_score, round(score, 6) AS score,
+       round((cut - median) / mad, 6) + 0.0 AS multiplier
+FROM (SELECT *, median + threshold * mad AS cut FROM swept)""",
     "distance_experiment": experiment((1,)),
     "k_sweep": experiment((1, 3, 5, 10, 20)),
     "best_threshold": f"""{RUNS}

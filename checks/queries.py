@@ -156,7 +156,7 @@ def run_lengths(spark, sf_dir):
 
 def label_encode(spark, sf_dir):
     rows = images(spark, sf_dir).select("image_id", "identity").where(C.is_known())
-    return joins.attach_by_key(rows, encode_labels(rows, "identity"), "identity", "image_id")
+    return joins.attach_by_key(rows, encode_labels(rows, "identity"), "identity")
 
 
 # --- projections, filters and scalars ---------------------------------------
@@ -323,7 +323,7 @@ def left_join_back(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang")
     toxic = docs.join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id")
     per_source = toxic.groupBy("source").agg(F.count(F.lit(1)).alias("toxic_docs"))
-    return joins.attach_by_key(docs, per_source, "source", "doc_id")
+    return joins.attach_by_key(docs, per_source, "source")
 
 
 def positional(spark, sf_dir):
@@ -439,7 +439,8 @@ def predict_all_rows(spark, sf_dir):
 
 def closed_set_1nn(spark, sf_dir):
     train, val = train_and_val(spark, sf_dir)
-    predicted = predict.predict_closed_set(nearest(val, train, 1))
+    found = predict.predict_closed_set(nearest(val, train, 1))
+    predicted = predict.complete(found, val, new_label="unknown")
     rows = val.select("image_id", "identity").join(predicted, "image_id")
     unknown = joins.key_difference(val, train, "identity")
     return rounded(metrics.balanced_accuracies(rows, unknown, new_label="unknown"), "baks", "baus")
@@ -521,6 +522,18 @@ def distance_sweep(spark, sf_dir):
     return rounded(swept, *SWEEP[:5])
 
 
+def mad_scaled_sweep(spark, sf_dir):
+    """Absolute thresholds, as many MADs of the distances between identities away from their median."""
+    train, val = train_and_val(spark, sf_dir)
+    stats = median_and_mad(null_distances(train, [1])).first()
+    steps = C.linspace(-2, 2, 21)
+    grid = [stats["median"] + step * stats["mad"] for step in steps]
+    found = nearest(val, train, 1, query_columns=["identity"])
+    swept = sweep.sweep_distances(found, val, train, grid)
+    multiplier = (F.col("threshold") - F.lit(stats["median"])) / F.lit(stats["mad"])
+    return rounded(swept.withColumn("multiplier", multiplier), *SWEEP[:5], "multiplier")
+
+
 def distance_experiment(spark, sf_dir):
     train, val = train_and_val(spark, sf_dir)
     return rounded(sweep.experiment(train, val, [1])[0], *SWEEP)
@@ -716,7 +729,7 @@ REGISTERED: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     knn_topk, knn_other_identity, row_median_distance, null_distance_summary, median_mad_by_k,
     vote, predict_zgate, predict_absolute, predict_all_rows, closed_set_1nn, prediction_counts,
     baks, baus, competition_score, dataset_scores, submission_violations, submission_alignment,
-    threshold_sweep, distance_sweep, distance_experiment, k_sweep, best_threshold, sweep_maxima,
+    threshold_sweep, distance_sweep, mad_scaled_sweep, distance_experiment, k_sweep, best_threshold, sweep_maxima,
     final_labels, dataset_only,
     centroid, triplet_filter, positive_sample, negative_sample, negative_sample_same_dataset,
     candidate_counts, batch_distances, semi_hard, triplet_loss, nested_loss, epoch_loss,

@@ -26,7 +26,9 @@ from fieldmark.sources.tables import (
     read_metadata,
     read_records,
     write_csv,
+    write_files,
     write_partitioned,
+    write_record,
     write_samples,
 )
 
@@ -69,6 +71,29 @@ def json_records(spark, sf_dir):
     return rounded(records.withColumn("record", C.path_part("filename", -2)).drop("filename"), "score")
 
 
+def record_roundtrip(spark, sf_dir):
+    """The largest source of documents, written as a record and read back."""
+    path = fresh_folder(spark)
+    counted = table(spark, sf_dir, "documents", "source", "lang").groupBy("source").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("lang").alias("languages"),
+        F.lit(None).cast("double").alias("score"),
+    )
+    write_record(counted.orderBy(F.desc("rows"), "source").limit(1), f"{path}/best")
+    schema = "source string, rows long, languages long, score double"
+    return read_records(spark, f"{path}/best/*.json", schema).drop("filename")
+
+
+def files_roundtrip(spark, sf_dir):
+    """Labels written as a fixed number of files, and by size, and read back with their number of files."""
+    path = fresh_folder(spark)
+    rows = table(spark, sf_dir, "labels")
+    write_files(rows, f"{path}/fixed", files=3)
+    write_files(rows, f"{path}/sized")
+    fixed, sized = (read_columns(spark, f"{path}/{name}", ["doc_id", "quality", "toxic"]) for name in ("fixed", "sized"))
+    files = fixed.select(F.col("_metadata.file_path").alias("file")).distinct().count()
+    return fixed.withColumn("files", F.lit(files)).unionByName(sized.withColumn("files", F.lit(None).cast("int")))
+
+
 def leaderboard_rows(spark, sf_dir):
     return rounded(leaderboard(spark, _records(spark, sf_dir)), "score")
 
@@ -135,7 +160,7 @@ def pipeline_embed(spark, sf_dir):
 def decode_labels(spark, sf_dir):
     rows = images(spark, sf_dir).select("image_id", "identity").where(C.is_known())
     codes = stage(encode_labels(rows, "identity"))
-    coded = joins.attach_by_key(rows, codes, "identity", "image_id").select("image_id", "label_id")
+    coded = joins.attach_by_key(rows, codes, "identity").select("image_id", "label_id")
     return joins.decode_labels(coded, codes)
 
 
@@ -153,7 +178,7 @@ def final_labels_one_dataset(spark, sf_dir):
 
 
 REGISTERED = (
-    csv_roundtrip, json_records, leaderboard_rows, leaderboard_top, leaderboard_epochs, partitioned_roundtrip,
+    csv_roundtrip, json_records, record_roundtrip, files_roundtrip, leaderboard_rows, leaderboard_top, leaderboard_epochs, partitioned_roundtrip,
     samples_roundtrip, reconcile, file_listing, pipeline_embed, decode_labels, best_crossover,
     final_labels_recalibrated, final_labels_one_dataset,
 )
@@ -169,6 +194,12 @@ SQL: dict[str, str] = {
 SELECT doc_id::VARCHAR AS image_id, source AS identity, lang || '/' || doc_id AS path, NULL::VARCHAR AS date,
        'left, "top"' AS orientation, lang AS species, 'database' AS split, source AS dataset FROM documents""",
     "json_records": f"{RUNS} SELECT round(score, 6) AS score, rows, 'record=best' AS record FROM runs",
+    "record_roundtrip": """
+SELECT source, count(*) AS rows, count(DISTINCT lang) AS languages, NULL::DOUBLE AS score
+FROM documents GROUP BY source ORDER BY 2 DESC, 1 LIMIT 1""",
+    "files_roundtrip": """
+SELECT doc_id, quality, toxic, 3::INT AS files FROM labels UNION ALL
+SELECT doc_id, quality, toxic, NULL::INT AS files FROM labels""",
     "leaderboard_rows": f"""{RUNS}
 SELECT model, epoch, number AS epoch_number, round(score, 6) AS score, rows FROM runs""",
     "leaderboard_top": f"""{RUNS}

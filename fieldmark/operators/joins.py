@@ -2,64 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Slices that a hot key is cut into.
-SALTS = 4096
+# Keys that are looked for as heavy, and the share of all rows from which one is.
+HEAVY_KEYS = 256
+HEAVY_SHARE = 1 / 1024
 
 
-def _salted(rows: DataFrame, spread: str) -> DataFrame:
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+def heavy_keys(rows: DataFrame, key: str) -> list:
+    """The non-NULL keys that own a large share of the rows, at most ``HEAVY_KEYS``.
 
+    A frequent-items summary is built in every task and the summaries are merged in one aggregate, so neither the
+    number of keys nor their skew matters. Its counts may be off by a small share of all rows: a key just below
+    the share may be taken for a heavy one, which costs nothing but its place in the list.
+    """
+    tracked = 4 * HEAVY_KEYS
+    found = rows.where(F.col(key).isNotNull()).agg(
+        F.call_function("approx_top_k", F.col(key), F.lit(HEAVY_KEYS), F.lit(tracked)).alias("top"),
+        F.count(F.lit(1)).alias("n"),
+    ).first()
+    return [item["item"] for item in found["top"] or [] if item["count"] >= HEAVY_SHARE * found["n"]]
 
-def _join_salted(tagged: DataFrame, table: DataFrame, key: str, how: str) -> DataFrame:
-    """Join on (key, salt), NULL keys included, keeping the left columns."""
-    right = table.withColumnsRenamed({key: "_key", "_salt": "_key_salt"})
-    condition = F.col(key).eqNullSafe(F.col("_key")) & (
-        F.col("_salt") == F.col("_key_salt")
-    )
-    return tagged.join(right, condition, how).drop("_key", "_key_salt", "_salt")
 
+def attach_by_key(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join a one-row-per-key table to rows whose keys may be very uneven; NULL keys meet each other.
 
-def group_count(
-    rows: DataFrame, key: str, counted: str, out: str = "identity_count"
-) -> DataFrame:
-    """Attach to each row how many non-NULL ``counted`` values its key has.
-
-    NULL keys form one group. Equal to a count over a window partitioned by
-    ``key``, but no task ever holds a whole key: counts are combined per
-    (key, salt), summed over at most ``SALTS`` partial counts, and joined back
-    on (key, salt). ``rows`` are read twice: stage them if they are costly.
+    Heavy keys are found first; there are few of them, so their rows of ``table`` are broadcast and the rows that
+    have them stay where they are. All other keys, each with a small share, take a plain join. ``rows``
+    are read twice more: stage them if they are costly.
     """
-    tagged = _salted(rows, counted)
-    partial = tagged.groupBy(key, "_salt").agg(F.count(counted).alias("_n"))
-    total = partial.select(
-        key, "_salt", F.sum("_n").over(Window.partitionBy(key)).alias(out)
-    )
-    return _join_salted(tagged, total, key, "inner")
+    right = table.withColumnRenamed(key, "_key")
+    heavy = heavy_keys(rows, key)
+
+    def is_heavy(column: str) -> Column:
+        return F.col(column).isNull() | F.col(column).isin(heavy)
 
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    # At most one row per heavy key and one for NULL.
+    hot = rows.where(is_heavy(key)).join(F.broadcast(right.where(is_heavy("_key"))), same, how)
+    light = rows.where(~is_heavy(key)).join(right.where(~is_heavy("_key")), F.col(key) == F.col("_key"), how)
+    return light.unionByName(hot).drop("_key")
 
-def attach_by_key(
-    rows: DataFrame, table: DataFrame, key: str, spread: str, how: str = "left"
-) -> DataFrame:
-    """Join a one-row-per-key table to rows whose keys may be very uneven.
 
-    The table is first copied to the salts its key really occurs with, at most
-    ``SALTS`` per key, so the wide join runs on (key, salt). ``how`` is
-    ``left`` or ``inner``. ``rows`` are read twice: stage them if they are costly.
+def group_count(rows: DataFrame, key: str, counted: str, out: str = "identity_count") -> DataFrame:
+    """Attach to each row how many non-NULL ``counted`` values its key has.
+
+    NULL keys form one group. Equal to a count over a window partitioned by
+    ``key``, but no task ever holds a whole key: counts are combined before their
+    one shuffle and joined back as ``attach_by_key`` does.
     """
-    tagged = _salted(rows, spread)
-    present = tagged.select(key, "_salt").distinct()
-    copies = present.join(table, key)
-    return _join_salted(tagged, copies, key, how)
+    counts = rows.groupBy(key).agg(F.count(counted).alias(out))
+    return attach_by_key(rows, counts, key, "inner")
 
 
-def decode_labels(
-    rows: DataFrame, codes: DataFrame, code: str = "label_id", spread: str = "image_id"
-) -> DataFrame:
+def decode_labels(rows: DataFrame, codes: DataFrame, code: str = "label_id") -> DataFrame:
     """Add to coded rows the label of their ``code``; NULL for a code that ``codes`` lacks."""
-    return attach_by_key(rows, codes, code, spread)
+    return attach_by_key(rows, codes, code)
 
 
 def missing_rows(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

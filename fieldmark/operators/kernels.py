@@ -46,9 +46,18 @@ def exact_squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.add.reduce(gaps * gaps, axis=1)
 
 
-def from_row(vectors: np.ndarray, i: int) -> np.ndarray:
-    """Plain distance of row ``i`` to every row."""
-    return np.sqrt(exact_squared(vectors, vectors[i][None, :]))
+def slabs(rows: int, vectors: np.ndarray):
+    """(start, stop) of as many rows as may be measured against all vectors at once."""
+    step = max(1, CELLS // max(vectors.size, 1))
+    for start in range(0, rows, step):
+        yield start, min(start + step, rows)
+
+
+def plain_distances(rows: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Plain distances of every row to every vector, from differences, in double precision."""
+    gaps = rows.astype(np.float64)[:, None, :] - vectors.astype(np.float64)[None, :, :]
+    gaps *= gaps
+    return np.sqrt(np.add.reduce(gaps, axis=2))
 
 
 def _places(group: np.ndarray) -> np.ndarray:

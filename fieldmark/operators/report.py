@@ -131,7 +131,7 @@ def silhouette_samples(
     plan = sizes.where(big).agg(F.coalesce(F.sum(pieces), F.lit(0)).alias("n")).first()["n"]
     small_blocks = blocks.count
     starts = _piece_starts(sizes, label, big, pieces, small_blocks)
-    labelled = attach_by_key(df, sizes.join(starts, label, "left"), label, key)
+    labelled = attach_by_key(df, sizes.join(starts, label, "left"), label)
     own = (
         F.when(F.col("_start").isNull(), F.pmod(F.xxhash64(label), F.lit(small_blocks)))
         .otherwise(F.col("_start") + F.pmod(F.xxhash64(key), F.col("_pieces")))

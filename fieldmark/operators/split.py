@@ -149,7 +149,7 @@ def identity_split(
 ) -> DataFrame:
     """Divide by identity only: all images of an identity share one part."""
     identities = assign_identities(df, train_ratio, val_ratio, group_col, seed)
-    return attach_by_key(df, identities, group_col, image_col, "inner").withColumnRenamed(
+    return attach_by_key(df, identities, group_col, "inner").withColumnRenamed(
         "_part", out
     )
 

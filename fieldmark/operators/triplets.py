@@ -158,7 +158,7 @@ def batch_distances(
     """Plain distances of each row to the others of its batch, summarised.
 
     Returns (key, batch, others, nearest, farthest, mean). The distance matrix
-    of a batch lives inside its task; rows leave it one by one.
+    of a batch lives inside its task, a slab of rows at a time.
     """
     schema = T.StructType(
         [
@@ -174,14 +174,19 @@ def batch_distances(
     def summarise(batch: pa.Table) -> pa.Table:
         vectors = kernels.matrix(batch[vector])
         n = len(vectors)
-        stats = []
-        for i in range(n):
-            gaps = np.delete(kernels.from_row(vectors, i), i)
-            stats.append((gaps.min(), gaps.max(), gaps.mean()) if n > 1 else (None,) * 3)
-        low, high, mean = zip(*stats)
+        low, high, mean = (np.full(n, np.nan) for _ in range(3))
+        if n > 1:
+            for start, stop in kernels.slabs(n, vectors):
+                gaps = kernels.plain_distances(vectors[start:stop], vectors)
+                # A row's distance to itself is 0 and left out.
+                own = (np.arange(stop - start), np.arange(start, stop))
+                mean[start:stop] = gaps.sum(axis=1) / (n - 1)
+                high[start:stop] = gaps.max(axis=1)
+                gaps[own] = np.inf
+                low[start:stop] = gaps.min(axis=1)
         return pa.table(
             [batch[key], batch["batch"], pa.array([n - 1] * n, pa.int32())]
-            + [pa.array(list(v), pa.float64()) for v in (low, high, mean)],
+            + [pa.array(v, mask=np.full(n, n < 2)) for v in (low, high, mean)],
             names=schema.names,
         )
 
@@ -253,28 +258,29 @@ def mine_semi_hard(
         owner = pc.list_parent_indices(drawn_lists).to_numpy(zero_copy_only=False)
         flat = drawn_lists.flatten()
         dp = flat.field("dp").to_numpy(zero_copy_only=False)
-        keep, negative, dn = [], [], []
-        last, gaps = -1, None
-        for i, anchor in enumerate(owner):
-            if anchor != last:
-                gaps, last = kernels.from_row(vectors, anchor), anchor
-            fits = (mine_code[anchor] != their_code) & (gaps > dp[i]) & (gaps < dp[i] + margin)
-            if fits.any():
-                best = int(np.argmin(np.where(fits, gaps, np.inf)))
-                keep.append(i)
-                negative.append(best)
-                dn.append(gaps[best])
-        kept = pa.array(keep, pa.int64())
-        anchors = pa.array(owner[keep] if keep else [], pa.int64())
+        n = len(owner)
+        found, negative, dn = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64), np.zeros(n)
+        for start, stop in kernels.slabs(n, vectors):
+            # Draws of one anchor lie side by side and share its distances.
+            anchors, which = np.unique(owner[start:stop], return_inverse=True)
+            gaps = kernels.plain_distances(vectors[anchors], vectors)[which]
+            least = dp[start:stop, None]
+            fits = (mine_code[owner[start:stop], None] != their_code) & (gaps > least) & (gaps < least + margin)
+            gaps[~fits] = np.inf
+            best = gaps.argmin(axis=1)
+            found[start:stop] = fits.any(axis=1)
+            negative[start:stop], dn[start:stop] = best, gaps[np.arange(stop - start), best]
+        keep = np.flatnonzero(found)
+        kept, anchors = pa.array(keep), pa.array(owner[keep].astype(np.int64))
         return pa.table(
             [
                 batch["batch"].take(anchors),
                 batch[key].take(anchors),
                 flat.field("draw").take(kept),
                 flat.field("positive_id").take(kept),
-                batch[key].take(pa.array(negative, pa.int64())),
+                batch[key].take(pa.array(negative[keep])),
                 flat.field("dp").take(kept),
-                pa.array(dn, pa.float64()),
+                pa.array(dn[keep]),
             ],
             names=schema.names,
         )

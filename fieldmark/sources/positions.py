@@ -35,7 +35,7 @@ def row_numbers(spark: SparkSession, path: str, out: str = "row_number") -> Data
     if len(df.inputFiles()) <= FEW_FILES:
         joined = located.join(F.broadcast(files), "_file")
     else:
-        joined = attach_by_key(located, files, "_file", "_index", "inner")
+        joined = attach_by_key(located, files, "_file", "inner")
     return joined.select(*df.columns, (F.col("_before") + F.col("_index")).alias(out))
 
 

@@ -96,12 +96,32 @@ def test_group_count_counts_null_keys_as_one_group(rows):
     assert joins.group_count(rows, "identity", "image_id").count() == rows.count()
 
 
+def test_heavy_keys_are_found_and_the_others_shuffle(spark):
+    # One key with a third of all rows among 20,000 others, and NULL.
+    data = spark.range(30_000).selectExpr(
+        "id AS image_id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('k', id) END AS identity"
+    )
+    assert joins.heavy_keys(data, "identity") == ["hot"]
+    assert joins.heavy_keys(data.limit(0), "identity") == []
+    counted = joins.group_count(data, "identity", "image_id")
+    got = {tuple(r) for r in counted.groupBy("identity", "identity_count").count().collect()}
+    assert got == {(r[0], r[1], r[1]) for r in data.groupBy("identity").count().collect()}
+    # The rows of heavy keys are not shuffled: every exchange of rows is behind the filter on light ones.
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" in plan
+    numbers = spark.createDataFrame([("hot", 1), (None, 2), ("k2", 3), ("nobody", 4)], "identity string, x int")
+    left = joins.attach_by_key(data, numbers, "identity")
+    want = {1: 10_000, 2: data.where("identity is null").count(), 3: 1}
+    assert {r[0]: r[1] for r in left.where("x is not null").groupBy("x").count().collect()} == want
+    assert left.count() == 30_000 and joins.attach_by_key(data, numbers, "identity", "inner").count() == sum(want.values())
+
+
 def test_attach_by_key(rows, spark):
     table = spark.createDataFrame([("LynxID2025_hot", 1), ("nobody", 2)], "identity string, x int")
-    left = joins.attach_by_key(rows, table, "identity", "image_id")
+    left = joins.attach_by_key(rows, table, "identity")
     assert left.count() == rows.count()
     assert left.where("x = 1").count() == rows.where("identity = 'LynxID2025_hot'").count()
-    inner = joins.attach_by_key(rows, table, "identity", "image_id", "inner")
+    inner = joins.attach_by_key(rows, table, "identity", "inner")
     assert inner.count() == left.where("x = 1").count()
 
 
