@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import bisect
 import functools
-import re
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,57 +32,84 @@ from pyspark.sql import types as T
 from fieldmark.sources.staging import stage
 
 #: Words that a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Rows per hash slice that ranks are taken in, about.
 SLICE_ROWS = 100_000
 
-SIMPLE = re.compile(r"([A-Za-z]+)([.,;:!?|*&%$#]*)")
+#: Letters and the plain punctuation behind them, which such a tokenizer encodes apart.
+SIMPLE = r"^(?P<letters>[A-Za-z]+)(?P<marks>[.,;:!?|*&%$#]*)$"
 SEPARATOR = "\x00"
+#: Units that are encoded in one call.
+CALL = 500
+
+
+def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices of ``pool`` one behind the other."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 class WordIds:
     """Ids of words between ASCII white space, for a tokenizer that drops white space.
 
-    Letters and the plain punctuation after them are encoded apart, which such a tokenizer does as well;
-    other words are encoded whole.
+    Words of letters and plain punctuation are two units, others are one. A unit is encoded once as
+    long as it is remembered; its ids are a slice of one pool.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        # Spark gives a task one core.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
-        self._known: dict[str, tuple[int, ...]] = {}
-
-    @staticmethod
-    def units(word: str) -> tuple[str, ...]:
-        simple = SIMPLE.fullmatch(word)
-        if simple:
-            return (simple[1].lower(), simple[2]) if simple[2] else (simple[1].lower(),)
-        return (word,)
-
-    def _encode(self, units: list[str]) -> None:
-        plain = [unit for unit in units if SEPARATOR not in unit]
+        (self.separator,) = self._encoded(SEPARATOR)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._row: dict[str, int] = {}
+        self.pool = np.empty(1 << 16, dtype=np.uint32)
+        self.starts = np.empty(1 << 14, dtype=np.int64)
+        self.sizes = np.empty(1 << 14, dtype=np.int64)
+        self._used = 0
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+
+    def _add(self, units: list[str], ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self._row)
+        while self._used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while first + len(units) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.sizes))
+        self.pool[self._used : self._used + len(ids)] = ids
+        self.starts[first : first + len(units)] = starts + self._used
+        self.sizes[first : first + len(units)] = sizes
+        self._used += len(ids)
+        self._row.update(zip(units, range(first, first + len(units)), strict=True))
+
+    def _learn(self, units: list[str]) -> None:
         for unit in units:
             if SEPARATOR in unit:
-                self._known[unit] = tuple(self.tokenizer.encode(unit, add_special_tokens=False).ids)
-        for begin in range(0, len(plain), 500):
-            some = plain[begin : begin + 500]
-            joined = f" {SEPARATOR} ".join(some)
-            ids = self.tokenizer.encode(joined, add_special_tokens=False).ids
-            (cut,) = self.separator
-            ends = [i for i, token in enumerate(ids) if token == cut]
-            for unit, a, b in zip(some, [-1, *ends], [*ends, len(ids)], strict=True):
-                self._known[unit] = tuple(ids[a + 1 : b])
-
-    def ids(self, words: list[str]) -> list[tuple[int, ...]]:
-        parts = [self.units(word) for word in words]
-        needed = {unit for units in parts for unit in units}
-        if len(self._known) + len(needed) > REMEMBERED:
-            self._known.clear()
-        known = self._known
-        self._encode([unit for unit in needed if unit not in known])
-        return [known[u[0]] if len(u) == 1 else known[u[0]] + known[u[1]] for u in parts]
+                ids = self._encoded(unit)
+                self._add([unit], ids, np.zeros(1, np.int64), np.array([len(ids)]))
+        plain = [unit for unit in units if SEPARATOR not in unit]
+        for begin in range(0, len(plain), CALL):
+            some = plain[begin : begin + CALL]
+            ids = self._encoded(f" {SEPARATOR} ".join(some))
+            cuts = np.flatnonzero(ids == self.separator)
+            starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]])
+            self._add(some, ids, starts, ends - starts)
+
+    def rows(self, units: pa.Array) -> np.ndarray:
+        """For different units their rows in ``starts`` and ``sizes``."""
+        wanted = units.to_pylist()
+        new = [unit for unit in wanted if unit not in self._row]
+        if new:
+            if len(self._row) + len(new) > REMEMBERED:
+                self._forget()
+                new = wanted
+            self._learn(new)
+        return np.fromiter(map(self._row.__getitem__, wanted), dtype=np.int64, count=len(wanted))
 
 
 @functools.lru_cache(maxsize=2)
@@ -95,16 +122,21 @@ def flat_ids(encoder: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
     parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     offsets = parts.offsets.to_numpy().astype(np.int64)
     flat = parts.flatten().dictionary_encode()
-    index = flat.indices.to_numpy()
-    known = encoder.ids(flat.dictionary.to_pylist())
-    sizes = np.array([len(ids) for ids in known], dtype=np.int64)
+    words = flat.dictionary
+    simple = pc.extract_regex(words, SIMPLE)
+    heads = pc.coalesce(pc.ascii_lower(pc.struct_field(simple, "letters")), words)
+    tails = pc.coalesce(pc.struct_field(simple, "marks"), pa.scalar("", words.type))
+    # A word is its head and its tail; an empty tail has no ids.
+    units = pa.concat_arrays([heads, tails]).dictionary_encode()
+    row = encoder.rows(units.dictionary)[units.indices.to_numpy()]
+    row = np.stack([row[: len(words)], row[len(words) :]], axis=1).ravel()
+    sizes = encoder.sizes[row]
+    pool = gather(encoder.pool, encoder.starts[row], sizes)
+    sizes = sizes.reshape(-1, 2).sum(axis=1)
     starts = np.cumsum(sizes) - sizes
-    pool = np.fromiter((i for ids in known for i in ids), dtype=np.uint32, count=int(sizes.sum()))
+    index = flat.indices.to_numpy()
     lengths = sizes[index]
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    ids = pool[np.repeat(starts[index] - (ends - lengths), lengths) + np.arange(total)]
-    return ids, np.concatenate(([0], ends))[offsets]
+    return gather(pool, starts[index], lengths), np.concatenate(([0], np.cumsum(lengths)))[offsets]
 
 
 def cut_pieces(
