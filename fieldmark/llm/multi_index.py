@@ -10,7 +10,8 @@ cell that a third of all vectors fall into has many. Queries travel to the block
 of bounded size, and a block sends on only its best rows for each query.
 
 Vectors that are null or zero, hold a null or a non-finite component, or have another length than most,
-take no part. Ties go to the smaller id.
+take no part. Ties go to the smaller id. A row that is there twice is one neighbour and asks once; of different
+vectors with one id the first in order asks, and the nearest of them is the neighbour.
 """
 
 from __future__ import annotations
@@ -162,7 +163,7 @@ def search(
     if quantiser is None:
         return spark.createDataFrame([], result)
     indexed = stage(assign(good, quantiser))
-    sizes = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.countDistinct("vec_id").alias("n")).collect()}
     places = lay_out(sizes)
     # One more than asked for: the query is in one of the cells.
     wanted = max(int(np.ceil(share * total)), k) + 1
@@ -189,7 +190,7 @@ def search(
             yield pd.DataFrame(out, columns=["query_id", "query", "block", "cells"])
 
     blocks = indexed.mapInPandas(to_blocks, "vec_id long, vector array<double>, cell int, block long")
-    queries = indexed.where(is_query(F.col("vec_id"))).select("vec_id", "vector")
+    queries = indexed.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     slices = 1 + queries.count() // SLICE_QUERIES
     asked = queries.mapInPandas(to_cells, "query_id long, query array<double>, block long, cells array<int>")
     asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(slices)))
@@ -203,7 +204,9 @@ def search(
             for query, values, cells in zip(queries["query_id"], queries["query"], queries["cells"], strict=True):
                 at = np.nonzero(np.isin(cell, cells) & (ids != query))[0]
                 score = np.sqrt(((vectors[at] - np.asarray(values)) ** 2).sum(axis=1))
-                best = np.lexsort((ids[at], score))[:k]
+                best = np.lexsort((ids[at], score))
+                # Copies are as near as each other; the first place of an id counts.
+                best = best[np.sort(np.unique(ids[at[best]], return_index=True)[1])][:k]
                 found.extend((query, ids[at[i]], score[i]) for i in best)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
@@ -212,6 +215,8 @@ def search(
         .cogroup(asked.groupBy("block", "part"))
         .applyInPandas(nearest, "query_id long, vec_id long, score double")
     )
+    # Different vectors of one id may lie in different blocks.
+    near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

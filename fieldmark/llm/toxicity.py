@@ -4,8 +4,8 @@
 ordered, and the sum of them is the expected severity. ``x`` has a 1 for each word, or beginning of a word,
 of the vocabulary that the text holds.
 
-The fit reads at most ``max_labelled`` labelled documents, those with the smallest hash of their id; its
-sparse rows (at most that many, of at most ``max_words`` words) are the only thing that reaches the driver.
+The fit reads at most ``max_labelled`` labelled documents, those with the smallest hash of their id; this bound
+also bounds the vocabulary. The sample's sparse rows are the only thing that reaches the driver.
 Scoring reads every document in one pass, without a shuffle.
 """
 
@@ -111,7 +111,6 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     max_labelled: int = 20_000,
-    max_words: int = 4_096,
     least_docs: int = 5,
     grades: int = 3,
 ) -> OrdinalModel:
@@ -143,7 +142,6 @@ def fit(
             .select("word", ((F.col("n_toxic") - F.col("n") * share) / spread).alias("z"))
             .where(F.abs("z") >= LEAST_Z)
             .orderBy(F.abs("z").desc(), "word")
-            .limit(max_words)
             .collect()
         )
         words = [row.word for row in vocabulary]
@@ -173,8 +171,9 @@ def score(
 ) -> DataFrame:
     """``docs`` with a struct ``out`` of SCORES; null and empty texts hold no word of the vocabulary.
 
-    ``grade`` is the most likely grade; ``is_toxic`` says that a grade above 0 has a chance of at
-    least ``threshold``.
+    ``grade`` is the most likely grade; ``is_toxic`` says that the text holds a word of the vocabulary and that a
+    grade above 0 has a chance of at least ``threshold``. A column that is already named ``out`` is replaced.
+    Repeated rows are scored alike; an empty table stays empty.
     """
     weight = dict(zip(model.words, model.weights.tolist(), strict=True))
     cuts = model.cuts
@@ -194,7 +193,7 @@ def score(
                     "expected_severity": upper.sum(axis=1),
                     "p_toxic": upper[:, 0],
                     "grade": chances.argmax(axis=1).astype(np.int32),
-                    "is_toxic": upper[:, 0] >= threshold,
+                    "is_toxic": (upper[:, 0] >= threshold) & np.array([bool(hit) for hit in found], dtype=bool),
                 }
             )
 

@@ -385,3 +385,58 @@ def test_pipeline_equals_plain_python(spark):
             assert offset == end
             end += length
         assert end <= corpus_pipeline.CAPACITY
+
+
+def test_repeated_vectors_are_one_neighbour(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)]
+    df = spark.createDataFrame(rows * 2 + rows[:5] * 3, "vec_id long, embedding array<float>")
+    found = multi_index.search(df, lambda vec_id: vec_id % 20 == 0, k=10, share=1.0).collect()
+    vectors = {i: np.array(v, dtype="float32").astype(float) for i, v in rows}
+    want = []
+    for q in (0, 20, 40):
+        near = sorted((float(np.sqrt(((vectors[q] - v) ** 2).sum())), i) for i, v in vectors.items() if i != q)
+        want += [(q, rank, i) for rank, (_, i) in enumerate(near[:10], start=1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == want
+
+
+def test_toxicity_scores_equal_a_plain_loop(spark):
+    model = toxicity.OrdinalModel(("bad", "worse", "stupi-"), np.array([1.5, 2.0, -0.5]), np.array([1.0, 2.5, 3.0]))
+    texts = [None, "", "Bad worse", "fine", "STUPID bad bad 12", "worse " * 20_000]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(2, texts[2], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxicity string")
+    got = {(r.doc_id, r.toxicity) for r in toxicity.score(docs, model).collect()}
+    for doc_id, scored in got:
+        text = (texts[doc_id] or "").lower()
+        held = [w for w in ("bad", "worse") if w in text.split()] + (["stupi-"] if "stupid" in text else [])
+        z = sum(dict(zip(model.words, model.weights))[w] for w in held)
+        above = [1 / (1 + np.exp(-(z - cut))) for cut in model.cuts]
+        assert scored.n_matched == len(held) and scored.expected_severity == pytest.approx(sum(above))
+        assert scored.p_toxic == pytest.approx(above[0])
+        chances = -np.diff([1.0, *above, 0.0])
+        assert scored.grade == int(np.argmax(chances))
+        assert scored.is_toxic == (above[0] >= 0.35 and bool(held))
+    assert len(got) == len(texts)
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_fit_is_a_maximum():
+    rng = np.random.default_rng(9)
+    rows, columns = np.repeat(np.arange(300), 2), rng.integers(0, 6, 600)
+    grades = np.clip(np.bincount(rows, weights=columns > 3, minlength=300).astype(int) + (rng.random(300) < 0.2), 0, 3)
+
+    def loss(weights, cuts):
+        z = np.bincount(rows, weights=weights[columns], minlength=300)
+        above = 1 / (1 + np.exp(-(z[:, None] - cuts)))
+        edge = np.ones((300, 1))
+        chances = -np.diff(np.concatenate([edge, above, 0 * edge], axis=1), axis=1)
+        return -np.log(chances[np.arange(300), grades]).sum() + 0.5 * 0.01 * (weights**2).sum()
+
+    weights, cuts = toxicity.fit_ordinal(rows, columns, grades, 6, steps=4000)
+    assert (np.diff(cuts) > 0).all()
+    best = loss(weights, cuts)
+    for i in range(6 + len(cuts)):
+        for step in (-0.05, 0.05):
+            moved = np.concatenate([weights, cuts])
+            moved[i] += step
+            assert loss(moved[:6], moved[6:]) > best - 1e-6
