@@ -10,37 +10,50 @@ HEAVY_KEYS = 256
 HEAVY_SHARE = 1 / 1024
 
 
-def heavy_keys(rows: DataFrame, key: str) -> list:
-    """The non-NULL keys that own a large share of the rows, at most ``HEAVY_KEYS``.
+def _frequent(rows: DataFrame, key: str) -> tuple[list[tuple], int]:
+    """The most frequent non-NULL keys, at most ``HEAVY_KEYS``, with their counts, and the non-NULL rows.
 
     A frequent-items summary is built in every task and the summaries are merged in one aggregate, so neither the
-    number of keys nor their skew matters. Its counts may be off by a small share of all rows: a key just below
-    the share may be taken for a heavy one, which costs nothing but its place in the list.
+    number of keys nor their skew matters. Its counts may be off by a small share of all rows, unless it
+    holds every key: then they are exact.
     """
-    tracked = 4 * HEAVY_KEYS
     found = rows.where(F.col(key).isNotNull()).agg(
-        F.call_function("approx_top_k", F.col(key), F.lit(HEAVY_KEYS), F.lit(tracked)).alias("top"),
+        F.call_function("approx_top_k", F.col(key), F.lit(HEAVY_KEYS), F.lit(4 * HEAVY_KEYS)).alias("top"),
         F.count(F.lit(1)).alias("n"),
     ).first()
-    return [item["item"] for item in found["top"] or [] if item["count"] >= HEAVY_SHARE * found["n"]]
+    return [(item["item"], item["count"]) for item in found["top"] or []], found["n"]
+
+
+def heavy_keys(rows: DataFrame, key: str) -> list:
+    """The non-NULL keys that own a large share of the rows, at most ``HEAVY_KEYS``.
+
+    A key just below the share may be taken for a heavy one, which costs nothing but its place in the list.
+    """
+    top, n = _frequent(rows, key)
+    return [item for item, count in top if count >= HEAVY_SHARE * n]
 
 
 def attach_by_key(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join a one-row-per-key table to rows whose keys may be very uneven; NULL keys meet each other.
 
     Heavy keys are found first; there are few of them, so their rows of ``table`` are broadcast and the rows that
-    have them stay where they are. All other keys, each with a small share, take a plain join. ``rows``
-    are read twice more: stage them if they are costly.
+    have them stay where they are. All other keys, each with a small share, take a plain join; where
+    the summary holds every key there are no others. ``rows`` are read twice more: stage them if they are costly.
     """
     right = table.withColumnRenamed(key, "_key")
-    heavy = heavy_keys(rows, key)
+    top, n = _frequent(rows, key)
+    every = len(top) < HEAVY_KEYS and sum(count for _, count in top) == n
+    heavy = [item for item, count in top if every or count >= HEAVY_SHARE * n]
 
     def is_heavy(column: str) -> Column:
         return F.col(column).isNull() | F.col(column).isin(heavy)
 
-    same = F.col(key).eqNullSafe(F.col("_key"))
     # At most one row per heavy key and one for NULL.
-    hot = rows.where(is_heavy(key)).join(F.broadcast(right.where(is_heavy("_key"))), same, how)
+    few = F.broadcast(right.where(is_heavy("_key")))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    if every:
+        return rows.join(few, same, how).drop("_key")
+    hot = rows.where(is_heavy(key)).join(few, same, how)
     light = rows.where(~is_heavy(key)).join(right.where(~is_heavy("_key")), F.col(key) == F.col("_key"), how)
     return light.unionByName(hot).drop("_key")
 
