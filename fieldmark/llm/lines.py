@@ -4,7 +4,9 @@ A line is the set of its words. Words are ordered by rarity over the whole corpu
 a word is numbered by the rank of its cell and its own fingerprint, so that sorting numbers sorts by rarity without
 a join. Lines with equal sets are one class, known by its first line in the order of (id, line number). Two
 classes that are similar enough share a word within the rare ends (prefixes) of both, so classes meet in the
-buckets of prefix words; the length filter and the position filter drop most pairs before the remaining lines are
+buckets of prefix words. A bucket is a word and a band of set sizes: a class is at home in its own band and a guest
+in the next one, so sets of unlike size do not meet. The length filter, the position filter and a parity filter (sets
+that differ in d words differ in at most d of 64 parities) drop nearly all pairs before the remaining lines are
 fetched and their Jaccard similarity is computed. Sets so small that one word more or less is too much have equal
 sets only, and no bucket. A class needs one earlier partner only: in each bucket all meet the earliest class first,
 then the earliest that is not similar to it, and only classes that are still open meet all earlier ones. So a group
@@ -13,26 +15,28 @@ of thousands of near copies costs a few comparisons a member, and no removal is
 A line goes if an equal or similar line comes earlier in the input, whether that one stays or not; so the
 outcome does not depend on the order of work. Lines of fewer than ``least_words`` distinct words are left alone.
 
-Only built-in functions run. Copies are counted before the shuffle and are one row after it, so a line that a
+Only built-in functions run. Sets are told apart by 128 bits. Copies are combined before the shuffle and are one row after it, so a line that a
 third of all documents have is one class. Joins are keyed on one row per key on one side, so that Spark can
-split their large side. Texts move once, to meet the numbers of their removed lines.
+split their large side. Staged tables go as soon as the numbers of the removed lines are written. Texts move once, to meet the numbers of their removed lines.
 
 Null texts stay null. Rows with one id and one text are one document: their lines stay or go alike.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.llm.frames import SPACE_CLASS, SPACES, fresh
-from fieldmark.sources.staging import stage
+from fieldmark.sources.staging import Owner, stage
 
 #: Cells in which words are counted; a power of two.
 CELL_BITS = 16
-#: Bits of the fixed-size filters of lines to be fetched and of words with company, kept in 64-bit words.
-FILTER_BITS = 20
-SHARED_BITS = 22
+#: Bits of the filters of keys, at least and at most, kept in 64-bit words. Beyond the bound a semi-join does their work.
+FILTER_BITS = 16
+MOST_FILTER_BITS = 23
 HUB_ROUNDS = 2
 
 
@@ -97,10 +101,37 @@ def _filter_of(codes: DataFrame, bits: int) -> Column:
     return _literal(table, "bigint")
 
 
+def parity(words: Column) -> Column:
+    """64 bits, each the parity of the words that fall on it: sets that differ in d words differ in at most d bits."""
+    bit = lambda word: F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, word: bits.bitwiseXOR(bit(word)))
+
+
+def size_band(n: Column, percent: int) -> Column:
+    """Bands of set sizes; sets that the length filter lets meet are in one band or in neighbouring ones."""
+    # A hair wider than the filter, so that rounding cannot put two bands between such sets.
+    width = math.log(100 / percent) * (1 + 1e-9) or 1.0
+    return F.floor(F.log(n) / F.lit(width)).cast("int")
+
+
+def _with_company(tokens: DataFrame, keys: DataFrame) -> DataFrame:
+    """``tokens`` whose key is in ``keys`` (distinct), and few others where a filter of bounded size can tell."""
+    wanted = keys.count()
+    bits = max(FILTER_BITS, (8 * wanted).bit_length())
+    if bits > MOST_FILTER_BITS:
+        return tokens.join(keys, "code", "left_semi")
+    return tokens.where(_in_filter(_filter_of(keys, bits), F.col("code"), bits))
+
+
 def removed_lines(
     docs: DataFrame, percent: int = 90, least_words: int = 5, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """k1, k2 (of the row) and ``removed``: numbers of the lines that go, from 0. Other rows are not listed."""
+    with Owner() as mine:
+        return mine.hand_over(stage(_removed_lines(mine, docs, percent, least_words, key, text)))
+
+
+def _removed_lines(mine: Owner, docs: DataFrame, percent: int, least_words: int, key: str, text: str) -> DataFrame:
     slim = docs.where(F.col(f"`{text}`").isNotNull()).select(
         F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("k2"), F.col(f"`{text}`").alias("body")
     )
@@ -111,84 +142,85 @@ def removed_lines(
     sets = with_words(lines, "content", ranks, "key", "k2", "line")
     n = F.size("words")
     prefix = F.slice("words", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
-    prefix = F.when(100 * n >= percent * (n + 1), prefix).otherwise(F.array().cast("array<bigint>"))
-    set_id = F.when(n >= least_words, F.xxhash64("words"))
-    listed = stage(sets.select(where.alias("where"), set_id.alias("set_id"), n.alias("n"), prefix.alias("prefix")))
-    listed = listed.where("set_id IS NOT NULL")
-    classes = stage(listed.groupBy("set_id", "n").agg(F.min("where").alias("first")))
-    # Copies are combined before the shuffle; a word in the prefix of one line meets nothing and goes no further.
-    shared = stage(
-        listed.select(F.explode("prefix").alias("word"))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .where("c > 1")
-        .select("word", F.xxhash64("word").alias("code"))
+    with_partners = 100 * n >= percent * (n + 1)
+    listed = stage(
+        sets.select(
+            where.alias("where"),
+            F.when(n >= least_words, F.xxhash64("words")).alias("s1"), F.xxhash64(F.lit(1), "words").alias("s2"),
+            n.alias("n"), F.when(with_partners, parity(F.col("words"))).alias("bits"), F.when(with_partners, prefix).alias("prefix"),
+        )
+    ).where("s1 IS NOT NULL")
+    classes = stage(
+        listed.groupBy("s1", "s2", "n", "bits", "prefix").agg(F.min("where").alias("first"), F.count(F.lit(1)).alias("copies"))
     )
-    company = _filter_of(shared.select("code"), SHARED_BITS)
-    tokens = (
-        listed.select("set_id", "n", F.posexplode("prefix").alias("place", "word"))
-        .where(_in_filter(company, F.xxhash64("word"), SHARED_BITS))
-        .distinct()
+
+    # A class is at home in the bucket of its band and a guest in that of the next one.
+    band = size_band(F.col("n"), percent)
+    spread = classes.where("prefix IS NOT NULL")
+    placed = spread.select("s1", "s2", "n", "bits", "first", band.alias("band"), F.posexplode("prefix").alias("place", "word"))
+    tokens = placed.select(
+        "s1", "s2", "n", "bits", "first", "place", "word", F.posexplode(F.array(F.col("band"), F.col("band") + 1)).alias("guest", "band")
+    ).select(F.xxhash64("word", "band").alias("code"), "s1", "s2", "n", "bits", "first", "place", "guest")
+    # Keys are counted alone, combined before the shuffle; those of a single class go no further.
+    shared = stage(
+        tokens.groupBy("code").agg(F.count(F.lit(1)).alias("c"), F.min("guest").alias("guest"))
+        .where("c > 1 AND guest = 0").select("code")
     )
-    tokens = stage(tokens)
-    several = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("word")
-    buckets = stage(tokens.join(several, "word"))
-    buckets = stage(buckets.join(classes.select("set_id", "first"), "set_id"))
+    buckets = stage(_with_company(tokens, shared))
 
-    def lines_of(pairs: DataFrame) -> DataFrame:
+    def words_of_classes(pairs: DataFrame) -> DataFrame:
         """Words of the classes in ``pairs``, from the one line that stands for each."""
-        wanted = pairs.select(F.explode(F.array("early", "late")).alias("set_id")).distinct()
-        wanted = stage(wanted.join(classes.select("set_id", "first"), "set_id").withColumn("code", F.xxhash64("first")))
-        chosen = lines.withColumn("code", F.xxhash64(where)).where(
-            _in_filter(_filter_of(wanted.select("code"), FILTER_BITS), F.col("code"), FILTER_BITS)
-        )
-        chosen = chosen.select("code", where.alias("first"), "content").join(wanted, ["code", "first"])
-        return stage(with_words(chosen, "content", ranks, "set_id").dropDuplicates(["set_id"]))
+        wanted = pairs.select(F.explode(F.array("early", "late")).alias("first")).distinct()
+        wanted = stage(wanted.withColumn("code", F.xxhash64("first")))
+        chosen = _with_company(lines.select(F.xxhash64(where).alias("code"), where.alias("first"), "content"), wanted.select("code").distinct())
+        # Rows that are the same document twice give the same words.
+        words = with_words(chosen, "content", ranks, "first").dropDuplicates(["first"])
+        return stage(words.join(wanted.select("first"), "first", "left_semi"))
 
     def later_of(pairs: DataFrame, decided: DataFrame | None) -> DataFrame:
         """``decided`` and those ``late`` classes of ``pairs`` that are similar to their ``early`` one."""
         pairs = stage(pairs)
-        words = lines_of(pairs)
-        a = words.select(F.col("set_id").alias("early"), F.col("words").alias("words_a"))
-        b = words.select(F.col("set_id").alias("late"), F.col("words").alias("words_b"))
+        words = words_of_classes(pairs)
+        a = words.select(F.col("first").alias("early"), F.col("words").alias("words_a"))
+        b = words.select(F.col("first").alias("late"), F.col("words").alias("words_b"))
         both = F.size(F.array_intersect("words_a", "words_b"))
         either = F.size("words_a") + F.size("words_b") - both
         found = pairs.join(a, "early").join(b, "late").where(100 * both >= percent * either)
-        found = found.select(F.col("late").alias("set_id"))
+        found = found.select("s1", "s2")
         return stage((found if decided is None else found.unionByName(decided)).distinct())
 
     def candidates(early: DataFrame, late: DataFrame) -> DataFrame:
-        """Pairs that share a bucket and pass the length filter and the position filter."""
-        left = early.select("word", *(F.col(c).alias(f"{c}_a") for c in ("set_id", "n", "place", "first")))
-        right = late.select("word", *(F.col(c).alias(f"{c}_b") for c in ("set_id", "n", "place", "first")))
+        """Pairs that share a bucket and pass the length, the position and the parity filter; ids of the late one."""
+        carried = ("n", "place", "first", "bits", "guest")
+        left = early.select("code", *(F.col(c).alias(f"{c}_a") for c in carried))
+        right = late.select("code", "s1", "s2", *(F.col(c).alias(f"{c}_b") for c in carried))
         na, nb = F.col("n_a"), F.col("n_b")
         reach = F.least(na - F.col("place_a"), nb - F.col("place_b"))
+        unlike = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
         return (
-            left.join(right, "word")
-            .where(F.col("first_a") < F.col("first_b"))
+            left.join(right, "code")
+            .where((F.col("first_a") < F.col("first_b")) & (F.col("guest_a") + F.col("guest_b") < 2))
             .where((100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * reach >= percent * (na + nb)))
-            .select(F.col("set_id_a").alias("early"), F.col("set_id_b").alias("late"))
+            .where((100 + percent) * unlike <= (100 - percent) * (na + nb))
+            .select(F.col("first_a").alias("early"), F.col("first_b").alias("late"), "s1", "s2")
             .distinct()
         )
 
+    ids = ["s1", "s2"]
     later, open_lines, fresh_hubs = None, buckets, buckets
     for _ in range(HUB_ROUNDS):
-        # One hub a bucket, its earliest class that is open and has not been a hub there.
-        hub = F.min(F.struct("first", "set_id", "n", "place")).alias("hub")
-        hubs = stage(fresh_hubs.groupBy("word").agg(hub).select("word", "hub.*"))
+        # One hub a bucket, its earliest class at home that is open and has not been a hub there.
+        hub = F.min(F.struct("first", "s1", "s2", "n", "place", "bits", "guest")).alias("hub")
+        hubs = stage(fresh_hubs.where("guest = 0").groupBy("code").agg(hub).select("code", "hub.*"))
         later = later_of(candidates(hubs, open_lines), later)
-        open_lines = stage(buckets.join(later, "set_id", "left_anti"))
-        fresh_hubs = fresh_hubs.join(later, "set_id", "left_anti").join(
-            hubs.select("word", "set_id"), ["word", "set_id"], "left_anti"
-        )
+        open_lines = stage(buckets.join(later, ids, "left_anti"))
+        fresh_hubs = fresh_hubs.join(later, ids, "left_anti").join(hubs.select("code", *ids), ["code", *ids], "left_anti")
     # What is still open meets every earlier class of its buckets.
     later = later_of(candidates(buckets, open_lines), later)
-    fate = classes.select("set_id", "n", "first").join(
-        later.withColumn("later", F.lit(True)), "set_id", "left"
-    )
-    gone = listed.select("where", "set_id", "n").join(fate, ["set_id", "n"]).where(
-        F.col("later").isNotNull() | (F.col("where") != F.col("first"))
-    )
+    # Classes of one line that is not a later one lose nothing.
+    fate = classes.select(*ids, "first", "copies").join(later.withColumn("later", F.lit(True)), ids, "left")
+    fate = fate.where("later OR copies > 1").select(*ids, "first", "later")
+    gone = listed.select("where", *ids).join(fate, ids).where(F.col("later").isNotNull() | (F.col("where") != F.col("first")))
     return gone.groupBy(F.xxhash64("where.key").alias("k1"), F.col("where.k2").alias("k2")).agg(
         F.collect_set("where.line").alias("removed")
     )
