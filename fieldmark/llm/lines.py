@@ -8,16 +8,16 @@ buckets of prefix words. A bucket is a word and a band of set sizes: a class is
 in the next one, so sets of unlike size do not meet. The length filter, the position filter and a parity filter (sets
 that differ in d words differ in at most d of 64 parities) drop nearly all pairs before the remaining lines are
 fetched and their Jaccard similarity is computed. Sets so small that one word more or less is too much have equal
-sets only, and no bucket. A class needs one earlier partner only: in each bucket all meet the earliest class first,
-then the earliest that is not similar to it, and only classes that are still open meet all earlier ones. So a group
-of thousands of near copies costs a few comparisons a member, and no removal is missed.
+sets only, and no bucket. A class needs one earlier partner only. In a bucket of up to ``HEAVY`` classes all meet; in a larger one all
+meet the earliest class first, then the earliest that is not similar to it, and only classes that are still open meet all
+earlier ones. So a group of thousands of near copies costs a few comparisons a member, and no removal is missed.
 
 A line goes if an equal or similar line comes earlier in the input, whether that one stays or not; so the
 outcome does not depend on the order of work. Lines of fewer than ``least_words`` distinct words are left alone.
 
-Only built-in functions run. Sets are told apart by 128 bits. Copies are combined before the shuffle and are one row after it, so a line that a
-third of all documents have is one class. Joins are keyed on one row per key on one side, so that Spark can
-split their large side. Staged tables go as soon as the numbers of the removed lines are written. Texts move once, to meet the numbers of their removed lines.
+Only built-in functions run. Sets are told apart by 128 bits. Copies are combined before the shuffle and are one
+row after it, so a line that a third of all documents have is one class. Staged tables go as soon as the numbers of
+the removed lines are written. Texts move once, to meet the numbers of their removed lines.
 
 Null texts stay null. Rows with one id and one text are one document: their lines stay or go alike.
 """
@@ -38,6 +38,8 @@ CELL_BITS = 16
 FILTER_BITS = 16
 MOST_FILTER_BITS = 23
 HUB_ROUNDS = 2
+#: Buckets of more classes than this meet a hub first; in others all meet at once.
+HEAVY = 32
 
 
 def words_of(line: Column) -> Column:
@@ -157,16 +159,17 @@ def _removed_lines(mine: Owner, docs: DataFrame, percent: int, least_words: int,
     # A class is at home in the bucket of its band and a guest in that of the next one.
     band = size_band(F.col("n"), percent)
     spread = classes.where("prefix IS NOT NULL")
-    placed = spread.select("s1", "s2", "n", "bits", "first", band.alias("band"), F.posexplode("prefix").alias("place", "word"))
+    placed = spread.select("n", "bits", "first", band.alias("band"), F.posexplode("prefix").alias("place", "word"))
     tokens = placed.select(
-        "s1", "s2", "n", "bits", "first", "place", "word", F.posexplode(F.array(F.col("band"), F.col("band") + 1)).alias("guest", "band")
-    ).select(F.xxhash64("word", "band").alias("code"), "s1", "s2", "n", "bits", "first", "place", "guest")
+        "n", "bits", "first", "place", "word", F.posexplode(F.array(F.col("band"), F.col("band") + 1)).alias("guest", "band")
+    ).select(F.xxhash64("word", "band").alias("code"), "n", "bits", "first", "place", "guest")
     # Keys are counted alone, combined before the shuffle; those of a single class go no further.
     shared = stage(
         tokens.groupBy("code").agg(F.count(F.lit(1)).alias("c"), F.min("guest").alias("guest"))
-        .where("c > 1 AND guest = 0").select("code")
+        .where("c > 1 AND guest = 0").select("code", "c")
     )
-    buckets = stage(_with_company(tokens, shared))
+    buckets = stage(_with_company(tokens, shared.select("code")))
+    large = shared.where(F.col("c") > HEAVY).select("code")
 
     def words_of_classes(pairs: DataFrame) -> DataFrame:
         """Words of the classes in ``pairs``, from the one line that stands for each."""
@@ -186,14 +189,14 @@ def _removed_lines(mine: Owner, docs: DataFrame, percent: int, least_words: int,
         both = F.size(F.array_intersect("words_a", "words_b"))
         either = F.size("words_a") + F.size("words_b") - both
         found = pairs.join(a, "early").join(b, "late").where(100 * both >= percent * either)
-        found = found.select("s1", "s2")
+        found = found.select(F.col("late").alias("first"))
         return stage((found if decided is None else found.unionByName(decided)).distinct())
 
     def candidates(early: DataFrame, late: DataFrame) -> DataFrame:
-        """Pairs that share a bucket and pass the length, the position and the parity filter; ids of the late one."""
+        """Pairs that share a bucket and pass the length, the position and the parity filter."""
         carried = ("n", "place", "first", "bits", "guest")
         left = early.select("code", *(F.col(c).alias(f"{c}_a") for c in carried))
-        right = late.select("code", "s1", "s2", *(F.col(c).alias(f"{c}_b") for c in carried))
+        right = late.select("code", *(F.col(c).alias(f"{c}_b") for c in carried))
         na, nb = F.col("n_a"), F.col("n_b")
         reach = F.least(na - F.col("place_a"), nb - F.col("place_b"))
         unlike = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
@@ -202,23 +205,29 @@ def _removed_lines(mine: Owner, docs: DataFrame, percent: int, least_words: int,
             .where((F.col("first_a") < F.col("first_b")) & (F.col("guest_a") + F.col("guest_b") < 2))
             .where((100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * reach >= percent * (na + nb)))
             .where((100 + percent) * unlike <= (100 - percent) * (na + nb))
-            .select(F.col("first_a").alias("early"), F.col("first_b").alias("late"), "s1", "s2")
+            .select(F.col("first_a").alias("early"), F.col("first_b").alias("late"))
             .distinct()
         )
 
-    ids = ["s1", "s2"]
-    later, open_lines, fresh_hubs = None, buckets, buckets
-    for _ in range(HUB_ROUNDS):
-        # One hub a bucket, its earliest class at home that is open and has not been a hub there.
-        hub = F.min(F.struct("first", "s1", "s2", "n", "place", "bits", "guest")).alias("hub")
+    # In small buckets all meet at once, in large ones first the hub: the earliest class at home there that is open
+    # and has not been a hub. What is still open after that meets every earlier class of its bucket.
+    small = buckets.join(large, "code", "left_anti")
+    heavy = stage(buckets.join(large, "code", "left_semi"))
+    later, open_lines, fresh_hubs = None, heavy, heavy
+    for turn in range(HUB_ROUNDS):
+        hub = F.min(F.struct("first", "n", "place", "bits", "guest")).alias("hub")
         hubs = stage(fresh_hubs.where("guest = 0").groupBy("code").agg(hub).select("code", "hub.*"))
-        later = later_of(candidates(hubs, open_lines), later)
-        open_lines = stage(buckets.join(later, ids, "left_anti"))
-        fresh_hubs = fresh_hubs.join(later, ids, "left_anti").join(hubs.select("code", *ids), ["code", *ids], "left_anti")
-    # What is still open meets every earlier class of its buckets.
-    later = later_of(candidates(buckets, open_lines), later)
+        pairs = candidates(hubs, open_lines)
+        later = later_of(pairs if turn else pairs.unionByName(candidates(small, small)).distinct(), later)
+        open_lines = stage(heavy.join(later, "first", "left_anti"))
+        fresh_hubs = fresh_hubs.join(later, "first", "left_anti").join(hubs.select("code", "first"), ["code", "first"], "left_anti")
+        if open_lines.isEmpty():
+            break
+    else:
+        later = later_of(candidates(heavy, open_lines), later)
     # Classes of one line that is not a later one lose nothing.
-    fate = classes.select(*ids, "first", "copies").join(later.withColumn("later", F.lit(True)), ids, "left")
+    ids = ["s1", "s2"]
+    fate = classes.select(*ids, "first", "copies").join(later.withColumn("later", F.lit(True)), "first", "left")
     fate = fate.where("later OR copies > 1").select(*ids, "first", "later")
     gone = listed.select("where", *ids).join(fate, ids).where(F.col("later").isNotNull() | (F.col("where") != F.col("first")))
     return gone.groupBy(F.xxhash64("where.key").alias("k1"), F.col("where.k2").alias("k2")).agg(
