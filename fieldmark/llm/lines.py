@@ -36,7 +36,7 @@ from fieldmark.sources.staging import Owner, stage
 CELL_BITS = 16
 #: Bits of the filters of keys, at least and at most, kept in 64-bit words. Beyond the bound a semi-join does their work.
 FILTER_BITS = 16
-MOST_FILTER_BITS = 23
+MOST_FILTER_BITS = 25
 HUB_ROUNDS = 2
 #: Buckets of more classes than this meet a hub first; in others all meet at once.
 HEAVY = 32
@@ -219,6 +219,8 @@ def _removed_lines(mine: Owner, docs: DataFrame, percent: int, least_words: int,
         hubs = stage(fresh_hubs.where("guest = 0").groupBy("code").agg(hub).select("code", "hub.*"))
         pairs = candidates(hubs, open_lines)
         later = later_of(pairs if turn else pairs.unionByName(candidates(small, small)).distinct(), later)
+        if not turn:
+            mine.done(buckets)
         open_lines = stage(heavy.join(later, "first", "left_anti"))
         fresh_hubs = fresh_hubs.join(later, "first", "left_anti").join(hubs.select("code", "first"), ["code", "first"], "left_anti")
         if open_lines.isEmpty():
