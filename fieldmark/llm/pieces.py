@@ -14,9 +14,9 @@ Characters without a piece become byte pieces, or the unknown piece in a model w
 from __future__ import annotations
 
 import functools
-import os
+import itertools
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from fieldmark.llm.bpe import PrefixEncoder, merged, merged_halves
+from fieldmark.llm.packing import gather
 
 MARK = "\u2581"
 #: Words that a worker remembers at most.
-REMEMBERED = 200_000
+REMEMBERED = 1_000_000
 
 
 class UnigramStates:
@@ -74,7 +75,13 @@ class BpeStates:
 
 
 def shared_length(a: str, b: str) -> int:
-    return len(os.path.commonprefix((a, b)))
+    least = min(len(a), len(b))
+    if a[:least] == b[:least]:
+        return least
+    at = 0
+    while a[at] == b[at]:
+        at += 1
+    return at
 
 
 class PieceModel:
@@ -102,10 +109,19 @@ class PieceModel:
         scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
         worst = min(scores.values(), default=0.0) - 10.0
         self.states = BpeStates(scores) if kind == "bpe" else UnigramStates(scores, worst)
-        self._known: dict[str, tuple[int, ...]] = {}
-
-    def _ids(self, tokens: Iterable[str]) -> tuple[int, ...]:
-        out: list[int] = []
+        self._forget()
+
+    def _forget(self) -> None:
+        """No word is remembered; the ids of word number i are ``sizes[i]`` values of ``pool`` from ``starts[i]`` on."""
+        self._row: dict[str, int] = {}
+        self.pool = np.empty(0, dtype=np.uint32)
+        self.starts = self.sizes = np.empty(0, dtype=np.int64)
+
+    def _ids(self, tokens: list[str]) -> list[int]:
+        out = list(map(self.ids.get, tokens))
+        if None not in out:
+            return out
+        out = []
         for token in tokens:
             if token in self.ids:
                 out.append(self.ids[token])
@@ -113,11 +129,11 @@ class PieceModel:
                 out.extend(self.bytes[b] for b in token.encode())
             else:
                 out.append(self.unknown)
-        return tuple(out)
+        return out
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of marked words, depth first through their trie."""
-        out: dict[str, tuple[int, ...]] = {}
+        out: dict[str, list[int]] = {}
         before, lasts, best = "", [0], [0]
         tied = isinstance(self.states, BpeStates)
         for word in sorted(set(words)):
@@ -131,27 +147,34 @@ class PieceModel:
             before = word
         return out
 
-    def recall(self, words: Sequence[str]) -> list[tuple[int, ...]]:
-        """Ids of marked words; a bounded number of words is kept between calls."""
-        missing = [word for word in words if word not in self._known]
-        if len(self._known) + len(missing) > REMEMBERED:
-            self._known.clear()
-            missing = list(words)
-        self._known |= self.encode_words(missing)
-        return [self._known[word] for word in words]
+    def rows(self, words: list[str]) -> np.ndarray:
+        """For different marked words their rows in ``starts`` and ``sizes``; a bounded number of words is kept."""
+        new = [word for word in words if word not in self._row]
+        if new:
+            if len(self._row) + len(new) > REMEMBERED:
+                self._forget()
+                new = words
+            coded = self.encode_words(new)
+            sizes = np.fromiter(map(len, coded.values()), dtype=np.int64, count=len(coded))
+            ids = np.fromiter(itertools.chain.from_iterable(coded.values()), dtype=np.uint32, count=int(sizes.sum()))
+            self._row.update(zip(coded, range(len(self._row), len(self._row) + len(coded)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.pool = np.concatenate([self.pool, ids])
+        return np.fromiter(map(self._row.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def decode_bytes(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[bytes, list[int], list[int]]:
+        """The bytes of all ids, and where each run of ids begins and ends in them; marks are spaces, the first one goes."""
+        lengths = self.byte_lengths[ids]
+        data = gather(self.byte_pool, self.byte_starts[ids], lengths).tobytes()
+        places = np.concatenate(([0], np.cumsum(lengths)))[bounds].tolist()
+        begins = [a + (a < b and data[a] == 32) for a, b in zip(places[:-1], places[1:], strict=True)]
+        return data, begins, places[1:]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """The texts of runs of ids: marks are spaces, the first one goes, byte pieces are read as UTF-8."""
-        lengths = self.byte_lengths[ids]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        from_pool = np.repeat(self.byte_starts[ids] - (ends - lengths), lengths) + np.arange(total)
-        data = self.byte_pool[from_pool].tobytes()
-        places = np.concatenate(([0], ends))[bounds].tolist()
-        return [
-            data[a + (data[a : a + 1] == b" " and a < b) : b].decode("utf-8", errors="replace")
-            for a, b in zip(places[:-1], places[1:], strict=True)
-        ]
+        data, begins, ends = self.decode_bytes(ids, bounds)
+        return [data[a:b].decode("utf-8", errors="replace") for a, b in zip(begins, ends, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -175,15 +198,10 @@ def _encode(model: PieceModel, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
     offsets = parts.offsets.to_numpy().astype(np.int64)
     flat = parts.flatten().dictionary_encode()
     index = flat.indices.to_numpy().astype(np.int64)
-    known = model.recall(flat.dictionary.to_pylist())
-    sizes = np.array([len(ids) for ids in known], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    pool = np.fromiter((i for ids in known for i in ids), dtype=np.uint32, count=int(sizes.sum()))
-    lengths = sizes[index]
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    ids = pool[np.repeat(starts[index] - (ends - lengths), lengths) + np.arange(total)]
-    bounds = np.concatenate(([0], ends))[offsets]
+    row = model.rows(flat.dictionary.to_pylist())[index]
+    lengths = model.sizes[row]
+    ids = gather(model.pool, model.starts[row], lengths)
+    bounds = np.concatenate(([0], np.cumsum(lengths)))[offsets]
     # Texts without words, and the rare ones that hold the character used for cutting.
     if not (empty.any() or zero.any()):
         return ids, bounds
@@ -216,7 +234,8 @@ def encode_text(model: PieceModel, text: str) -> list[int]:
     marked = MARK + text.replace(" ", MARK)
     cuts = [0, *(i for i in range(1, len(marked)) if marked[i] == MARK != marked[i - 1]), len(marked)]
     words = [marked[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [i for ids in model.recall(words) for i in ids]
+    coded = model.encode_words(words)
+    return [i for word in words for i in coded[word]]
 
 
 def _key_frame(docs: DataFrame, key: str, column: str) -> DataFrame:
@@ -283,8 +302,11 @@ def round_trip(docs: DataFrame, path: str, kind: str = "bpe", key: str = "doc_id
             ids, bounds = _encode(model, texts)
             pairs = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
             crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in pairs]
-            back = model.decode(ids, bounds)
-            same = [a == b for a, b in zip(back, texts.to_pylist(), strict=True)]
+            data, begins, ends = model.decode_bytes(ids, bounds)
+            same = [
+                data[a:b] == text.as_buffer().to_pybytes()
+                for a, b, text in zip(begins, ends, texts.cast(pa.binary()), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array(np.diff(bounds)), pa.array(crc, pa.int64()), pa.array(same)],
                 names=[field.name for field in schema],

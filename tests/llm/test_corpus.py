@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,45 @@ def test_pieces_equal_the_library_and_come_back(docs, nothing):
     assert pieces.encode(nothing, path).count() == 0
 
 
+def test_unigram_encoding_shares_prefixes_and_equals_a_plain_search(spark, monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = ["cat cats catalog catalogue dog cat", "the theme them then", "héllo ☃ cats", "", None, "a" * 300, "a  b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    model = pieces.PieceModel(path, "unigram")
+    scores, penalty = model.states.scores, model.states.penalty
+
+    def plain(word):
+        best = [(0.0, [])]
+        for end in range(1, len(word) + 1):
+            found = []
+            for begin in range(end):
+                score = scores.get(word[begin:end], penalty if end - begin == 1 else None)
+                if score is not None:
+                    found.append((best[begin][0] + score, best[begin][1] + [word[begin:end]]))
+            best.append(max(found, key=lambda f: f[0]))
+        return best[-1][1]
+
+    for row in pieces.encode(docs, path, kind="unigram").collect():
+        words = pieces.marked_words(pa.array([texts[row.doc_id]]))[0].as_py() if texts[row.doc_id] else []
+        assert row.ids == [i for word in words for i in model._ids(plain(word))]
+
+    # Depth first: a word works only on what the word before it does not share.
+    seen = []
+    extend = model.states.extend
+    monkeypatch.setattr(model.states, "extend", lambda word, lasts, best: (seen.append(len(lasts) - 1), extend(word, lasts, best)))
+    model.encode_words(["them", "then", "the", "cat"])
+    assert seen == [0, 0, 3, 3]
+
+
+def test_words_are_forgotten_at_the_bound(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 3)
+    model = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    for words in (["▁a", "▁bc"], ["▁a", "▁def", "▁gh"], ["▁bc", "▁ij", "▁kl", "▁mn"]):
+        rows = model.rows(words)
+        plain = model.encode_words(words)
+        assert [model.pool[model.starts[r] : model.starts[r] + model.sizes[r]].tolist() for r in rows] == [plain[w] for w in words]
+
+
 def test_unigram_states_equal_a_plain_search():
     scores = {"a": -1.0, "b": -1.5, "ab": -1.2, "aba": -2.9, "ba": -1.1}
     states, lasts, best = pieces.UnigramStates(scores, -20.0), [0], [0.0]
