@@ -5,13 +5,15 @@ table of counts over the whole corpus. Two sets that are similar enough share n-
 of both (the prefix; how many, ``least_shared`` tells), so only prefixes meet:
 
 1. count n-grams into a table of fixed size (the global order);
-2. count prefix n-grams; those with company go into a set filter of fixed size;
+2. count prefix n-grams, and note the bands of set sizes that they occur in; an n-gram and a band go into a set
+   filter of fixed size if another set of that band or a neighbouring one may have the n-gram too, since sets
+   of unlike size are not similar;
 3. write each document's set id, and for documents with company their prefix n-grams and their whole set.
 
 Documents with equal sets are one class. In each bucket of a prefix n-gram a hub is drawn; every other class
 is compared with the hub it meets most often, linked classes become one component, and only buckets that
 still hold several components go on. After ``HUB_ROUNDS`` draws, all pairs of classes of different components
-that share a bucket, and pass the length and position filters, are compared. So no link that could join two
+that share ``least_shared`` buckets, and pass the length and position filters, are compared. So no link that could join two
 components is left out, while a group of thousands of near copies costs a few comparisons a member.
 
 A comparison is a walk: the partners of one class, cut into chunks of bounded size, are stored as a prefix
@@ -24,6 +26,7 @@ Null and empty texts, and texts of white space, have an empty set and no link. A
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +41,7 @@ from fieldmark.llm import bloom
 from fieldmark.llm.components import connected
 from fieldmark.llm.frames import fresh
 from fieldmark.llm.rolling import CHUNK, mix, running_sums, windows
-from fieldmark.sources.staging import stage
+from fieldmark.sources.staging import Owner, stage
 
 #: Cells of the count table that orders n-grams, and cells in one row of it on its way to the driver.
 CELLS = 1 << 20
@@ -96,6 +99,41 @@ def least_shared(n: int) -> int:
     return max(1, n // 10)
 
 
+def size_band(n: int, percent: int) -> int:
+    """One of 32 bands of sizes, in a ring; sets that the length filter lets meet are in one band or in neighbours."""
+    # A hair wider than the filter, so that rounding cannot put two bands between such sets.
+    width = math.log(100 / percent) * (1 + 1e-9) or 1.0
+    return int(math.log(n) / width) & (BANDS - 1)
+
+
+#: Bands of set sizes, and one mark for each, which turns an n-gram into the key of (n-gram, band).
+BANDS = 32
+BAND_MARKS = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+
+
+def with_company(counted: DataFrame) -> DataFrame:
+    """Keys of (n-gram, band) that several sets of this band and its neighbours may share.
+
+    ``counted`` has gram, n (sets) and bands (a bit for each band that they are in). With more sets than bands
+    some band holds two; which one is not known, so all of them count.
+    """
+    bands = F.col("bands")
+    beside = (
+        F.shiftleft(bands, 1).bitwiseOR(F.shiftright(bands, 1))
+        .bitwiseOR(F.shiftleft(bands, BANDS - 1)).bitwiseOR(F.shiftright(bands, BANDS - 1))
+    )
+    met = F.when(F.col("n") > F.bit_count(bands), bands).otherwise(bands.bitwiseAND(beside))
+    marks = F.array(*(F.lit(int(m)) for m in BAND_MARKS.view(np.int64)))
+    # From the lowest bit to the highest one, or one more: the logarithm is rounded.
+    lowest = F.bit_count((F.col("met") - 1).bitwiseAND(F.bitwise_not("met")))
+    highest = F.least(F.floor(F.log2("met")).cast("int") + 1, F.lit(BANDS - 1))
+    rows = counted.where("n > 1").select("gram", met.alias("met")).where("met <> 0")
+    rows = rows.select("gram", "met", F.explode(F.sequence(lowest, highest)).alias("band"))
+    return rows.where(F.getbit("met", F.col("band")) == 1).select(
+        F.col("gram").bitwiseXOR(F.get(marks, F.col("band"))).alias("code")
+    )
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Elements, in the global order, among which a set has ``least_shared`` of those it shares.
 
@@ -158,7 +196,7 @@ def global_counts(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def write_sets(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """One row per document: key, uid, n, set_id, and for those with enough company hits, places and grams.
+    """One row per document: key, uid, n, s1 and s2 (128 bits of the set), and for those with enough company hits, places and grams.
 
     ``hits`` are the prefix n-grams that other documents may have too, ``places`` their places in the set's
     order; ``grams`` is the whole set in that order.
@@ -167,20 +205,29 @@ def write_sets(texts: DataFrame, size: int, percent: int) -> DataFrame:
     counts = context.broadcast(global_counts(texts, size))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts, bands, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            bits = np.repeat(np.array(bands, dtype=np.int64), [len(part) for part in parts])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(bits)], names=["gram", "band"])
+
         for _, grams in _texts(batches, size):
             if len(grams):
                 own = in_order(grams, counts.value)[: prefix_length(len(grams), percent)]
                 parts.append(own.view(np.int64))
+                bands.append(1 << size_band(len(grams), percent))
                 held += len(own)
             if held >= 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts))], names=["gram"])
-                parts, held = [], 0
+                yield flush()
+                parts, bands, held = [], [], 0
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts))], names=["gram"])
+            yield flush()
 
-    counted = texts.select("body").mapInArrow(prefixes, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    shared = bloom.build(counted.where("n > 1"), "gram")
+    counted = (
+        texts.select("body").mapInArrow(prefixes, "gram long, band long").groupBy("gram")
+        .agg(F.count(F.lit(1)).alias("n"), F.bit_or("band").alias("bands"))
+    )
+    shared = bloom.build(with_company(counted), "code")
     kind = texts.schema["key"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,29 +238,32 @@ def write_sets(texts: DataFrame, size: int, percent: int) -> DataFrame:
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(columns[0], key_type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
-                    pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.list_(pa.int64())),
-                    pa.array(columns[5], pa.list_(pa.int32())), pa.array(columns[6], pa.binary()),
+                    pa.array(columns[0], key_type), *(pa.array(columns[i], pa.int64()) for i in range(1, 5)),
+                    pa.array(columns[5], pa.list_(pa.int64())), pa.array(columns[6], pa.list_(pa.int32())),
+                    pa.array(columns[7], pa.binary()),
                 ],
-                names=["key", "uid", "n", "set_id", "hits", "places", "grams"],
+                names=["key", "uid", "n", "s1", "s2", "hits", "places", "grams"],
             )
 
         key_type = None
         for key, grams in _texts(batches, size):
             key_type = key_type or key.type
             n, hits, places, whole = len(grams), None, None, None
-            set_id = np.uint64(0)
+            ids = np.zeros(2, dtype=np.uint64)
             if n:
+                mixed = mix(grams)
                 with np.errstate(over="ignore"):
-                    set_id = mix(mix(grams).sum(dtype=np.uint64, keepdims=True) + np.uint64(n))[0]
+                    ids[0] = mixed.sum(dtype=np.uint64)
+                    ids[1] = mix(mixed ^ BAND_MARKS[0]).sum(dtype=np.uint64)
+                    ids = mix(ids + np.uint64(n))
                 ordered = in_order(grams, counts.value)
                 own = ordered[: prefix_length(n, percent)]
-                found = np.nonzero(bloom.holds(shared.value, own))[0]
+                found = np.nonzero(bloom.holds(shared.value, own ^ BAND_MARKS[size_band(n, percent)]))[0]
                 # A similar set has at least percent of this one's size.
                 if len(found) >= least_shared(-(-n * percent // 100)):
                     hits, whole = own[found].view(np.int64), ordered.tobytes()
                     places = found.astype(np.int32)
-            rows.append((key.as_py(), uid, n, int(set_id.view(np.int64)), hits, places, whole))
+            rows.append((key.as_py(), uid, n, *ids.view(np.int64).tolist(), hits, places, whole))
             uid += 1
             held += n + 50
             if held >= CHUNK_GRAMS:
@@ -222,7 +272,7 @@ def write_sets(texts: DataFrame, size: int, percent: int) -> DataFrame:
         if rows:
             yield flush()
 
-    schema = f"key {kind}, uid long, n long, set_id long, hits array<long>, places array<int>, grams binary"
+    schema = f"key {kind}, uid long, n long, s1 long, s2 long, hits array<long>, places array<int>, grams binary"
     return stage(texts.mapInArrow(sets, schema))
 
 
@@ -312,39 +362,43 @@ def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``key``, n_shingles and component_id, the smallest key that links lead to, of every row."""
+    with Owner() as mine:
+        return mine.hand_over(stage(_near_duplicates(docs, size, percent, key, text)))
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
     rows = write_sets(texts, size, percent)
     classes = stage(
-        rows.where("n > 0").groupBy("set_id").agg(
-            F.min("uid").alias("uid"), F.min("key").alias("rep"), F.min("n").alias("n"),
-            F.max((1000 * F.size("hits") / F.col("n")).cast("int")).alias("central"),
-        )
+        rows.where("n > 0").groupBy("s1", "s2").agg(F.min("uid").alias("uid"), F.min("key").alias("rep"))
     )
-    # One row, the node, stands for a class.
+    # One row, the node, stands for a class; only its n-grams are looked at.
     sets = rows.where("grams IS NOT NULL").select(F.col("uid").alias("node"), "grams")
-    prefix = (
-        rows.where("hits IS NOT NULL")
-        .select("set_id", F.explode(F.arrays_zip("hits", "places")).alias("hit"))
-        .groupBy(F.col("hit.hits").alias("gram"), "set_id")
-        .agg(F.min("hit.places").alias("place"))
-    )
-    several = prefix.groupBy("gram").agg(F.min("set_id").alias("s0"), F.max("set_id").alias("s1")).where("s0 <> s1")
-    of_set = classes.select("set_id", F.col("uid").alias("node"), "n", "central")
-    prefix = stage(
-        prefix.join(several.select("gram"), "gram").join(of_set, "set_id").select("gram", "node", "n", "place", "central")
+    nodes = stage(
+        rows.where("hits IS NOT NULL").select("uid", "n", "hits", "places")
+        .join(classes.select("uid"), "uid", "left_semi").withColumnRenamed("uid", "node")
     )
-    labels = stage(prefix.select("node").distinct().withColumn("component", F.col("node")))
-
-    def open_buckets() -> DataFrame:
-        labelled = prefix.join(labels, "node")
+    central = (1000 * F.size("hits") / F.col("n")).cast("int")
+    prefix = nodes.select("node", "n", central.alias("central"), F.explode(F.arrays_zip("hits", "places")).alias("hit"))
+    prefix = prefix.select(F.col("hit.hits").alias("gram"), "node", "n", F.col("hit.places").alias("place"), "central")
+    several = prefix.groupBy("gram").agg(F.min("node").alias("c0"), F.max("node").alias("c1")).where("c0 <> c1")
+    buckets = stage(prefix.join(several.select("gram"), "gram").withColumn("component", F.col("node")))
+    labels = stage(nodes.select("node", F.col("node").alias("component")))
+
+    def still_open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+        """Buckets that hold several components; one that does not never will again."""
+        labelled = buckets.drop("component").join(labels, "node")
         ends = labelled.groupBy("gram").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
         return stage(labelled.join(ends.where("c0 <> c1").select("gram"), "gram"))
 
     def alike(a: Column, b: Column) -> Column:
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
+    def least(a: Column, b: Column) -> Column:
+        """``least_shared`` of two sets."""
+        return F.greatest(F.lit(1), F.floor(F.least(a, b) / 10))
+
     for number in range(HUB_ROUNDS):
-        buckets = open_buckets()
         # A set whose prefix is met by others nearly everywhere is close to many, so it makes a good hub;
         # later draws are by chance.
         central = -F.col("central") if number == 0 else F.lit(0)
@@ -355,35 +409,41 @@ def near_duplicates(
         met = (
             buckets.join(hubs, "gram")
             .where((F.col("component") != F.col("hub.component")) & alike(F.col("n"), F.col("hub.n")))
-            .groupBy(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("hub.node").alias("a"))
+            .groupBy(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"))
             .agg(F.count(F.lit(1)).alias("shared"))
+            .where(F.col("shared") >= least(F.col("n_a"), F.col("n_b")))
         )
         # Each node is compared with the hub that it shares most with.
         pairs = met.groupBy("b", "n_b").agg(F.max(F.struct("shared", "a")).alias("best")).select("best.a", "b", "n_b")
         labels = merge(labels, compare(stage(pairs), sets, percent))
-    buckets = open_buckets()
+        buckets = still_open(buckets, labels)
     left, right = (
         buckets.select("gram", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "place", "component")))
         for side in "ab"
     )
-    # What two sets can share from their first common n-gram on bounds their overlap.
+    # What two sets can share from their first common n-gram on bounds their overlap; from the next ones on it
+    # is one less each time.
     reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    wanted = least(F.col("n_a"), F.col("n_b"))
+    bound = percent * (F.col("n_a") + F.col("n_b"))
     pairs = (
         left.join(right, "gram")
         .where((F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b")))
         .where(alike(F.col("n_a"), F.col("n_b")))
-        .where((100 + percent) * reach >= percent * (F.col("n_a") + F.col("n_b")))
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_b")
-        .distinct()
+        .where((100 + percent) * (reach + wanted - 1) >= bound)
+        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
+        .agg(F.count(F.lit(1)).alias("shared"), F.max(reach).alias("reach"))
+        .where((F.col("shared") >= wanted) & ((100 + percent) * F.col("reach") >= bound))
+        .select("a", "b", "n_b")
     )
     labels = merge(labels, compare(stage(pairs), sets, percent))
     of_node = labels.select(F.col("node").alias("uid"), "component")
     known = classes.join(of_node, "uid", "left").select(
-        "set_id", "rep", F.coalesce("component", "uid").alias("component")
+        "s1", "s2", "rep", F.coalesce("component", "uid").alias("component")
     )
-    least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = known.join(least, "component").select("set_id", "component_id")
-    out = rows.select("key", "n", "set_id").join(of_class, "set_id", "left")
+    smallest = known.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = known.join(smallest, "component").select("s1", "s2", "component_id")
+    out = rows.select("key", "n", "s1", "s2").join(of_class, ["s1", "s2"], "left")
     return out.select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"),

@@ -163,6 +163,25 @@ def test_token_counts_and_prefixes(docs, nothing):
     assert tokens.token_counts(nothing, path, 512).count() == 0
 
 
+@pytest.mark.parametrize("percent", [50, 75, 100])
+def test_bands_keep_sets_that_may_be_similar_together(percent):
+    rng = random.Random(5)
+    for _ in range(5000):
+        a = rng.randint(1, 30000)
+        b = rng.randint(-(-a * percent // 100), a)
+        apart = (jaccard.size_band(a, percent) - jaccard.size_band(b, percent)) % jaccard.BANDS
+        assert apart in (0, 1, jaccard.BANDS - 1)
+
+
+def test_company_is_sought_in_neighbouring_bands(spark):
+    seen = [("a", [3, 4]), ("b", [3, 5]), ("c", [0, 31]), ("d", [7, 7]), ("e", [2, 9, 9]), ("f", [6]), ("g", range(32))]
+    rows = [(gram, len(bands), sum(1 << b for b in set(bands))) for gram, bands in ((ord(g), list(b)) for g, b in seen)]
+    got = {r.code for r in jaccard.with_company(spark.createDataFrame(rows, "gram long, n long, bands long")).collect()}
+    want = {"a": [3, 4], "b": [], "c": [0, 31], "d": [7], "e": [2, 9], "f": [], "g": range(32)}
+    marks = jaccard.BAND_MARKS.view(np.int64)
+    assert got == {int(ord(gram) ^ marks[b]) for gram, bands in want.items() for b in bands}
+
+
 def test_pieces_equal_the_library_and_come_back(docs, nothing):
     import sentencepiece
 
