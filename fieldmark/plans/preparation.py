@@ -23,6 +23,35 @@ from fieldmark.sources.tables import (
 )
 
 
+#: Estimated bytes up to which the keys of images are sent to every executor.
+NARROW_BYTES = 16 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of the size of ``df``; of a Parquet table it follows the sizes of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def write_images(
+    images: DataFrame, keys: DataFrame, path: str, num_partitions: int | None = None, narrow: int = NARROW_BYTES
+) -> DataFrame:
+    """Write ``images`` with their ``keys`` (joined on path) in ``dataset=/split=`` directories; returns the rows written.
+
+    The bytes of an image move once. Keys of at most ``narrow`` estimated bytes are broadcast and only the sink deals
+    the rows out. Larger ones meet the images in a shuffle by path, whose tasks write what they hold.
+    """
+    by = ["dataset", "split"]
+    if estimated_bytes(keys) <= narrow:
+        joined = images.join(F.broadcast(keys), "path", "left")
+        write_partitioned(joined, path, by, num_partitions, spread="path")
+        return joined
+    if num_partitions is not None:
+        images, keys = (df.repartition(num_partitions, "path") for df in (images, keys))
+    joined = images.join(keys.hint("merge"), "path", "left")
+    joined.write.mode("overwrite").partitionBy(*by).parquet(path)
+    return joined
+
+
 def _absolute(path: str) -> str:
     return path if re.match(r"^[A-Za-z][A-Za-z0-9+.\-]*:/", path) else os.path.abspath(path)
 
@@ -44,9 +73,7 @@ def prepare_images(
 
     images = read_files(spark, f"{root}/images").withColumn("path", relative_path("path", root))
     keys = read_columns(spark, metadata_path, ["image_id", "path", "dataset", "split"])
-    write_partitioned(
-        images.join(keys, "path", "left"), images_path, ["dataset", "split"], num_partitions, spread="path"
-    )
+    write_images(images, keys, images_path, num_partitions)
     require_equal_counts(
         spark.read.parquet(metadata_path), spark.read.parquet(images_path), "metadata and images"
     )

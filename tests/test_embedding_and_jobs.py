@@ -11,6 +11,7 @@ from fieldmark.operators import embedding
 from fieldmark.operators.neighbors import nearest
 from fieldmark.operators.split import openset_split
 from fieldmark.sources.staging import FOLDER, staging_root
+from fieldmark.plans import preparation
 from fieldmark.plans.prediction import leaderboard, run_prediction, score_by_epoch, top_runs
 from fieldmark.plans.preparation import embed_images, prepare_images, project_embeddings
 from fieldmark.sources.tables import METADATA_COLUMNS
@@ -208,3 +209,23 @@ def test_split_then_vectors_keep_every_row(rows):
     known = rows.where("identity is not null").select("image_id", "identity")
     parts = openset_split(known)
     assert parts.join(rows.select("image_id", "embeddings"), "image_id").count() == known.count()
+
+
+@pytest.mark.parametrize("num_partitions", [None, 3])
+def test_bytes_of_images_move_once(spark, tmp_path, num_partitions):
+    rows = [(f"images/{i}.jpg", bytes([i]) * 50) for i in range(40)]
+    images = spark.createDataFrame(rows, "path string, content binary")
+    spark.createDataFrame(
+        [(str(i), f"images/{i}.jpg", f"d{i % 2}", "query" if i % 3 else "database") for i in range(38)],
+        "image_id string, path string, dataset string, split string",
+    ).write.parquet(f"{tmp_path}/keys")
+    keys = spark.read.parquet(f"{tmp_path}/keys")
+    found = {}
+    # Before the sink a broadcast moves no bytes and a shuffle moves them once.
+    for narrow, moves in ((preparation.NARROW_BYTES, 0), (0, 1)):
+        out = f"{tmp_path}/images-{narrow}"
+        joined = preparation.write_images(images, keys, out, num_partitions, narrow)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert sum("Exchange hashpartitioning" in line for line in plan.split("\n")) == 2 * moves
+        found[narrow] = {(r.path, bytes(r.content), r.image_id, r.dataset, r.split) for r in spark.read.parquet(out).collect()}
+    assert found[0] == found[preparation.NARROW_BYTES] and len(found[0]) == 40
