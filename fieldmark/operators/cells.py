@@ -22,6 +22,8 @@ from fieldmark.operators.grid import MAX_PARTITIONS
 MAX_CELLS = 1024
 #: Rows of a table's hash range, for picking an even sample by a filter.
 HASH_RANGE = 1 << 40
+#: Most rows of either side of a tile, whatever their width: a worker holds several copies of a tile.
+TILE_ROWS = 32_768
 #: Fewest query rows of a tile that is cut off only to keep the cluster busy.
 MIN_CHUNK_ROWS = 128
 
@@ -164,6 +166,9 @@ def on_tiles(left: DataFrame, right: DataFrame, tiles: int, tile, schema: T.Stru
         is_left = group["_left"].combine_chunks()
         rows = group.filter(is_left).select([f"l_{c}" for c in left_names]).rename_columns(left_names)
         block = group.filter(kernels.pc.invert(is_left)).select([f"r_{c}" for c in right_names]).rename_columns(right_names)
+        # What earlier tiles and batches left in the pool is not kept beside this one.
+        del group, is_left
+        pa.default_memory_pool().release_unused()
         return tile(rows, block)
 
     return (

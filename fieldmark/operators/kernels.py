@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 # Cells of one distance matrix held at a time.
 CELLS = 8_000_000
+# The same where several such matrices are alive at once, or one should stay in a cache.
+FEW_CELLS = 2_000_000
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -101,19 +103,30 @@ def _leading_copies(vectors: np.ndarray, codes: np.ndarray | None, k: int) -> np
 STRIP = 64
 
 
-def _upper_bound(rough: np.ndarray, k: int) -> np.ndarray:
-    """Per row, a value that at least ``k`` columns do not exceed.
+def _strip_minima(rough: np.ndarray, k: int) -> np.ndarray:
+    """Per row, minima over strips of ``STRIP`` columns; the columns themselves where these are few.
 
-    The k-th smallest minimum over strips of columns is such a value, nearly as
-    low as the k-th smallest column and far cheaper to find.
+    Strip ``j`` of ``n`` holds the columns ``j``, ``j + n``, ``j + 2 * n`` and so on. Columns behind the last
+    whole multiple are in none.
     """
-    rows, n = rough.shape
-    if k == 1:
-        return rough.min(axis=1)
-    whole = n // STRIP * STRIP
-    if whole // STRIP >= 4 * k:
-        rough = rough[:, :whole].reshape(rows, -1, STRIP).min(axis=2)
-    return np.partition(rough, k - 1, axis=1)[:, k - 1]
+    rows, columns = rough.shape
+    strips = columns // STRIP
+    if strips < 4 * k:
+        return rough
+    return rough[:, : strips * STRIP].reshape(rows, STRIP, strips).min(axis=1)
+
+
+def _within(rough: np.ndarray, minima: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the cells up to each row's ``limit``; only strips with such a cell are looked at."""
+    row, strip = np.nonzero(minima <= limit[:, None])
+    if minima is rough:
+        return row, strip
+    strips = minima.shape[1]
+    column = strip[:, None] + strips * np.arange(STRIP)
+    at, inside = np.nonzero(rough[row[:, None], column] <= limit[row, None])
+    rest = strips * STRIP
+    last_row, last = np.nonzero(rough[:, rest:] <= limit[:, None])
+    return np.concatenate([row[at], last_row]), np.concatenate([column[at, inside], last + rest])
 
 
 def nearest_in_tile(
@@ -149,7 +162,7 @@ def nearest_in_tile(
     farthest = float(np.sqrt(pool_norm.max()))
     doubled = np.ascontiguousarray(-2 * fast_pool.T)
     found = []
-    step = max(1, CELLS // len(pool))
+    step = max(1, FEW_CELLS // len(pool))
     for start in range(0, len(queries), step):
         part = queries[start : start + step]
         fast = part.astype(kind)
@@ -162,19 +175,22 @@ def nearest_in_tile(
         if k < len(pool):
             length = np.linalg.norm(fast, axis=1).astype(np.float64)
             slack = 4 * unit * (part.shape[1] + 16) * (length + farthest) ** 2
-            limit = _upper_bound(rough, k).astype(np.float64) + slack
+            # At least k columns do not exceed the k-th smallest minimum, which is nearly as low as the k-th of them.
+            minima = _strip_minima(rough, k)
+            limit = np.partition(minima, k - 1, axis=1)[:, k - 1].astype(np.float64) + slack
             limit = np.nextafter(limit.astype(kind), kind(np.inf))
             limit = np.minimum(limit, np.finfo(kind).max)
         else:
+            minima = rough
             limit = np.full(len(part), np.finfo(kind).max)
-        row, col = np.nonzero(rough <= limit[:, None])
+        row, col = _within(rough, minima, limit)
         found.append(_best(part, pool, keep, row, col, k, start))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _best(part, pool, keep, row, col, k, start):
     distance = np.empty(len(row))
-    step = max(1, CELLS // part.shape[1])
+    step = max(1, FEW_CELLS // part.shape[1])
     for s in range(0, len(row), step):
         e = s + step
         distance[s:e] = exact_squared(part[row[s:e]], pool[col[s:e]])
@@ -215,7 +231,7 @@ class Pivots:
         """The cell of each row and its distance to the pivot."""
         cell = np.empty(len(rows), dtype=np.int32)
         distance = np.empty(len(rows))
-        step = max(1, CELLS // len(self.vectors))
+        step = max(1, FEW_CELLS // len(self.vectors))
         for s in range(0, len(rows), step):
             found, _ = self.distances(rows[s : s + step])
             cell[s : s + step] = found.argmin(axis=1)
@@ -230,7 +246,7 @@ class Pivots:
         """
         out = np.empty((len(rows), len(self.vectors)), dtype=bool)
         between, _ = self.distances(self.vectors)
-        step = max(1, CELLS // len(self.vectors))
+        step = max(1, FEW_CELLS // len(self.vectors))
         for s in range(0, len(rows), step):
             to, off = self.distances(rows[s : s + step])
             home = cell[s : s + step]
@@ -302,7 +318,7 @@ def reaches(q: pa.Table, found, pivots: Pivots, k: int, wanted, vector: str, lab
         bound[row[full]] = np.sqrt(distance[full])
         pool = with_role(pivots.roles, one.gallery, len(pivots.vectors))
         if len(pool) >= k:
-            step = max(1, CELLS // len(pool))
+            step = max(1, FEW_CELLS // len(pool))
             for s in range(0, len(rows), step):
                 some = rows[s : s + step]
                 to, off = pivots.distances(asked[some])

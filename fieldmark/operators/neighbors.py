@@ -130,7 +130,7 @@ def nearest_lists(
     width = vector_width(gallery, vector)
     gallery_rows = gallery.count() if gallery_rows is None else gallery_rows
     query_rows = gallery_rows if itself else queries.count() if query_rows is None else query_rows
-    block_rows = block_rows_of(width, block_bytes)
+    block_rows = min(cells.TILE_ROWS, block_rows_of(width, block_bytes))
     slots = gallery.sparkSession.sparkContext.defaultParallelism
     asked, answers = asking(queries), answering(gallery)
     wide = min(cells.MAX_CELLS, -(-gallery_rows // block_rows))
@@ -190,9 +190,10 @@ def nearest_lists(
         needed = pivots.needed(kernels.matrix(q[vector]), cell, reach)
         # The own cell is done unless it has other blocks.
         needed[np.arange(len(cell)), cell] = many_blocks[cell]
-        at, to = np.nonzero(needed)
+        step = max(1, kernels.FEW_CELLS // needed.shape[1])
+        to = [np.nonzero(needed[s : s + step])[1].astype(np.int32) for s in range(0, len(needed), step)]
         ends = np.concatenate([[0], np.cumsum(needed.sum(axis=1))])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(to, pa.int32()))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(to)))
         order = kernels.pc.sort_indices(rows["_row"])
         rows = rows.take(order)
         counts = np.bincount(rows["_row"].to_numpy(), minlength=q.num_rows)

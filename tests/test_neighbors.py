@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -234,3 +236,40 @@ def test_row_medians_use_prefixes(spark):
     n = spark.createDataFrame([(1, 1, 1.0), (1, 2, 2.0), (1, 3, 9.0)], "image_id long, rank int, distance double")
     got = {r["num_neighbors"]: r["distance"] for r in row_medians(n, [1, 2, 3]).collect()}
     assert got == {1: 1.0, 2: 1.5, 3: 2.0}
+
+
+def peak_bytes(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("k", [1, 2, 9])
+def test_tile_holds_few_cells_at_a_time_and_finds_the_same(k):
+    rng = np.random.default_rng(3)
+    # Whole numbers make many ties; the count is no multiple of the strip.
+    gallery = rng.integers(-2, 3, (20_011, 6)).astype("f4")
+    queries = rng.integers(-2, 3, (1_000, 6)).astype("f4")
+    codes = rng.integers(0, 5, len(gallery)), rng.integers(0, 6, len(queries))
+    for own, others in ((None, None), (codes[1], codes[0])):
+        row, place, rank, distance = kernels.nearest_in_tile(queries, gallery, k, own, others)
+        for i in range(0, len(queries), 97):
+            gaps = ((gallery - queries[i]) ** 2).sum(axis=1).astype("f8")
+            allowed = np.arange(len(gallery)) if own is None else np.flatnonzero(others != own[i])
+            best = allowed[np.lexsort((allowed, gaps[allowed]))][:k]
+            mine = row == i
+            assert place[mine].tolist() == best.tolist() and distance[mine].tolist() == gaps[best].tolist()
+            assert rank[mine].tolist() == list(range(1, k + 1))
+    wide = rng.normal(size=(32_768, 8)).astype("f4")
+    assert peak_bytes(lambda: kernels.nearest_in_tile(wide[:2_000], wide, k)) < 32 << 20
+
+
+def test_tiles_are_cut_by_rows_too():
+    # Rows of a tile are bounded below what narrow vectors would allow by their bytes.
+    assert cells.TILE_ROWS < grid.block_rows_of(64)
+    pivots = kernels.Pivots(np.eye(1_000), None, None, np.zeros(1_000), np.ones(1_000))
+    rows = np.zeros((20_000, 1_000), "f4")
+    assert peak_bytes(lambda: pivots.nearest(rows[:20_000])) < 240 << 20
