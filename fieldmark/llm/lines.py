@@ -1,23 +1,24 @@
 """Removal of repeated lines by an exact set-similarity join.
 
-A line is the set of its words. Words are ordered by rarity over the whole corpus: they are counted in cells, and
-a word is numbered by the rank of its cell and its own fingerprint, so that sorting numbers sorts by rarity without
-a join. Lines with equal sets are one class, known by its first line in the order of (id, line number). Two
-classes that are similar enough share a word within the rare ends (prefixes) of both, so classes meet in the
-buckets of prefix words. A bucket is a word and a band of set sizes: a class is at home in its own band and a guest
-in the next one, so sets of unlike size do not meet. The length filter, the position filter and a parity filter (sets
-that differ in d words differ in at most d of 64 parities) drop nearly all pairs before the remaining lines are
-fetched and their Jaccard similarity is computed. Sets so small that one word more or less is too much have equal
-sets only, and no bucket. A class needs one earlier partner only. In a bucket of up to ``HEAVY`` classes all meet; in a larger one all
-meet the earliest class first, then the earliest that is not similar to it, and only classes that are still open meet all
-earlier ones. So a group of thousands of near copies costs a few comparisons a member, and no removal is missed.
+A line is the set of its words, as sorted fingerprints. Lines with equal sets are one class, known by its first line
+in the order of (id, line number). Sets that are similar enough differ in few words, d at most. So the range of
+fingerprints is cut into more than d parts, and two such sets agree in all words of at least one part: classes meet
+in the buckets of equal parts. How many parts there are depends on the size of the larger set, on one of a few levels;
+a class is at home on the level of its own size and a guest on that of the largest set that the length filter lets it
+meet, where that is another one. Parts hold several words, frequent or not, so few classes meet that are not similar.
+The length filter and, for classes with company, a parity filter (sets that differ in d words differ in at most d of
+64 parities) drop most of these before Jaccard similarities are computed. Sets so small that one word more or less is
+too much have equal sets only, and no bucket. A class needs one earlier partner only. In a bucket of up to ``HEAVY``
+classes all meet; in a larger one all meet the earliest class first, then the earliest that is not similar to it, and
+only classes that are still open meet all earlier ones. So a group of thousands of near copies costs a few comparisons
+a member, and no removal is missed.
 
 A line goes if an equal or similar line comes earlier in the input, whether that one stays or not; so the
 outcome does not depend on the order of work. Lines of fewer than ``least_words`` distinct words are left alone.
 
 Only built-in functions run. Sets are told apart by 128 bits. Copies are combined before the shuffle and are one
-row after it, so a line that a third of all documents have is one class. Staged tables go as soon as the numbers of
-the removed lines are written. Texts move once, to meet the numbers of their removed lines.
+row after it, so a line that a third of all documents have is one class. Words are hashed in one pass; a second one
+reads only lines of classes with company. Texts move once, and only those that lose a line.
 
 Null texts stay null. Rows with one id and one text are one document: their lines stay or go alike.
 """
@@ -32,19 +33,26 @@ from pyspark.sql import functions as F
 from fieldmark.llm.frames import SPACE_CLASS, SPACES, fresh
 from fieldmark.sources.staging import Owner, stage
 
-#: Cells in which words are counted; a power of two.
-CELL_BITS = 16
 #: Bits of the filters of keys, at least and at most, kept in 64-bit words. Beyond the bound a semi-join does their work.
 FILTER_BITS = 16
 MOST_FILTER_BITS = 25
+#: Bits for a key.
+FILTER_SHARE = 16
 HUB_ROUNDS = 2
 #: Buckets of more classes than this meet a hub first; in others all meet at once.
 HEAVY = 32
 
 
 def words_of(line: Column) -> Column:
-    """Words of a line that has one."""
-    return F.split(F.btrim(line, F.lit(SPACES)), f"{SPACE_CLASS}+")
+    """Fingerprints of the distinct words of a line, sorted; they are odd numbers.
+
+    White space of other kinds is made a space first, as a split at a single character needs no pattern.
+    """
+    for space in SPACES.strip(" \n"):
+        line = F.replace(line, F.lit(space), F.lit(" "))
+    odd = lambda word: F.xxhash64(word).bitwiseOR(F.lit(1))
+    # Neighbouring spaces have the empty word between them.
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split(line, " "), odd)), odd(F.lit(""))))
 
 
 def _literal(values: list[int], kind: str) -> Column:
@@ -52,39 +60,6 @@ def _literal(values: list[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def cell_ranks(docs: DataFrame, text: str) -> list[int]:
-    """For each cell its rank by the number of words in it, rarest first. The size is fixed."""
-    cell = F.xxhash64("word").bitwiseAND(F.lit((1 << CELL_BITS) - 1))
-    words = docs.select(F.explode(F.split(F.col(f"`{text}`"), f"{SPACE_CLASS}+")).alias("word"))
-    counted = dict.fromkeys(range(1 << CELL_BITS), 0)
-    for row in words.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
-        counted[row["cell"]] = row["n"]
-    ranks = [0] * len(counted)
-    for rank, at in enumerate(sorted(counted, key=lambda c: (counted[c], c))):
-        ranks[at] = rank
-    return ranks
-
-
-def numbered_words(codes: str, ranks: Column) -> Column:
-    """Words as numbers: the rank of a word's cell is in front, the word's fingerprint behind it."""
-    return F.transform(
-        codes,
-        lambda code: F.shiftleft(
-            F.get(ranks, code.bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")), 63 - CELL_BITS
-        ).bitwiseOR(F.shiftrightunsigned(code, CELL_BITS + 1)),
-    )
-
-
-def with_words(lines: DataFrame, content: str, ranks: Column, *carried: str) -> DataFrame:
-    """``carried`` and ``words``, the distinct words of a line as numbers, rarest first.
-
-    There is no filter on the number of words here: it would be pushed down and hash every word once more.
-    """
-    codes = F.transform(words_of(F.col(content)), lambda word: F.xxhash64(word))
-    df = lines.select(*carried, codes.alias("codes"))
-    return df.select(*carried, F.sort_array(F.array_distinct(numbered_words("codes", ranks))).alias("words"))
-
-
 def _in_filter(table: Column, code: Column, bits: int) -> Column:
     place = code.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     word = F.get(table, F.shiftright(place, 6))
@@ -109,17 +84,44 @@ def parity(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda bits, word: bits.bitwiseXOR(bit(word)))
 
 
-def size_band(n: Column, percent: int) -> Column:
-    """Bands of set sizes; sets that the length filter lets meet are in one band or in neighbouring ones."""
-    # A hair wider than the filter, so that rounding cannot put two bands between such sets.
-    width = math.log(100 / percent) * (1 + 1e-9) or 1.0
-    return F.floor(F.log(n) / F.lit(width)).cast("int")
+def parts_for(n: Column, percent: int) -> Column:
+    """Into how many parts sets of at most ``n`` words are cut: more than the words in which similar ones differ.
+
+    There are few such numbers, 1, 2, 3, 4, 6, 8, 12, 16 and so on. Between neighbours lies at least the ratio of sizes
+    that the length filter allows, so a set meets those on its own level and the next.
+    """
+    differ = F.floor(2 * n.cast("long") * (100 - percent) / (100 + percent))
+    bits = F.length(F.bin(differ))
+    one = F.lit(1).cast("long")
+    if percent >= 75:
+        low = F.greatest(bits - 2, F.lit(0))
+        return F.call_function("shiftleft", F.call_function("shiftright", differ, low) + 1, low)
+    step = math.ceil(math.log2(100 / percent))
+    return F.when(differ == 0, one).otherwise(F.call_function("shiftleft", one, F.ceil(bits / step).cast("int") * step))
+
+
+def with_parts(sets: DataFrame, words: str, parts: str, out: str) -> DataFrame:
+    """``sets`` with ``out``: the fingerprint of each of the ``parts`` of the range of words; null for a single part."""
+    merged, cuts = fresh(sets, "merged", "cuts")
+    half = F.expr(f"{(1 << 63) - 1} div {parts}")
+    # Limits are even, words are odd, so limits are known among them.
+    limits = F.transform(F.sequence(F.lit(1).cast("long"), F.col(parts) - 1), lambda i: (F.lit(-(1 << 62)) + i * half) * 2)
+    several = F.col(parts) > 1
+    df = sets.withColumn(merged, F.when(several, F.sort_array(F.concat(words, limits))))
+    at = F.array_compact(
+        F.transform(merged, lambda value, i: F.when(value.bitwiseAND(F.lit(1)) == 0, i + 1))
+    )
+    df = df.withColumn(cuts, F.concat(F.array(F.lit(0)), at, F.array(F.size(merged) + 1)))
+    begin, end = lambda i: F.get(cuts, i), lambda i: F.get(cuts, i + 1)
+    part = lambda i: F.xxhash64(parts, i, F.slice(merged, begin(i) + 1, end(i) - begin(i) - 1))
+    hashes = F.transform(F.sequence(F.lit(0), F.col(parts).cast("int") - 1), part)
+    return df.withColumn(out, F.when(several, hashes)).drop(merged, cuts)
 
 
 def _with_company(tokens: DataFrame, keys: DataFrame) -> DataFrame:
     """``tokens`` whose key is in ``keys`` (distinct), and few others where a filter of bounded size can tell."""
     wanted = keys.count()
-    bits = max(FILTER_BITS, (8 * wanted).bit_length())
+    bits = max(FILTER_BITS, (FILTER_SHARE * wanted).bit_length())
     if bits > MOST_FILTER_BITS:
         return tokens.join(keys, "code", "left_semi")
     return tokens.where(_in_filter(_filter_of(keys, bits), F.col("code"), bits))
@@ -137,75 +139,81 @@ def _removed_lines(mine: Owner, docs: DataFrame, percent: int, least_words: int,
     slim = docs.where(F.col(f"`{text}`").isNotNull()).select(
         F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("k2"), F.col(f"`{text}`").alias("body")
     )
-    ranks = _literal(cell_ranks(slim, "body"), "bigint")
-    lines = slim.select("key", "k2", F.posexplode(F.split("body", "\n")).alias("line", "content"))
-    lines = lines.where(F.btrim("content", F.lit(SPACES)) != "")
+
+    def lines_of(docs: DataFrame) -> DataFrame:
+        return docs.select("key", "k2", F.posexplode(F.split("body", "\n")).alias("line", "content"))
+
     where = F.struct("key", "k2", "line")
-    sets = with_words(lines, "content", ranks, "key", "k2", "line")
+    ids = ["s1", "s2"]
+    # There is no filter on the number of words here: it would be pushed down and hash every word once more.
+    sets = lines_of(slim).select(where.alias("where"), words_of(F.col("content")).alias("words"))
     n = F.size("words")
-    prefix = F.slice("words", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
-    with_partners = 100 * n >= percent * (n + 1)
+    sets = sets.select("where", "words", n.alias("n"), F.when(100 * n >= percent * (n + 1), n).alias("joins"))
+    widest = F.floor(F.col("joins") * 100 / percent)
+    sets = sets.withColumns({"own": parts_for(F.col("joins"), percent), "next": parts_for(widest, percent)})
+    sets = sets.withColumn("next", F.when(F.col("next") > F.col("own"), F.col("next")))
+    sets = with_parts(with_parts(sets, "words", "own", "home"), "words", "next", "away")
     listed = stage(
         sets.select(
-            where.alias("where"),
-            F.when(n >= least_words, F.xxhash64("words")).alias("s1"), F.xxhash64(F.lit(1), "words").alias("s2"),
-            n.alias("n"), F.when(with_partners, parity(F.col("words"))).alias("bits"), F.when(with_partners, prefix).alias("prefix"),
+            "where", F.when(F.col("n") >= max(1, least_words), F.xxhash64("words")).alias("s1"),
+            F.xxhash64(F.lit(1), "words").alias("s2"), "n", "home", "away",
         )
     ).where("s1 IS NOT NULL")
     classes = stage(
-        listed.groupBy("s1", "s2", "n", "bits", "prefix").agg(F.min("where").alias("first"), F.count(F.lit(1)).alias("copies"))
+        listed.groupBy(*ids, "n", "home", "away").agg(F.min("where").alias("first"), F.count(F.lit(1)).alias("copies"))
     )
 
-    # A class is at home in the bucket of its band and a guest in that of the next one.
-    band = size_band(F.col("n"), percent)
-    spread = classes.where("prefix IS NOT NULL")
-    placed = spread.select("n", "bits", "first", band.alias("band"), F.posexplode("prefix").alias("place", "word"))
-    tokens = placed.select(
-        "n", "bits", "first", "place", "word", F.posexplode(F.array(F.col("band"), F.col("band") + 1)).alias("guest", "band")
-    ).select(F.xxhash64("word", "band").alias("code"), "n", "bits", "first", "place", "guest")
+    # A class is at home in the buckets of its own level and a guest in those of the next one.
+    none = F.array().cast("array<bigint>")
+    homes = F.coalesce(F.size("home"), F.lit(0))
+    placed = classes.select(
+        *ids, "n", "first", homes.alias("homes"), F.posexplode(F.concat(F.coalesce("home", none), F.coalesce("away", none))).alias("at", "code")
+    )
+    tokens = placed.select("code", "n", "first", *ids, (F.col("at") >= F.col("homes")).cast("int").alias("guest"))
     # Keys are counted alone, combined before the shuffle; those of a single class go no further.
     shared = stage(
         tokens.groupBy("code").agg(F.count(F.lit(1)).alias("c"), F.min("guest").alias("guest"))
         .where("c > 1 AND guest = 0").select("code", "c")
     )
-    buckets = stage(_with_company(tokens, shared.select("code")))
+    met = stage(_with_company(tokens, shared.select("code")).join(shared.select("code"), "code", "left_semi"))
+    # The words of classes with company, from the one line that stands for each.
+    wanted = stage(met.select("first").distinct())
+    of_docs = _with_company(
+        slim.withColumn("code", F.xxhash64("key", "k2")), wanted.select(F.xxhash64("first.key", "first.k2").alias("code")).distinct()
+    )
+    chosen = _with_company(
+        lines_of(of_docs).select(F.xxhash64(where).alias("code"), where.alias("first"), "content"),
+        wanted.select(F.xxhash64("first").alias("code")),
+    )
+    # Rows that are the same document twice give the same words.
+    words = stage(chosen.select("first", words_of(F.col("content")).alias("words")).dropDuplicates(["first"]))
+    buckets = stage(met.join(words.select("first", parity(F.col("words")).alias("bits")), "first"))
+    mine.done(met)
     large = shared.where(F.col("c") > HEAVY).select("code")
 
-    def words_of_classes(pairs: DataFrame) -> DataFrame:
-        """Words of the classes in ``pairs``, from the one line that stands for each."""
-        wanted = pairs.select(F.explode(F.array("early", "late")).alias("first")).distinct()
-        wanted = stage(wanted.withColumn("code", F.xxhash64("first")))
-        chosen = _with_company(lines.select(F.xxhash64(where).alias("code"), where.alias("first"), "content"), wanted.select("code").distinct())
-        # Rows that are the same document twice give the same words.
-        words = with_words(chosen, "content", ranks, "first").dropDuplicates(["first"])
-        return stage(words.join(wanted.select("first"), "first", "left_semi"))
-
     def later_of(pairs: DataFrame, decided: DataFrame | None) -> DataFrame:
         """``decided`` and those ``late`` classes of ``pairs`` that are similar to their ``early`` one."""
-        pairs = stage(pairs)
-        words = words_of_classes(pairs)
         a = words.select(F.col("first").alias("early"), F.col("words").alias("words_a"))
         b = words.select(F.col("first").alias("late"), F.col("words").alias("words_b"))
         both = F.size(F.array_intersect("words_a", "words_b"))
         either = F.size("words_a") + F.size("words_b") - both
         found = pairs.join(a, "early").join(b, "late").where(100 * both >= percent * either)
-        found = found.select(F.col("late").alias("first"))
+        found = found.select(F.col("late").alias("first"), *ids)
         return stage((found if decided is None else found.unionByName(decided)).distinct())
 
     def candidates(early: DataFrame, late: DataFrame) -> DataFrame:
-        """Pairs that share a bucket and pass the length, the position and the parity filter."""
-        carried = ("n", "place", "first", "bits", "guest")
+        """Pairs that share a bucket and pass the length and the parity filter."""
+        carried = ("n", "first", "bits", "guest")
         left = early.select("code", *(F.col(c).alias(f"{c}_a") for c in carried))
-        right = late.select("code", *(F.col(c).alias(f"{c}_b") for c in carried))
+        right = late.select("code", *ids, *(F.col(c).alias(f"{c}_b") for c in carried))
         na, nb = F.col("n_a"), F.col("n_b")
-        reach = F.least(na - F.col("place_a"), nb - F.col("place_b"))
         unlike = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
         return (
             left.join(right, "code")
             .where((F.col("first_a") < F.col("first_b")) & (F.col("guest_a") + F.col("guest_b") < 2))
-            .where((100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * reach >= percent * (na + nb)))
+            .where(100 * F.least(na, nb) >= percent * F.greatest(na, nb))
             .where((100 + percent) * unlike <= (100 - percent) * (na + nb))
-            .select(F.col("first_a").alias("early"), F.col("first_b").alias("late"))
+            .select(F.col("first_a").alias("early"), F.col("first_b").alias("late"), *ids)
             .distinct()
         )
 
@@ -215,23 +223,29 @@ def _removed_lines(mine: Owner, docs: DataFrame, percent: int, least_words: int,
     heavy = stage(buckets.join(large, "code", "left_semi"))
     later, open_lines, fresh_hubs = None, heavy, heavy
     for turn in range(HUB_ROUNDS):
-        hub = F.min(F.struct("first", "n", "place", "bits", "guest")).alias("hub")
+        hub = F.min(F.struct("first", "n", "bits", "guest")).alias("hub")
         hubs = stage(fresh_hubs.where("guest = 0").groupBy("code").agg(hub).select("code", "hub.*"))
         pairs = candidates(hubs, open_lines)
         later = later_of(pairs if turn else pairs.unionByName(candidates(small, small)).distinct(), later)
         if not turn:
             mine.done(buckets)
-        open_lines = stage(heavy.join(later, "first", "left_anti"))
-        fresh_hubs = fresh_hubs.join(later, "first", "left_anti").join(hubs.select("code", "first"), ["code", "first"], "left_anti")
+        gone = later.select("first")
+        open_lines = stage(heavy.join(gone, "first", "left_anti"))
+        fresh_hubs = fresh_hubs.join(gone, "first", "left_anti").join(hubs.select("code", "first"), ["code", "first"], "left_anti")
         if open_lines.isEmpty():
             break
     else:
         later = later_of(candidates(heavy, open_lines), later)
     # Classes of one line that is not a later one lose nothing.
-    ids = ["s1", "s2"]
-    fate = classes.select(*ids, "first", "copies").join(later.withColumn("later", F.lit(True)), "first", "left")
-    fate = fate.where("later OR copies > 1").select(*ids, "first", "later")
-    gone = listed.select("where", *ids).join(fate, ids).where(F.col("later").isNotNull() | (F.col("where") != F.col("first")))
+    several = classes.where("copies > 1").select(*ids, "first", F.lit(False).alias("later"))
+    fate = stage(
+        several.unionByName(later.select(*ids, "first", F.lit(True).alias("later")))
+        .groupBy(*ids).agg(F.min("first").alias("first"), F.max("later").alias("later"))
+    )
+    marked = _with_company(
+        listed.select("where", *ids, F.xxhash64(*ids).alias("code")), fate.select(F.xxhash64(*ids).alias("code")).distinct()
+    )
+    gone = marked.drop("code").join(fate, ids).where(F.col("later") | (F.col("where") != F.col("first")))
     return gone.groupBy(F.xxhash64("where.key").alias("k1"), F.col("where.k2").alias("k2")).agg(
         F.collect_set("where.line").alias("removed")
     )

@@ -133,6 +133,23 @@ def test_lines_are_compared_as_word_sets(spark):
     assert want[2] == [0, 1, 2] and want[3] == [0, 1]  # one word of twenty, the order, two words fewer
 
 
+def test_similar_lines_agree_in_a_part(spark):
+    """Sets share a level, or the smaller one's next level is the larger one's; and equal parts have equal hashes."""
+    sizes = spark.range(1, 3000).select(F.col("id").alias("n"))
+    for percent in (90, 75, 60, 40):
+        widest = F.floor(F.col("n") * 100 / percent)
+        found = sizes.select("n", lines.parts_for(F.col("n"), percent), lines.parts_for(widest, percent)).collect()
+        own = {n: at for n, at, _ in found}
+        for n, home, away in found:
+            assert (100 + percent) * home > 2 * n * (100 - percent)
+            assert all(own[m] in (home, away) for m in range(n, min(n * 100 // percent, 2999) + 1))
+    words = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.xxhash64(i).bitwiseOR(F.lit(1)))
+    rows = spark.range(40).select("id", F.sort_array(words).alias("whole"), F.lit(6).cast("long").alias("parts"))
+    rows = rows.withColumn("less", F.array_remove("whole", F.get("whole", F.col("id").cast("int"))))
+    rows = lines.with_parts(lines.with_parts(rows, "whole", "parts", "a"), "less", "parts", "b")
+    assert all(sum(x == y for x, y in zip(r.a, r.b, strict=True)) == 5 for r in rows.collect())
+
+
 def test_short_lines_go_in_the_query_and_the_pipeline(spark, tmp_path):
     texts = [*line_samples(), (30, "Of.\nx y\nown words of thirty"), (31, "y x\nOf.\nown words of more"), (32, " Of. ")]
     frame = spark.createDataFrame(texts, "doc_id long, text string")
