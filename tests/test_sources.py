@@ -1,4 +1,5 @@
 import os
+import time
 from types import SimpleNamespace
 
 import numpy as np
@@ -201,3 +202,19 @@ def test_sessions_without_the_setting():
     assert staging.staging_root(session("local[4]")) == "file:/w"
     with pytest.raises(ValueError, match="every executor"):
         staging.staging_root(session("spark://host:7077"))
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    """A staged write frees what it shuffled, and leaves the setting of the session alone."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def shuffled():
+        return {f for folder in folders for _, _, names in os.walk(folder.getPath()) for f in names if f.startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(staging.CLEANUP)
+    rows = staging.stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert rows.count() == 7 and spark.conf.get(staging.CLEANUP) == setting
