@@ -102,20 +102,16 @@ def parts_for(n: Column, percent: int) -> Column:
 
 def with_parts(sets: DataFrame, words: str, parts: str, out: str) -> DataFrame:
     """``sets`` with ``out``: the fingerprint of each of the ``parts`` of the range of words; null for a single part."""
-    merged, cuts = fresh(sets, "merged", "cuts")
     half = F.expr(f"{(1 << 63) - 1} div {parts}")
-    # Limits are even, words are odd, so limits are known among them.
+    # Limits are even, words are odd, so limits are known among them. The text of all parts is built and cut in one
+    # pass, so that time grows with the length of a line and not with its square.
     limits = F.transform(F.sequence(F.lit(1).cast("long"), F.col(parts) - 1), lambda i: (F.lit(-(1 << 62)) + i * half) * 2)
-    several = F.col(parts) > 1
-    df = sets.withColumn(merged, F.when(several, F.sort_array(F.concat(words, limits))))
-    at = F.array_compact(
-        F.transform(merged, lambda value, i: F.when(value.bitwiseAND(F.lit(1)) == 0, i + 1))
+    listed = F.transform(
+        F.sort_array(F.concat(words, limits)),
+        lambda value: F.when(value.bitwiseAND(F.lit(1)) == 0, F.lit(";")).otherwise(value.cast("string")),
     )
-    df = df.withColumn(cuts, F.concat(F.array(F.lit(0)), at, F.array(F.size(merged) + 1)))
-    begin, end = lambda i: F.get(cuts, i), lambda i: F.get(cuts, i + 1)
-    part = lambda i: F.xxhash64(parts, i, F.slice(merged, begin(i) + 1, end(i) - begin(i) - 1))
-    hashes = F.transform(F.sequence(F.lit(0), F.col(parts).cast("int") - 1), part)
-    return df.withColumn(out, F.when(several, hashes)).drop(merged, cuts)
+    hashes = F.transform(F.split(F.array_join(listed, ","), ";"), lambda part, i: F.xxhash64(parts, i, part))
+    return sets.withColumn(out, F.when(F.col(parts) > 1, hashes))
 
 
 def _with_company(tokens: DataFrame, keys: DataFrame) -> DataFrame:
