@@ -30,10 +30,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +40,14 @@ from fieldmark.llm import bloom
 from fieldmark.llm.components import connected
 from fieldmark.llm.frames import fresh
 from fieldmark.llm.rolling import CHUNK, mix, running_sums, windows
-from fieldmark.sources.staging import Owner, stage
+from fieldmark.sources.staging import Owner, freeing, stage
 
 #: Cells of the count table that orders n-grams, and cells in one row of it on its way to the driver.
 CELLS = 1 << 20
 SEGMENT = 1 << 12
+#: Highest bits of a key of (n-gram, band) that name its segment, and keys that a task sorts at a time.
+KEY_BITS = 12
+RUN_KEYS = 1_000_000
 HUB_ROUNDS = 2
 #: N-grams of partners in one chunk of comparisons.
 CHUNK_GRAMS = 500_000
@@ -53,15 +55,23 @@ CHUNK_GRAMS = 500_000
 STRIDE = 64
 
 
+#: For each byte, itself with A to Z in lower case, and whether it parts words.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[32, *range(9, 14)]] = True
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """A to Z in lower case."""
-    return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+    return LOWER[data]
 
 
 def word_ids(data: np.ndarray) -> np.ndarray:
     """Fingerprints of the words of a byte string, in order, a bounded part of the text at a time."""
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    turns = np.nonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))[0]
+    blank = np.ones(len(data) + 2, dtype=bool)
+    blank[1:-1] = BLANK[data]
+    turns = np.flatnonzero(blank[1:] != blank[:-1])
     first, last = turns[0::2], turns[1::2]
     if len(data) <= CHUNK:
         return windows(running_sums(data), first, last)
@@ -90,8 +100,13 @@ def gram_set(data: np.ndarray, size: int) -> np.ndarray:
     grams = np.full(count, size, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(size):
-            grams = grams * np.uint64(0x9E3779B97F4A7C15) + words[i : i + count]
-    return np.unique(mix(grams))
+            grams *= np.uint64(0x9E3779B97F4A7C15)
+            grams += words[i : i + count]
+    grams = mix(grams)
+    grams.sort()
+    first = np.ones(count, dtype=bool)
+    np.not_equal(grams[1:], grams[:-1], out=first[1:])
+    return grams[first]
 
 
 def least_shared(n: int) -> int:
@@ -149,7 +164,11 @@ def needed(a, b, percent: int):
 
 def in_order(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Rare n-grams first; equal counts by fingerprint."""
-    return grams[np.argsort(counts[grams & np.uint64(CELLS - 1)], kind="stable")]
+    # Count and place are one number, as sorting numbers is quicker than ordering by them.
+    keys = counts[grams & np.uint64(CELLS - 1)] << 32
+    keys += np.arange(len(grams))
+    keys.sort()
+    return grams[keys & 0xFFFFFFFF]
 
 
 def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Scalar, np.ndarray]]:
@@ -164,10 +183,17 @@ def global_counts(texts: DataFrame, size: int) -> np.ndarray:
     """How many documents have an n-gram of each cell; each task adds up its own table first."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(CELLS, dtype=np.int32)
+        table = np.zeros(CELLS, dtype=np.int64)
+        cells, held = [], 0
         for _, grams in _texts(batches, size):
-            np.add.at(table, grams & np.uint64(CELLS - 1), 1)
-        parts = table.reshape(-1, SEGMENT)
+            cells.append((grams & np.uint64(CELLS - 1)).view(np.int64))
+            held += len(grams)
+            if held >= RUN_KEYS:
+                table += np.bincount(np.concatenate(cells), minlength=CELLS)
+                cells, held = [], 0
+        if held:
+            table += np.bincount(np.concatenate(cells), minlength=CELLS)
+        parts = table.astype(np.int32).reshape(-1, SEGMENT)
         used = np.nonzero(parts.any(axis=1))[0]
         if len(used):
             yield pa.RecordBatch.from_arrays(
@@ -188,45 +214,96 @@ def global_counts(texts: DataFrame, size: int) -> np.ndarray:
             )
 
     schema = "segment int, counts binary"
-    rows = texts.select("body").mapInArrow(local, schema).repartition("segment").mapInArrow(total, schema)
     table = np.zeros(CELLS, dtype=np.int64)
-    for row in rows.toLocalIterator():
-        table[row["segment"] * SEGMENT : (row["segment"] + 1) * SEGMENT] = np.frombuffer(row["counts"], dtype=np.int64)
+    with freeing(texts.sparkSession):
+        rows = texts.select("body").mapInArrow(local, schema).repartition("segment").mapInArrow(total, schema)
+        for row in rows.collect():
+            table[row["segment"] * SEGMENT : (row["segment"] + 1) * SEGMENT] = np.frombuffer(row["counts"], dtype=np.int64)
     return table
 
 
-def write_sets(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """One row per document: key, uid, n, s1 and s2 (128 bits of the set), and for those with enough company hits, places and grams.
+def company_keys(grams: np.ndarray, band: int) -> np.ndarray:
+    """N-grams as the company filter sees them: their lowest bits make room for the band of the set's size."""
+    return (grams & ~np.uint64(BANDS - 1)) | np.uint64(band)
 
-    ``hits`` are the prefix n-grams that other documents may have too, ``places`` their places in the set's
-    order; ``grams`` is the whole set in that order.
+
+def at_most_twice(keys: np.ndarray) -> np.ndarray:
+    """Sorted ``keys`` without the third and later copies of each."""
+    again = keys[2:] == keys[:-2]
+    return keys[np.concatenate(([True] * min(2, len(keys)), ~again))] if again.any() else keys
+
+
+def count_company(texts: DataFrame, size: int, percent: int, counts: Broadcast) -> DataFrame:
+    """gram, n and bands, as ``with_company`` wants them, of the prefix n-grams that several sets may share.
+
+    Keys of (n-gram, band) travel as sorted runs, one row for each segment of their range that a task has keys of.
+    Whether a band holds two sets is all that is asked, so a run keeps two copies of a key at most, and
+    an n-gram that most documents have sends no more than that.
     """
-    context = texts.sparkSession.sparkContext
-    counts = context.broadcast(global_counts(texts, size))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, bands, held = [], [], 0
+        parts, held = [], 0
 
         def flush() -> pa.RecordBatch:
-            bits = np.repeat(np.array(bands, dtype=np.int64), [len(part) for part in parts])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(bits)], names=["gram", "band"])
+            keys = np.concatenate(parts)
+            keys.sort()
+            keys = at_most_twice(keys)
+            cuts = np.searchsorted(keys >> np.uint64(64 - KEY_BITS), np.arange((1 << KEY_BITS) + 1, dtype=np.uint64))
+            used = np.nonzero(np.diff(cuts))[0]
+            runs = [keys[cuts[i] : cuts[i + 1]].tobytes() for i in used]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(used.astype(np.int32)), pa.array(runs, pa.binary())], names=["segment", "keys"]
+            )
 
         for _, grams in _texts(batches, size):
             if len(grams):
                 own = in_order(grams, counts.value)[: prefix_length(len(grams), percent)]
-                parts.append(own.view(np.int64))
-                bands.append(1 << size_band(len(grams), percent))
+                parts.append(company_keys(own, size_band(len(grams), percent)))
                 held += len(own)
-            if held >= 100_000:
+            if held >= RUN_KEYS:
                 yield flush()
-                parts, bands, held = [], [], 0
+                parts, held = [], 0
         if parts:
             yield flush()
 
-    counted = (
-        texts.select("body").mapInArrow(prefixes, "gram long, band long").groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("n"), F.bit_or("band").alias("bands"))
-    )
+    def several(runs: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.concatenate(runs)
+        keys.sort()
+        own = keys & ~np.uint64(BANDS - 1)
+        first = np.nonzero(np.concatenate(([True], own[1:] != own[:-1])))[0]
+        n = np.diff(np.append(first, len(own)))
+        bands = np.bitwise_or.reduceat(np.uint64(1) << (keys & np.uint64(BANDS - 1)), first)
+        more = n > 1
+        columns = mix(own[first[more]]).view(np.int64), n[more], bands[more].view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "n", "bands"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, runs = None, []
+        for batch in batches:
+            for segment, keys in zip(batch.column("segment").to_pylist(), batch.column("keys"), strict=True):
+                if segment != current and runs:
+                    yield several(runs)
+                    runs = []
+                current = segment
+                runs.append(np.frombuffer(keys.as_buffer(), dtype=np.uint64))
+        if runs:
+            yield several(runs)
+
+    runs = texts.select("body").mapInArrow(prefixes, "segment int, keys binary")
+    runs = runs.repartition("segment").sortWithinPartitions("segment")
+    return runs.mapInArrow(together, "gram long, n long, bands long")
+
+
+def write_sets(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """One row per document: key, uid, n, s1 and s2 (128 bits of the set), and for those with enough company hits, places and grams.
+
+    ``hits`` are the prefix n-grams that other documents may have too, ``places`` their places in the set's
+    order; ``grams`` is the whole set in that order.
+    """
+    context = texts.sparkSession.sparkContext
+    counts = context.broadcast(global_counts(texts, size))
+
+    counted = count_company(texts, size, percent, counts)
     shared = bloom.build(with_company(counted), "code")
     kind = texts.schema["key"].dataType.simpleString()
 
@@ -258,7 +335,8 @@ def write_sets(texts: DataFrame, size: int, percent: int) -> DataFrame:
                     ids = mix(ids + np.uint64(n))
                 ordered = in_order(grams, counts.value)
                 own = ordered[: prefix_length(n, percent)]
-                found = np.nonzero(bloom.holds(shared.value, own ^ BAND_MARKS[size_band(n, percent)]))[0]
+                seen = mix(company_keys(own, 0)) ^ BAND_MARKS[size_band(n, percent)]
+                found = np.nonzero(bloom.holds(shared.value, seen))[0]
                 # A similar set has at least percent of this one's size.
                 if len(found) >= least_shared(-(-n * percent // 100)):
                     hits, whole = own[found].view(np.int64), ordered.tobytes()
@@ -329,25 +407,48 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     placed = stage(
         pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     )
-    probe_sets = only(sets, placed.select(F.col("a").alias("node")))
-    partner_sets = only(sets, placed.select(F.col("b").alias("node")))
-    probes = placed.select(F.col("a").alias("of"), F.col("chunk").alias("part")).distinct().join(
-        probe_sets.select(F.col("node").alias("of"), F.col("grams").alias("probe")), "of"
-    )
-    partners = placed.join(partner_sets.select(F.col("node").alias("b"), "grams"), "b").select(
-        "a", "chunk", "b", "grams"
+    ends = placed.select(F.col("a").alias("node")).unionAll(placed.select(F.col("b").alias("node")))
+    chosen = only(sets, ends)
+    probes = placed.select("a", "chunk").distinct().join(chosen.select(F.col("node").alias("a"), "grams"), "a").select(
+        "a", "chunk", F.lit(None).cast("long").alias("b"), "grams"
     )
+    partners = placed.join(chosen.select(F.col("node").alias("b"), "grams"), "b").select("a", "chunk", "b", "grams")
 
-    def decide(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
-        stored = [np.frombuffer(g, dtype=np.uint64) for g in left["grams"]]
-        similar = walk(stored, np.frombuffer(right["probe"].iloc[0], dtype=np.uint64), percent)
-        return pd.DataFrame({"a": key[0], "b": left["b"].to_numpy()[similar]})
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, probe, names, stored, found = None, None, [], [], []
 
-    return (
-        partners.groupBy("a", "chunk").cogroup(probes.groupBy("of", "part")).applyInPandas(decide, "a long, b long")
-    )
+        def settle() -> None:
+            if probe is not None and stored:
+                similar = walk(stored, probe, percent)
+                found.extend((current[0], b) for b, alike in zip(names, similar, strict=True) if alike)
+
+        def flush() -> pa.RecordBatch:
+            ends = np.array(found, dtype=np.int64)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            a, chunk, b = (batch.column(c).to_pylist() for c in ("a", "chunk", "b"))
+            for i, grams in enumerate(batch.column("grams")):
+                if (a[i], chunk[i]) != current:
+                    settle()
+                    current, probe, names, stored = (a[i], chunk[i]), None, [], []
+                own = np.frombuffer(grams.as_buffer(), dtype=np.uint64)
+                if b[i] is None:
+                    probe = own
+                else:
+                    names.append(b[i])
+                    stored.append(own)
+            if found:
+                yield flush()
+        settle()
+        if found:
+            yield flush()
+
+    # The probe comes first, then the partners of its chunk.
+    rows = probes.unionByName(partners).repartition("a", "chunk")
+    rows = rows.sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(decide, "a long, b long")
 
 
 def relabel(nodes: DataFrame, merged: DataFrame) -> DataFrame:
@@ -387,7 +488,9 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, key: str, text: s
 
     def still_open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
         """Buckets that hold several components; one that does not never will again."""
-        labelled = buckets.drop("component").join(labels, "node")
+        # Few nodes are in a component named after another one, so only these are carried over.
+        moved = stage(labels.where("node <> component").withColumnRenamed("component", "_to"))
+        labelled = buckets.join(moved, "node", "left").withColumn("component", F.coalesce("_to", "node")).drop("_to")
         ends = labelled.groupBy("gram").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
         return stage(labelled.join(ends.where("c0 <> c1").select("gram"), "gram"))
 
@@ -415,8 +518,10 @@ def _near_duplicates(docs: DataFrame, size: int, percent: int, key: str, text: s
         )
         # Each node is compared with the hub that it shares most with.
         pairs = met.groupBy("b", "n_b").agg(F.max(F.struct("shared", "a")).alias("best")).select("best.a", "b", "n_b")
-        labels = merge(labels, compare(stage(pairs), sets, percent))
-        buckets = still_open(buckets, labels)
+        links = stage(compare(stage(pairs), sets, percent))
+        if not links.isEmpty():
+            labels = merge(labels, links)
+            buckets = still_open(buckets, labels)
     left, right = (
         buckets.select("gram", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "place", "component")))
         for side in "ab"

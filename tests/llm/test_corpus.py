@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from fieldmark.sources.staging import stage
 from fieldmark.llm import (
-    jaccard, lines, multi_index, packing, pieces, quality, queries, secrets, suffix, tokens, toxicity,
+    bloom, jaccard, lines, multi_index, packing, pieces, quality, queries, secrets, suffix, tokens, toxicity,
 )
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -199,6 +199,41 @@ def test_company_is_sought_in_neighbouring_bands(spark):
     assert got == {int(ord(gram) ^ marks[b]) for gram, bands in want.items() for b in bands}
 
 
+def test_filters_and_counts_leave_no_shuffle_files(spark, docs):
+    def shuffle_files():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("body"))
+    before = shuffle_files()
+    table = bloom.build(spark.range(5_000).select(F.xxhash64("id").alias("code")), "code").value
+    counts = jaccard.global_counts(texts, 5)
+    assert np.frombuffer(table, np.uint8).any() and counts.any()
+    assert not shuffle_files() - before
+
+
+def test_company_is_counted_from_runs_of_keys(spark, monkeypatch):
+    """As by counting every prefix n-gram, whatever part of them a task sorts at a time."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(WORDS[:3]) for _ in range(rng.randint(5, 40))) for _ in range(60)] + ["", "one"]
+    frame = spark.createDataFrame([(t,) for t in texts], "body string").repartition(3)
+    counts = spark.sparkContext.broadcast(jaccard.global_counts(frame, 5))
+    want = {}
+    for text in texts:
+        grams = jaccard.gram_set(np.frombuffer(text.encode(), dtype=np.uint8), 5)
+        for gram in jaccard.in_order(grams, counts.value)[: jaccard.prefix_length(len(grams), 75)]:
+            want.setdefault(int(gram) >> 5, []).append(jaccard.size_band(len(grams), 75))
+    want = {g: bands for g, bands in want.items() if len(bands) > 1}
+    names = dict(zip(jaccard.mix(np.array(list(want), dtype=np.uint64) << np.uint64(5)).view(np.int64).tolist(), want))
+    for run in (1_000_000, 7):
+        monkeypatch.setattr(jaccard, "RUN_KEYS", run)
+        got = {names[r.gram]: (r.n, r.bands) for r in jaccard.count_company(frame, 5, 75, counts).collect()}
+        assert got.keys() == want.keys()
+        for gram, (n, bands) in got.items():
+            assert bands == sum(1 << band for band in set(want[gram]))
+            assert (n > len(set(want[gram]))) == (len(want[gram]) > len(set(want[gram])))
+
+
 def test_pieces_equal_the_library_and_come_back(docs, nothing):
     import sentencepiece
 
