@@ -41,25 +41,25 @@ FILTER_SHARE = 16
 HUB_ROUNDS = 2
 #: Buckets of more classes than this meet a hub first; in others all meet at once.
 HEAVY = 32
+#: Sets cut into more parts than this take the way whose time does not grow with the number of parts.
+FEW_PARTS = 16
 
 
-def words_of(line: Column) -> Column:
-    """Fingerprints of the distinct words of a line, sorted; they are odd numbers.
+def spaced(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` whose white space other than the end of a line is the space: a split at a single character needs no pattern."""
+    for space in SPACES.replace(" ", "").replace("\n", ""):
+        # The look for the character is several times quicker than the look for what to replace.
+        docs = docs.withColumn(text, F.when(F.contains(text, F.lit(space)), F.replace(text, F.lit(space), F.lit(" "))).otherwise(F.col(text)))
+    return docs
 
-    White space of other kinds is made a space first, as a split at a single character needs no pattern.
-    """
-    for space in SPACES.strip(" \n"):
-        line = F.replace(line, F.lit(space), F.lit(" "))
+
+def words_of(line: Column) -> Column:
+    """Fingerprints of the distinct words of a spaced line, sorted; they are odd numbers."""
     odd = lambda word: F.xxhash64(word).bitwiseOR(F.lit(1))
     # Neighbouring spaces have the empty word between them.
     return F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split(line, " "), odd)), odd(F.lit(""))))
 
 
-def _literal(values: list[int], kind: str) -> Column:
-    """A constant array, parsed once by the optimiser."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-
-
 def _in_filter(table: Column, code: Column, bits: int) -> Column:
     place = code.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     word = F.get(table, F.shiftright(place, 6))
@@ -67,15 +67,17 @@ def _in_filter(table: Column, code: Column, bits: int) -> Column:
 
 
 def _filter_of(codes: DataFrame, bits: int) -> Column:
-    """A set filter of fixed size as a constant array; it only spares work."""
+    """A set filter of fixed size, as an array that a subquery gives; it only spares work.
+
+    As a constant it would stand in every plan, and in the driver's memory as often.
+    """
     place = F.col("code").bitwiseAND(F.lit((1 << bits) - 1))
-    words = codes.groupBy(F.shiftright(place, 6).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
-    )
-    table = [0] * (1 << (bits - 6))
-    for row in words.toLocalIterator():
-        table[row["word"]] = row["bits"]
-    return _literal(table, "bigint")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    held = codes.select(F.shiftright(place, 6).alias("word"), one.alias("bits"))
+    every = codes.sparkSession.range(1 << (bits - 6)).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = held.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    listed = words.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("listed"))
+    return listed.select("listed.bits").scalar()
 
 
 def parity(words: Column) -> Column:
@@ -100,18 +102,36 @@ def parts_for(n: Column, percent: int) -> Column:
     return F.when(differ == 0, one).otherwise(F.call_function("shiftleft", one, F.ceil(bits / step).cast("int") * step))
 
 
+def _limits(parts: Column) -> Column:
+    """What parts the range of words; limits are even, words are odd."""
+    cuts = [[(i * (((1 << 63) - 1) // n) - (1 << 62)) * 2 for i in range(1, n)] for n in range(1, FEW_PARTS + 1)]
+    table = F.array(*(F.array(*map(F.lit, listed)).cast("array<bigint>") for listed in cuts))
+    half = F.call_function("div", F.lit((1 << 63) - 1), parts)
+    many = F.transform(F.sequence(F.lit(1).cast("long"), parts - 1), lambda i: (F.lit(-(1 << 62)) + i * half) * 2)
+    return F.when(parts <= FEW_PARTS, F.get(table, (parts - 1).cast("int"))).when(parts > 1, many)
+
+
 def with_parts(sets: DataFrame, words: str, parts: str, out: str) -> DataFrame:
     """``sets`` with ``out``: the fingerprint of each of the ``parts`` of the range of words; null for a single part."""
-    half = F.expr(f"{(1 << 63) - 1} div {parts}")
-    # Limits are even, words are odd, so limits are known among them. The text of all parts is built and cut in one
-    # pass, so that time grows with the length of a line and not with its square.
-    limits = F.transform(F.sequence(F.lit(1).cast("long"), F.col(parts) - 1), lambda i: (F.lit(-(1 << 62)) + i * half) * 2)
+    limits, merged, ends = fresh(sets, "limits", "merged", "ends")
+    n = F.col(parts)
+    sets = sets.withColumn(limits, _limits(n)).withColumn(merged, F.when(n > 1, F.sort_array(F.concat(words, limits))))
+    # A few parts are slices between the limits, all of it compiled code: lambdas are not, and cost several times more.
+    behind = [
+        F.coalesce(F.array_position(merged, F.get(limits, F.lit(i))).cast("int"), F.size(merged) + 1) for i in range(FEW_PARTS)
+    ]
+    sets = sets.withColumn(ends, F.when((n > 1) & (n <= FEW_PARTS), F.array(F.lit(0), *behind)))
+    end = lambda i: F.get(ends, F.lit(i))
+    part = lambda i: F.slice(merged, end(i) + 1, end(i + 1) - end(i) - 1)
+    few = F.slice(F.array(*(F.when(n > i, F.xxhash64(n, F.lit(i), part(i))) for i in range(FEW_PARTS))), F.lit(1), n.cast("int"))
+    # The text of many parts is built and cut in one pass, so that time grows with the length of a line and not with
+    # its square.
     listed = F.transform(
-        F.sort_array(F.concat(words, limits)),
-        lambda value: F.when(value.bitwiseAND(F.lit(1)) == 0, F.lit(";")).otherwise(value.cast("string")),
+        merged, lambda value: F.when(value.bitwiseAND(F.lit(1)) == 0, F.lit(";")).otherwise(value.cast("string"))
     )
-    hashes = F.transform(F.split(F.array_join(listed, ","), ";"), lambda part, i: F.xxhash64(parts, i, part))
-    return sets.withColumn(out, F.when(F.col(parts) > 1, hashes))
+    many = F.transform(F.split(F.array_join(listed, ","), ";"), lambda part, i: F.xxhash64(parts, i, part))
+    hashes = F.when(n <= FEW_PARTS, few).otherwise(many)
+    return sets.withColumn(out, F.when(n > 1, hashes)).drop(limits, merged, ends)
 
 
 def _with_company(tokens: DataFrame, keys: DataFrame) -> DataFrame:
@@ -137,7 +157,7 @@ def _removed_lines(mine: Owner, docs: DataFrame, percent: int, least_words: int,
     )
 
     def lines_of(docs: DataFrame) -> DataFrame:
-        return docs.select("key", "k2", F.posexplode(F.split("body", "\n")).alias("line", "content"))
+        return spaced(docs, "body").select("key", "k2", F.posexplode(F.split("body", "\n")).alias("line", "content"))
 
     where = F.struct("key", "k2", "line")
     ids = ["s1", "s2"]

@@ -150,6 +150,27 @@ def test_similar_lines_agree_in_a_part(spark):
     assert all(sum(x == y for x, y in zip(r.a, r.b, strict=True)) == 5 for r in rows.collect())
 
 
+def test_any_number_of_parts_and_any_white_space(spark):
+    """Sets without one word differ in its part only; a line ends at a line end only, whatever parts its words."""
+    words = F.sort_array(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.xxhash64(i).bitwiseOR(F.lit(1))))
+    rows = spark.range(50).select(words.alias("whole"), (F.col("id") + 1).alias("parts"))
+    rows = rows.withColumn("less", F.array_remove("whole", F.get("whole", F.col("parts").cast("int"))))
+    rows = lines.with_parts(lines.with_parts(rows, "whole", "parts", "a"), "less", "parts", "b").collect()
+    assert all(r.a is None if r.parts == 1 else len(r.a) == r.parts for r in rows)
+    assert all(sum(x != y for x, y in zip(r.a, r.b, strict=True)) == 1 for r in rows if r.a)
+    frame = spark.createDataFrame([(1, "a\tb\n c\r\n\x0bd\x0ce"), (2, None)], "doc_id long, text string")
+    assert dict(lines.spaced(frame, "text").collect()) == {1: "a b\n c \n d e", 2: None}
+
+
+def test_filters_of_lines_are_no_part_of_the_plan(spark):
+    """They were fetched by a job for each partition and stood in the plans as constants, up to 10 MB each time."""
+    rows = spark.range(9_000).select(F.col("id"), F.xxhash64("id").alias("code"))
+    kept = lines._with_company(rows, spark.range(0, 9_000, 3).select(F.xxhash64("id").alias("code")))
+    assert len(kept._jdf.queryExecution().toString()) < 20_000
+    found = {r.id for r in kept.collect()}
+    assert found >= set(range(0, 9_000, 3)) and len(found) < 3_600
+
+
 def test_short_lines_go_in_the_query_and_the_pipeline(spark, tmp_path):
     texts = [*line_samples(), (30, "Of.\nx y\nown words of thirty"), (31, "y x\nOf.\nown words of more"), (32, " Of. ")]
     frame = spark.createDataFrame(texts, "doc_id long, text string")
