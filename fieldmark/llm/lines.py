@@ -48,7 +48,7 @@ FEW_PARTS = 16
 def spaced(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` whose white space other than the end of a line is the space: a split at a single character needs no pattern."""
     for space in SPACES.replace(" ", "").replace("\n", ""):
-        # The look for the character is several times quicker than the look for what to replace.
+        # The look for the character is quicker than the look for what to replace.
         docs = docs.withColumn(text, F.when(F.contains(text, F.lit(space)), F.replace(text, F.lit(space), F.lit(" "))).otherwise(F.col(text)))
     return docs
 
@@ -116,7 +116,7 @@ def with_parts(sets: DataFrame, words: str, parts: str, out: str) -> DataFrame:
     limits, merged, ends = fresh(sets, "limits", "merged", "ends")
     n = F.col(parts)
     sets = sets.withColumn(limits, _limits(n)).withColumn(merged, F.when(n > 1, F.sort_array(F.concat(words, limits))))
-    # A few parts are slices between the limits, all of it compiled code: lambdas are not, and cost several times more.
+    # A few parts are slices between the limits, all of it compiled code; lambdas are not.
     behind = [
         F.coalesce(F.array_position(merged, F.get(limits, F.lit(i))).cast("int"), F.size(merged) + 1) for i in range(FEW_PARTS)
     ]
