@@ -64,6 +64,84 @@ def test_suffix_removal_equals_brute_force(docs, nothing):
     assert suffix.remove_repeats(nothing, length=length).count() == 0
 
 
+def texts_with_shared_parts():
+    rng = random.Random(12)
+
+    def noise(n):
+        return "".join(rng.choices("abcdefghij ", k=n))
+
+    part, short = noise(700), noise(370)
+    texts = [noise(1_500) for _ in range(30)] + [noise(500) + part + noise(300), part[100:] + noise(900)]
+    return texts + [noise(200) + short + noise(400) for _ in range(3)] + [None, "", noise(399)]
+
+
+def kept_by_brute_force(texts, length):
+    raw, seen = [(t or "").encode() for t in texts], {}
+    for t in raw:
+        for i in range(len(t) - length + 1):
+            seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
+    kept = []
+    for t in raw:
+        gone = np.zeros(len(t), dtype=bool)
+        for i in range(len(t) - length + 1):
+            gone[i : i + length] |= seen[t[i : i + length]] > 1
+        kept.append(bytes(b for b, g in zip(t, gone, strict=True) if not g))
+    return kept
+
+
+def test_anchors_alone_are_not_refined_window_by_window(spark, monkeypatch):
+    """Not even with filters that let everything through, as small ones do on large tables."""
+    texts, staged, stage = texts_with_shared_parts(), {}, suffix.stage
+
+    def counting(df, *args, **options):
+        out = stage(df, *args, **options)
+        if "w1" in df.columns:
+            staged["windows"] = staged.get("windows", 0) + out.count()
+        return out
+
+    monkeypatch.setattr(suffix, "stage", counting)
+    monkeypatch.setattr(bloom, "build", lambda *_: spark.sparkContext.broadcast(b"\xff" * 4_096))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = dict(suffix.remove_repeats(docs).select("doc_id", "kept").collect())
+    assert [bytes(got[i]) for i in range(len(texts))] == kept_by_brute_force(texts, 400)
+    # Only the edges of the shared parts are in question, and no more than the SPREAD windows of an anchor at each.
+    assert 0 < staged["windows"] <= 10 * 2 * suffix.SPREAD
+    assert sum(max(len(t or "") - 399, 0) for t in texts) > 35_000
+
+
+def test_slices_give_the_same_spans(spark, monkeypatch):
+    texts = texts_with_shared_parts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert suffix._slices(10, 80, 10**9) == 1 and suffix._slices(10**9, 80, 2 * 10**10) == 8
+    monkeypatch.setattr(suffix, "_slices", lambda *_: 4)
+    got = dict(suffix.remove_repeats(docs).select("doc_id", "kept").collect())
+    assert [bytes(got[i]) for i in range(len(texts))] == kept_by_brute_force(texts, 400)
+
+
+def test_spans_of_equal_rows_are_listed_once(spark):
+    text = texts_with_shared_parts()[0]
+    docs = spark.createDataFrame([(None, text)] * 40, "doc_id long, text string").repartition(4)
+    (row,) = suffix.repeated_spans(docs).collect()
+    assert len(row.found) == len(set(row.found))
+    assert [bytes(r.kept) for r in suffix.remove_repeats(docs).collect()] == [b""] * 40
+
+
+def test_windows_of_listed_runs_come_chunk_by_chunk():
+    data = np.arange(suffix.CHUNK + 5_000, dtype=np.int64).astype(np.uint8)
+    runs = [(7, 9), (suffix.CHUNK - 2, suffix.CHUNK - 1), (suffix.CHUNK, suffix.CHUNK), (suffix.CHUNK + 900, suffix.CHUNK + 902)]
+    got = []
+    for at, chunk, begin in suffix.listed_windows(data, np.array([a << 32 | b for a, b in runs[::-1]]), 400):
+        for i in begin.tolist():
+            assert (chunk[i : i + 400] == data[at + i : at + i + 400]).all() and i + 400 <= len(chunk)
+            got.append(at + i)
+    assert sorted(got) == [i for a, b in runs for i in range(a, b + 1)]
+
+
+def test_filter_size_follows_the_keys():
+    assert bloom.bits_for(0) == bloom.bits_for(1_000) == bloom.BITS
+    assert [bloom.bits_for(n) for n in (2**24, 2**26, 10**12)] == [27, 29, bloom.MOST_BITS]
+
+
 def test_near_duplicates_equal_brute_force(docs, nothing):
     rows = docs.select("doc_id", "text").distinct().collect()
     sets = {}
